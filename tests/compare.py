@@ -72,6 +72,7 @@ def session(cores: str = "8", partitions: str = "8"):
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_TEST_MEMORY", "6g"))
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
