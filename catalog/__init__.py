@@ -13,4 +13,4 @@ def load() -> None:
         importlib.import_module(f"catalog.{name}")
 
 
-MODULES = ("metrics", "forecast")
+MODULES = ("metrics", "forecast", "ingest", "books")

@@ -1,0 +1,271 @@
+"""Provider pages derived from the order-management tables, for replay and checks.
+
+Every record comes from a row of the given tables; the irregular cases a real
+provider sends (quoted amounts, missing ids, lines without account, pages
+fetched twice, later versions of a record) are set by key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from centavo.sources.books import Books
+from centavo.sources.landing import PAGE_SIZE
+
+TENANTS = 25
+FIRST_FETCH = "2001-07-20 00:00:00"
+SECOND_FETCH = "2001-07-30 00:00:00"
+
+# Chart-of-accounts names, types and subtypes given to parts by key.
+ACCOUNT_NAMES = (
+    "Payroll Clearing",
+    "Salaries",
+    "Office Rent",
+    "Software Subscriptions",
+    "Marketing",
+    "Travel and Meals",
+    "Legal Fees",
+    "Health Insurance",
+    "Internet",
+    "Office Supplies",
+    "Subcontractors",
+    "Interest Paid",
+    "Income Tax",
+    "Cloud Hosting",
+    "Materials",
+    "Bank Charges",
+    "Retainer Income",
+)
+ACCOUNT_TYPES = (
+    "Income",
+    "Other Income",
+    "Cost of Goods Sold",
+    "Bank",
+    "Credit Card",
+    "Equity",
+    "Long Term Liability",
+    "Accounts Payable",
+    "Fixed Asset",
+    "Accounts Receivable",
+    "Expense",
+    "Other Expense",
+    "Memo",
+)
+ACCOUNT_SUBTYPES = (
+    "PayrollTaxExpense",
+    "PayrollWageExpenses",
+    "SuppliesMaterialsCogs",
+    "CostOfServiceCos",
+)
+
+
+def _pick(values: tuple[str, ...], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def account_records(b: Books) -> DataFrame:
+    key = F.col("p_partkey")
+    subtype = F.when(key % 7 == 0, _pick(ACCOUNT_SUBTYPES, (key / 7).cast("bigint") % len(ACCOUNT_SUBTYPES)))
+    record = F.struct(
+        F.when(key % 211 != 3, key.cast("string")).alias("Id"),
+        F.when(key % 53 != 5, _pick(ACCOUNT_NAMES, key % len(ACCOUNT_NAMES))).alias("Name"),
+        F.when(key % 101 != 7, _pick(ACCOUNT_TYPES, key % len(ACCOUNT_TYPES))).alias("AccountType"),
+        subtype.alias("AccountSubType"),
+        F.struct(F.lit("2001-07-01T00:00:00Z").alias("LastUpdatedTime")).alias("MetaData"),
+    )
+    return _keyed(b.table("part"), "Account", key, F.to_json(record))
+
+
+def customer_records(b: Books) -> DataFrame:
+    key = F.col("c_custkey")
+    email = F.concat(F.lit("billing"), key.cast("string"), F.lit("@example.com"))
+    record = F.struct(
+        F.when(key % 307 != 4, key.cast("string")).alias("Id"),
+        F.when(key % 41 != 6, F.col("c_name")).alias("DisplayName"),
+        F.when(key % 4 != 0, F.struct(email.alias("Address"))).alias("PrimaryEmailAddr"),
+    )
+    return _keyed(b.table("customer"), "Customer", key, F.to_json(record))
+
+
+def _order_fields(b: Books) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    terms = F.when(F.col("o_custkey") % 3 == 0, 15).otherwise(30)
+    return b.table("orders").select(
+        F.col("o_orderkey").alias("key"),
+        F.col("o_custkey").alias("cust"),
+        F.col("o_orderstatus").alias("state"),
+        F.col("o_totalprice").alias("total"),
+        day.alias("day"),
+        F.when(F.col("o_orderkey") % 97 != 0, F.date_add(day, terms)).alias("due"),
+        terms.alias("terms"),
+    )
+
+
+def _customer_ref() -> Column:
+    name = F.format_string("Customer#%09d", F.col("cust"))
+    return F.struct(F.col("cust").cast("string").alias("value"), F.when(F.col("cust") % 6 != 0, name).alias("name"))
+
+
+def _invoice_json(balance: Column, updated: Column) -> Column:
+    def shape(total: Column) -> Column:
+        return F.to_json(
+            F.struct(
+                F.when(F.col("key") % 503 != 9, F.col("key").cast("string")).alias("Id"),
+                F.concat(F.lit("INV-"), F.col("key").cast("string")).alias("DocNumber"),
+                F.when(F.col("key") % 401 != 11, F.col("day").cast("string")).alias("TxnDate"),
+                F.col("due").cast("string").alias("DueDate"),
+                _customer_ref().alias("CustomerRef"),
+                total.alias("TotalAmt"),
+                balance.alias("Balance"),
+                F.struct(F.col("terms").cast("string").alias("value")).alias("SalesTermRef"),
+                F.struct(updated.alias("LastUpdatedTime")).alias("MetaData"),
+            )
+        )
+
+    quoted = F.col("key") % 199 == 13
+    return F.when(quoted, shape(F.col("total").cast("string"))).otherwise(shape(F.col("total")))
+
+
+def invoice_records(b: Books) -> DataFrame:
+    """First versions: nothing paid yet, or half paid."""
+    orders = _order_fields(b)
+    balance = F.when(
+        F.col("state") == "P",
+        F.round(F.col("total").cast("decimal(20,6)") * F.lit("0.5").cast("decimal(2,1)"), 2).cast("double"),
+    ).otherwise(F.col("total"))
+    updated = F.concat(F.col("day").cast("string"), F.lit("T08:00:00Z"))
+    return _keyed(orders, "Invoice", F.col("key"), _invoice_json(balance, updated), F.col("cust"))
+
+
+def invoice_edits(b: Books) -> DataFrame:
+    """Later versions of finished orders: paid in full."""
+    orders = _order_fields(b).where(F.col("state") == "F")
+    updated = F.concat(F.date_add("day", 40).cast("string"), F.lit("T08:00:00Z"))
+    return _keyed(orders, "Invoice", F.col("key"), _invoice_json(F.lit(0.0), updated), F.col("cust"))
+
+
+def payment_records(b: Books) -> DataFrame:
+    orders = _order_fields(b).where(F.col("state") == "F")
+    record = F.struct(
+        F.when(F.col("key") % 601 != 15, F.col("key").cast("string")).alias("Id"),
+        F.date_add("day", 40).cast("string").alias("TxnDate"),
+        _customer_ref().alias("CustomerRef"),
+        F.when(F.col("key") % 701 != 17, F.col("total")).alias("TotalAmt"),
+    )
+    return _keyed(orders, "Payment", F.col("key"), F.to_json(record), F.col("cust"))
+
+
+def expense_records(b: Books, record_type: str) -> DataFrame:
+    """One document per order and line state, its lines in line order.
+
+    Lines are unique per order and line number before they are collected, so a
+    document holds as many lines as the order has line numbers.
+    """
+    state, party = ("F", "EntityRef") if record_type == "Purchase" else ("O", "VendorRef")
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    tenant = key % TENANTS
+    account = (
+        F.when(part % 37 == 0, None)
+        .when(part % 41 == 0, F.lit("999999999"))
+        .otherwise((part - part % TENANTS + tenant).cast("string"))
+    )
+    line = F.struct(
+        F.col("l_linenumber").alias("n"),
+        F.col("l_extendedprice").alias("Amount"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"))).alias(
+            "Description"
+        ),
+        F.when(account.isNotNull(), F.struct(F.struct(account.alias("value")).alias("AccountRef"))).alias(
+            "AccountBasedExpenseLineDetail"
+        ),
+    )
+    docs = (
+        b.line_items.where(F.col("l_linestatus") == state)
+        .groupBy(key.alias("key"))
+        .agg(
+            F.min(F.col("l_shipdate").cast("date")).cast("string").alias("day"),
+            F.min("l_suppkey").alias("party"),
+            F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).cast("double").alias("total"),
+            F.array_sort(F.collect_list(line)).alias("lines"),
+        )
+    )
+    lines = F.transform("lines", lambda e: e.dropFields("n"))
+    record = F.struct(
+        F.when(F.col("key") % 503 != 9, F.col("key").cast("string")).alias("Id"),
+        F.col("day").alias("TxnDate"),
+        F.col("total").alias("TotalAmt"),
+        F.when(
+            F.col("key") % 4 != 0, F.struct(F.format_string("Supplier#%09d", F.col("party")).alias("name"))
+        ).alias(party),
+        F.when(F.col("key") % 29 != 0, lines).alias("Line"),
+    )
+    return _keyed(docs, record_type, F.col("key"), F.to_json(record), F.col("key"))
+
+
+def _keyed(df: DataFrame, record_type: str, key: Column, record: Column, tenant: Column | None = None) -> DataFrame:
+    return df.select(
+        ((key if tenant is None else tenant) % TENANTS).cast("int").alias("org_id"),
+        F.lit(record_type).alias("record_type"),
+        key.alias("key"),
+        record.alias("record"),
+    )
+
+
+def to_pages(rows: DataFrame, fetched_at: str, first_page: int = 0) -> DataFrame:
+    """Group records into pages by key range: at most one page of keys in each."""
+    page = (F.col("key") / PAGE_SIZE).cast("bigint").cast("int") + first_page
+    grouped = rows.groupBy("org_id", "record_type", page.alias("page_index")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "record"))), lambda e: e["record"]), ",").alias("body"),
+        F.count("*").alias("n"),
+    )
+    return grouped.select(
+        "org_id",
+        F.concat(F.lit("conn-"), F.col("org_id").cast("string")).alias("connection_id"),
+        "record_type",
+        "page_index",
+        F.lit(fetched_at).cast("timestamp").alias("fetched_at"),
+        F.concat(
+            F.lit('{"QueryResponse":{"'),
+            F.col("record_type"),
+            F.lit('":['),
+            F.col("body"),
+            F.lit('],"startPosition":1,"maxResults":'),
+            F.col("n").cast("string"),
+            F.lit('},"time":"'),
+            F.lit(fetched_at),
+            F.lit('"}'),
+        ).alias("payload"),
+    )
+
+
+def refetched(pages: DataFrame, fetched_at: str) -> DataFrame:
+    """Every third page as a retry sees it: same records, another envelope time."""
+    return pages.where(F.col("page_index") % 3 == 0).select(
+        "org_id",
+        "connection_id",
+        "record_type",
+        "page_index",
+        F.lit(fetched_at).cast("timestamp").alias("fetched_at"),
+        F.regexp_replace("payload", '"time":"[^"]*"', f'"time":"{fetched_at}"').alias("payload"),
+    )
+
+
+SOURCES = {
+    "Account": account_records,
+    "Customer": customer_records,
+    "Invoice": invoice_records,
+    "Payment": payment_records,
+    "Purchase": lambda b: expense_records(b, "Purchase"),
+    "Bill": lambda b: expense_records(b, "Bill"),
+}
+
+
+def pages(b: Books, record_type: str) -> DataFrame:
+    """All fetched pages of one type, retries and later versions included."""
+    first = to_pages(SOURCES[record_type](b), FIRST_FETCH)
+    again = refetched(first, SECOND_FETCH)
+    out = first.unionByName(again)
+    if record_type == "Invoice":
+        out = out.unionByName(to_pages(invoice_edits(b), SECOND_FETCH, first_page=1_000_000))
+    return out
