@@ -11,7 +11,7 @@ from catalog.metrics import METRIC_SQL, PNL, TTM, metric_select
 from catalog.registry import query
 from centavo.functions.money import minor
 from centavo.operators import metrics, predicates, quality, search, tenancy, versions
-from centavo.session import fresh_path
+from centavo.session import fresh_path, written
 from centavo.sources import files, landing, raw_books, snapshots
 from centavo.sources.books import AS_OF
 
@@ -497,7 +497,8 @@ def forecast_snapshots(b):
     from centavo.plans.forecast import forecast_snapshot
 
     path = fresh_path(b.spark, "forecasts")
-    snapshots.append_forecasts(forecast_snapshot(inputs(b, customers=True), OPTIONS), path)
+    facts = written(inputs(b, customers=True), "forecast-inputs")
+    snapshots.append_forecasts(forecast_snapshot(facts, OPTIONS), path)
     rows = snapshots.latest_forecasts(b.spark, path)
     return rows.select(
         "org_id", F.size("points").alias("points_n"), F.size("assumptions").alias("assumptions_n"), "as_of"

@@ -486,3 +486,32 @@ def history_span(b):
         .agg(F.datediff(F.max("occurred_at"), F.min("occurred_at")).alias("history_days"))
         .withColumn("confidence", history_confidence(F.col("history_days")))
     )
+
+
+MARGIN_SQL = """SELECT org_id, DATE '{start}' AS period_start, DATE '{end}' AS period_end, 'month' AS grain, '1' AS engine_version, 'gross_margin' AS metric_key, 'percent' AS unit,
+CAST(NULL AS BIGINT) AS value_minor, CASE WHEN r <> 0 THEN FLOOR(CAST(r - c AS DOUBLE) / CAST(r AS DOUBLE) * 10000.0 + 0.5) / 100.0 END AS value,
+CASE WHEN r = 0 THEN 'insufficient_data' ELSE 'high' END AS confidence, CASE WHEN r = 0 THEN 'margin is undefined without revenue' END AS reason,
+CASE WHEN r = 0 THEN 0 ELSE n END AS source_count, CAST(NULL AS VARCHAR) AS drill_statement
+FROM (SELECT org_id, COALESCE(SUM(CASE WHEN statement = 'revenue' THEN minor END), 0) AS r, COALESCE(SUM(CASE WHEN statement = 'cogs' THEN minor END), 0) AS c,
+COUNT(statement) AS n FROM orgs LEFT JOIN (SELECT * FROM base WHERE statement IN ('revenue', 'cogs') AND occurred_at BETWEEN DATE '{start}' AND DATE '{end}') x USING (org_id) GROUP BY 1) y"""
+
+
+@query(
+    "dashboard_cards",
+    "X-11",
+    "F-5",
+    sql=PNL
+    + "\n"
+    + "\nUNION ALL\n".join(
+        metric_select(k)
+        for k in ("cash_position", "runway_months", "revenue", "net_profit", "operating_expenses", "monthly_burn")
+    )
+    + "\nUNION ALL\n"
+    + MARGIN_SQL.format(start="2001-08-01", end="2001-08-31")
+    + "\nUNION ALL\n"
+    + MARGIN_SQL.format(start="2001-07-01", end="2001-07-31"),
+)
+def dashboard_cards(b):
+    from centavo.plans.dashboard import cards
+
+    return cards(b.ledger, b.organizations, AS_OF)

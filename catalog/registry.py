@@ -76,7 +76,12 @@ def query(name: str, *rows: str, sql: str | None = None, views: bool = True):
     def add(fn: Callable[[Books], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = lambda spark, path: fn(Books(spark, path))
+
+        def run(spark: SparkSession, path: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Books(spark, path))
+
+        QUERIES[name] = run
         ROWS[name] = rows
         if sql is not None:
             text = sql.strip()

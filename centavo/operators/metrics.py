@@ -6,8 +6,9 @@ aggregation per tenant; only the aggregates the set needs are computed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,59 +169,117 @@ def statement_totals(
     return rows.groupBy("org_id").agg(*aggs)
 
 
-def measures(ledger: DataFrame, period: Period, names: Iterable[str]) -> DataFrame:
-    """One row per tenant with `<name>_minor` and `<name>_n` for each measure.
+@dataclass(frozen=True)
+class MetricRequest:
+    """A set of metrics over one period."""
+
+    period: Period
+    keys: tuple[str, ...] = tuple(METRICS)
+
+    @property
+    def measures(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(m for k in self.keys for m in METRICS[k].measures))
+
+
+def measures(ledger: DataFrame, requests: Sequence[MetricRequest]) -> DataFrame:
+    """One row per tenant with `r<i>_<name>_minor` and `r<i>_<name>_n` per request and measure.
 
     Measures are the statement classes, `cash` (settled to the period end) and
-    `burn` (net of the trailing months and the number of months seen).
+    `burn` (net of the trailing months and the number of months seen). All
+    requests are answered by one scan; `burn` may be asked for one end date.
     """
-    wanted = tuple(dict.fromkeys(names))
-    unknown = set(wanted) - {*CLASS_MEASURES, "cash", "burn"}
-    if unknown:
-        raise ValueError(f"unknown measure: {sorted(unknown)}")
     amount = minor("amount")
     flow = signed("direction", amount)
-    in_window = after_months_before(F.col("posted_at"), period.end, BURN_MONTHS)
-
+    zero = F.lit(0).cast("bigint")
     hits: dict[str, Column] = {}
-    for name in wanted:
-        if name == "cash":
-            hits[name] = settled(period.end)
-        elif name == "burn":
-            hits[name] = F.col("posted_at").isNotNull() & in_window
-        else:
-            hits[name] = period.contains(F.col("occurred_at")) & (F.col("statement") == name)
-    keep = None
-    for hit in hits.values():
-        keep = hit if keep is None else keep | hit
-    rows = analytical(ledger).where(keep)
-
-    aggs, merged = [], []
-    for name, hit in hits.items():
-        value = flow if name in ("cash", "burn") else amount
-        aggs.append(F.sum(F.when(hit, value)).alias(f"{name}_minor"))
-        merged.append(F.coalesce(F.sum(f"{name}_minor"), F.lit(0).cast("bigint")).alias(f"{name}_minor"))
-        if name == "burn":
-            merged.append(F.count("burn_month").alias("burn_n"))
-        else:
-            aggs.append(F.count(F.when(hit, 1)).alias(f"{name}_n"))
-            merged.append(F.coalesce(F.sum(f"{name}_n"), F.lit(0).cast("bigint")).alias(f"{name}_n"))
-    if "burn" not in hits:
-        aggs = [
-            F.coalesce(F.sum(F.when(hit, flow if n == "cash" else amount)), F.lit(0).cast("bigint")).alias(f"{n}_minor")
-            for n, hit in hits.items()
-        ] + [F.count(F.when(hit, 1)).alias(f"{n}_n") for n, hit in hits.items()]
-        return rows.groupBy("org_id").agg(*aggs)
-    month = F.when(hits["burn"], month_start(F.col("posted_at")))
-    return rows.groupBy("org_id", month.alias("burn_month")).agg(*aggs).groupBy("org_id").agg(*merged)
+    burn_ends = set()
+    for i, request in enumerate(requests):
+        period = request.period
+        for name in request.measures:
+            if name == "cash":
+                hit = settled(period.end)
+            elif name == "burn":
+                burn_ends.add(period.end)
+                hit = F.col("posted_at").isNotNull() & after_months_before(
+                    F.col("posted_at"), period.end, BURN_MONTHS
+                )
+            else:
+                hit = period.contains(F.col("occurred_at")) & (F.col("statement") == name)
+            hits[f"r{i}_{name}"] = hit
+    if len(burn_ends) > 1:
+        raise ValueError("burn may be asked for one end date at a time")
+    rows = analytical(ledger).where(reduce(lambda a, b: a | b, hits.values()))
+
+    def value(name: str) -> Column:
+        return flow if name.endswith(("_cash", "_burn")) else amount
+
+    sums = [F.coalesce(F.sum(F.when(hit, value(n))), zero).alias(f"{n}_minor") for n, hit in hits.items()]
+    burns = [n for n in hits if n.endswith("_burn")]
+    counts = [F.count(F.when(hit, 1)).alias(f"{n}_n") for n, hit in hits.items() if n not in burns]
+    if not burns:
+        return rows.groupBy("org_id").agg(*sums, *counts)
+    month = F.when(hits[burns[0]], month_start(F.col("posted_at")))
+    by_month = rows.groupBy("org_id", month.alias("burn_month")).agg(*sums, *counts)
+    return by_month.groupBy("org_id").agg(
+        *[F.sum(f"{n}_minor").alias(f"{n}_minor") for n in hits],
+        *[F.sum(f"{n}_n").alias(f"{n}_n") for n in hits if n not in burns],
+        *[F.count("burn_month").alias(f"{n}_n") for n in burns],
+    )
 
 
 def with_every_tenant(totals: DataFrame, organizations: DataFrame | None) -> DataFrame:
     """Add tenants that have no rows at all, with zero counts."""
     if organizations is None:
         return totals
-    joined = organizations.select("org_id").join(totals, "org_id", "left")
-    return joined.fillna(0)
+    return organizations.select("org_id").join(totals, "org_id", "left").fillna(0)
+
+
+def metric_batch(
+    ledger: DataFrame, requests: Sequence[MetricRequest], organizations: DataFrame | None = None
+) -> DataFrame:
+    """Long metric table for several periods: one row per tenant, period and metric."""
+    totals = with_every_tenant(measures(ledger, requests), organizations)
+    names = sorted({m for r in requests for m in r.measures})
+
+    def request_struct(i: int, request: MetricRequest) -> Column:
+        fields = [
+            F.lit(request.period.start).alias("period_start"),
+            F.lit(request.period.end).alias("period_end"),
+            F.lit(request.period.grain).alias("grain"),
+            F.array(*[F.lit(k) for k in request.keys]).alias("keys"),
+        ]
+        for name in names:
+            for suffix in ("minor", "n"):
+                known = name in request.measures
+                source = F.col(f"r{i}_{name}_{suffix}") if known else F.lit(0).cast("bigint")
+                fields.append(source.alias(f"{name}_{suffix}"))
+        return F.struct(*fields)
+
+    per_request = totals.select(
+        "org_id", F.explode(F.array(*[request_struct(i, r) for i, r in enumerate(requests)])).alias("r")
+    ).select("org_id", "r.*")
+    defs = [METRICS[k] for k in METRICS if any(k in r.keys for r in requests)]
+    return (
+        per_request.select(
+            "org_id", "period_start", "period_end", "grain", "keys", F.explode(F.array(*[_metric_struct(d) for d in defs])).alias("m")
+        )
+        .where(F.array_contains("keys", F.col("m.metric_key")))
+        .select(
+            "org_id",
+            "m.metric_key",
+            "period_start",
+            "period_end",
+            "grain",
+            "m.unit",
+            "m.value_minor",
+            "m.value",
+            "m.confidence",
+            "m.reason",
+            "m.source_count",
+            "m.drill_statement",
+            F.lit(ENGINE_VERSION).alias("engine_version"),
+        )
+    )
 
 
 def metric_table(
@@ -229,26 +288,9 @@ def metric_table(
     keys: Iterable[str] | None = None,
     organizations: DataFrame | None = None,
 ) -> DataFrame:
-    """Long metric table: one row per tenant and metric, with provenance."""
-    defs = [METRICS[k] for k in (METRICS if keys is None else keys)]
-    names = [m for d in defs for m in d.measures]
-    totals = with_every_tenant(measures(ledger, period, names), organizations)
-    rows = F.array(*[_metric_struct(d) for d in defs])
-    return totals.select("org_id", F.explode(rows).alias("m")).select(
-        "org_id",
-        "m.metric_key",
-        F.lit(period.start).alias("period_start"),
-        F.lit(period.end).alias("period_end"),
-        F.lit(period.grain).alias("grain"),
-        "m.unit",
-        "m.value_minor",
-        "m.value",
-        "m.confidence",
-        "m.reason",
-        "m.source_count",
-        "m.drill_statement",
-        F.lit(ENGINE_VERSION).alias("engine_version"),
-    )
+    """Long metric table of one period, with provenance."""
+    wanted = tuple(METRICS if keys is None else keys)
+    return metric_batch(ledger, [MetricRequest(period, wanted)], organizations)
 
 
 def _metric_struct(d: MetricDef) -> Column:
