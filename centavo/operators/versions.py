@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,3 +61,11 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     """The incoming rows to append: one per key, none already present and live."""
     present = existing.where(~F.col("is_voided")) if "is_voided" in existing.columns else existing
     return latest_by(incoming, keys, order).join(present.select(*keys), list(keys), "left_anti")
+
+
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe equality of `keys`; `right` holds one row per key."""
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
