@@ -50,7 +50,7 @@ def _present(value: Column) -> Column:
 
 
 def latest_records(records: DataFrame) -> DataFrame:
-    """One version per tenant, type and id: the last updated, then the last fetched.
+    """One version per tenant, type and id: the last updated, then the last fetched, then the later in its page.
 
     Records without an id cannot be versions of each other and all stay.
     """
@@ -63,7 +63,12 @@ def latest_records(records: DataFrame) -> DataFrame:
     named = latest_by(
         keyed.where(_present(F.col("_id"))),
         ["org_id", "record_type", "_id"],
-        [F.col("_updated").desc_nulls_last(), F.col("fetched_at").desc(), F.to_json("record").desc()],
+        [
+            F.col("_updated").desc_nulls_last(),
+            F.col("fetched_at").desc(),
+            F.col("page_index").desc(),
+            F.col("position").desc(),
+        ],
     )
     unnamed = keyed.where(~F.coalesce(_present(F.col("_id")), F.lit(False)))
     return named.unionByName(unnamed).drop("_id", "_updated")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from centavo.operators.documents import document_status
 from centavo.operators.versions import latest_by
@@ -27,12 +28,7 @@ PART_STATEMENT = {
 }
 
 
-def _lookup(column: str, mapping: dict[str, str]):
-    out = None
-    for key, value in mapping.items():
-        step = F.col(column) == key
-        out = F.when(step, value) if out is None else out.when(step, value)
-    return out
+_SCHEMAS: dict[str, StructType] = {}
 
 
 @dataclass(frozen=True)
@@ -44,69 +40,58 @@ class Books:
     as_of: dt.date = AS_OF
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A given table. Its schema is read from the file footer once per process."""
+        file = f"{self.path}/{name}.parquet"
+        if file not in _SCHEMAS:
+            _SCHEMAS[file] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(_SCHEMAS[file]).parquet(file)
 
     @property
     def organizations(self) -> DataFrame:
-        return self.table("nation").select(
-            F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name")
-        )
+        return self.table("nation").selectExpr("n_nationkey AS org_id", "n_name AS org_name")
 
     @property
     def customers(self) -> DataFrame:
-        return self.table("customer").select(
-            F.col("c_nationkey").cast("int").alias("org_id"),
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("name"),
+        return self.table("customer").selectExpr(
+            "CAST(c_nationkey AS INT) AS org_id", "c_custkey AS customer_id", "c_name AS name"
         )
 
     @property
     def vendors(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_nationkey").cast("int").alias("org_id"),
-            F.col("s_suppkey").alias("vendor_id"),
-            F.col("s_name").alias("name"),
+        return self.table("supplier").selectExpr(
+            "CAST(s_nationkey AS INT) AS org_id", "s_suppkey AS vendor_id", "s_name AS name"
         )
 
     @property
     def invoices(self) -> DataFrame:
-        as_of = F.lit(self.as_of)
-        zero = F.lit(0).cast("decimal(20,4)")
-        half = F.lit("0.5").cast("decimal(2,1)")
-        terms = F.when(F.col("o_custkey") % 3 == 0, 15).otherwise(30)
-        issued = F.col("o_orderdate").cast("date")
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("invoice_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderstatus").alias("state"),
-            issued.alias("issued_on"),
-            F.when(F.col("o_orderkey") % 97 != 0, F.date_add(issued, terms)).alias("due_date"),
-            F.round(F.col("o_totalprice").cast("decimal(20,6)"), 2).cast("decimal(20,4)").alias("total"),
+        """Orders as invoices; finished orders are paid a customer-specific number of days after the due date."""
+        as_of = f"DATE '{self.as_of}'"
+        orders = self.table("orders").selectExpr(
+            "o_orderkey AS invoice_id",
+            "o_custkey AS customer_id",
+            "o_orderstatus AS state",
+            "CAST(o_orderdate AS DATE) AS issued_on",
+            """CASE WHEN o_orderkey % 97 <> 0
+               THEN date_add(CAST(o_orderdate AS DATE), IF(o_custkey % 3 = 0, 15, 30)) END AS due_date""",
+            "CAST(round(CAST(o_totalprice AS DECIMAL(20,6)), 2) AS DECIMAL(20,4)) AS total",
         )
-        lag = (F.col("customer_id") % 40 - 3 + F.col("invoice_id") % 7).cast("int")
-        pay_date = F.date_add(F.col("due_date"), lag)
-        settled = (F.col("state") == "F") & (pay_date <= as_of)
-        tenant = self.customers.select("org_id", "customer_id")
-        return (
-            orders.join(tenant, "customer_id")
-            .select(
-                "org_id",
-                "invoice_id",
-                "customer_id",
-                "issued_on",
-                "due_date",
-                "total",
-                F.when(settled, pay_date).alias("paid_on"),
-                F.when(settled, zero)
-                .when(F.col("state") == "P", F.round(F.col("total") * half, 2).cast("decimal(20,4)"))
-                .otherwise(F.col("total"))
-                .alias("balance"),
-            )
-            .withColumn(
-                "status",
-                document_status(F.col("total"), F.col("balance"), F.col("due_date"), self.as_of),
-            )
+        dated = orders.join(self.customers.select("org_id", "customer_id"), "customer_id").selectExpr(
+            "*", "date_add(due_date, CAST(customer_id % 40 - 3 + invoice_id % 7 AS INT)) AS pay_date"
         )
+        settled = f"state = 'F' AND pay_date <= {as_of}"
+        billed = dated.selectExpr(
+            "org_id",
+            "invoice_id",
+            "customer_id",
+            "issued_on",
+            "due_date",
+            "total",
+            f"CASE WHEN {settled} THEN pay_date END AS paid_on",
+            f"""CASE WHEN {settled} THEN CAST(0 AS DECIMAL(20,4))
+                WHEN state = 'P' THEN CAST(round(total * 0.5, 2) AS DECIMAL(20,4)) ELSE total END AS balance""",
+        )
+        status = document_status(F.col("total"), F.col("balance"), F.col("due_date"), self.as_of)
+        return billed.withColumn("status", status)
 
     @property
     def line_items(self) -> DataFrame:
@@ -128,62 +113,60 @@ class Books:
 
     @property
     def expenses(self) -> DataFrame:
-        shipped = F.col("l_shipdate").cast("date")
-        parts = self.table("part").select("p_partkey", "p_type", "p_brand")
-        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey", "s_name")
-        lines = self.line_items
+        """Order lines as bills and, where the line is finished, purchases."""
+        classes = " ".join(f"WHEN '{kind}' THEN '{statement}'" for kind, statement in PART_STATEMENT.items())
+        parts = self.table("part").selectExpr(
+            "p_partkey AS l_partkey",
+            f"CASE p_type {classes} END AS statement",
+            "CASE WHEN p_brand <> 'Brand#1' THEN p_brand END AS category",
+        )
+        suppliers = self.table("supplier").selectExpr(
+            "s_suppkey AS l_suppkey", "CAST(s_nationkey AS INT) AS org_id", "s_name"
+        )
         return (
-            lines.join(parts, lines.l_partkey == parts.p_partkey)
-            .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
-            .select(
-                F.col("s_nationkey").cast("int").alias("org_id"),
-                F.concat_ws(":", "l_orderkey", "l_linenumber").alias("source_txn_id"),
-                F.when(F.col("l_linestatus") == "F", "Purchase").otherwise("Bill").alias("source_record_type"),
-                F.lit("outflow").alias("direction"),
-                F.col("l_extendedprice").cast("decimal(20,4)").alias("amount"),
-                shipped.alias("occurred_at"),
-                F.when(F.col("l_linestatus") == "F", shipped).alias("posted_at"),
-                F.when(F.col("l_quantity") >= 5, F.col("s_name")).alias("merchant_name"),
-                F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("category"),
-                _lookup("p_type", PART_STATEMENT).alias("statement"),
-                F.lit(None).cast("bigint").alias("customer_id"),
-                (~((F.col("l_returnflag") == "A") & (F.col("l_tax") == 0))).alias("is_canonical"),
-                ((F.col("l_returnflag") == "N") & (F.col("l_discount") == 0)).alias("is_transfer"),
-                ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.095)).alias("is_voided"),
+            self.line_items.join(parts, "l_partkey")
+            .join(suppliers, "l_suppkey")
+            .selectExpr(
+                "org_id",
+                "concat_ws(':', l_orderkey, l_linenumber) AS source_txn_id",
+                "IF(l_linestatus = 'F', 'Purchase', 'Bill') AS source_record_type",
+                "'outflow' AS direction",
+                "CAST(l_extendedprice AS DECIMAL(20,4)) AS amount",
+                "CAST(l_shipdate AS DATE) AS occurred_at",
+                "CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS posted_at",
+                "CASE WHEN l_quantity >= 5 THEN s_name END AS merchant_name",
+                "category",
+                "statement",
+                "CAST(NULL AS BIGINT) AS customer_id",
+                "NOT (l_returnflag = 'A' AND l_tax = 0) AS is_canonical",
+                "(l_returnflag = 'N' AND l_discount = 0) AS is_transfer",
+                "(l_returnflag = 'R' AND l_discount >= 0.095D) AS is_voided",
             )
         )
 
     @property
     def ledger(self) -> DataFrame:
+        """Bills and purchases, invoices as accrual revenue, payments as cash received."""
         invoices = self.invoices
-        shared = dict(
-            direction=F.lit("inflow"),
-            amount=F.col("total"),
-            merchant_name=F.lit(None).cast("string"),
-            category=F.lit(None).cast("string"),
-            is_canonical=F.lit(True),
-            is_transfer=F.lit(False),
-            is_voided=F.lit(False),
-            source_txn_id=F.col("invoice_id").cast("string"),
-        )
-        expenses = self.expenses
-        revenue = invoices.withColumns(
-            {
-                **shared,
-                "source_record_type": F.lit("Invoice"),
-                "occurred_at": F.col("issued_on"),
-                "posted_at": F.lit(None).cast("date"),
-                "statement": F.lit("revenue"),
-            }
-        )
-        payments = invoices.where(F.col("paid_on").isNotNull()).withColumns(
-            {
-                **shared,
-                "source_record_type": F.lit("Payment"),
-                "occurred_at": F.col("paid_on"),
-                "posted_at": F.col("paid_on"),
-                "statement": F.lit("asset"),
-            }
-        )
-        columns = expenses.columns
-        return expenses.unionByName(revenue.select(columns)).unionByName(payments.select(columns))
+
+        def inflow(kind: str, statement: str, occurred: str, posted: str) -> list[str]:
+            return [
+                "org_id",
+                "CAST(invoice_id AS STRING) AS source_txn_id",
+                f"'{kind}' AS source_record_type",
+                "'inflow' AS direction",
+                "total AS amount",
+                f"{occurred} AS occurred_at",
+                f"{posted} AS posted_at",
+                "CAST(NULL AS STRING) AS merchant_name",
+                "CAST(NULL AS STRING) AS category",
+                f"'{statement}' AS statement",
+                "customer_id",
+                "TRUE AS is_canonical",
+                "FALSE AS is_transfer",
+                "FALSE AS is_voided",
+            ]
+
+        revenue = invoices.selectExpr(*inflow("Invoice", "revenue", "issued_on", "CAST(NULL AS DATE)"))
+        payments = invoices.where("paid_on IS NOT NULL").selectExpr(*inflow("Payment", "asset", "paid_on", "paid_on"))
+        return self.expenses.unionByName(revenue).unionByName(payments)

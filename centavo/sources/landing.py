@@ -90,13 +90,14 @@ def unique_pages(pages: DataFrame) -> DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One row per record of the pages, with the record as VARIANT."""
+    """One row per record of the pages, with the record as VARIANT and its place in the page."""
     return pages.select(
         "org_id",
         "connection_id",
         "record_type",
         "fetched_at",
-        F.explode(page_records(F.col("payload"), F.col("record_type"))).alias("record"),
+        "page_index",
+        F.posexplode(page_records(F.col("payload"), F.col("record_type"))).alias("position", "record"),
     )
 
 
