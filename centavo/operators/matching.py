@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from centavo.functions.text import merchant_key, name_key
-from centavo.operators.versions import attach, latest_by
+from centavo.operators.versions import attach, latest_by, lookup
 
 
 def rank_in_runs(
@@ -173,13 +173,14 @@ def categorise(rows: DataFrame, rules: DataFrame) -> DataFrame:
         "org_id", "merchant_key", F.col("category").alias("rule_category")
     )
     keyed = rows.withColumn("merchant_key", merchant_key(F.col("merchant_name")))
+    keyed = keyed.withColumn("_row", F.xxhash64(*rows.columns))
     source = (
         F.when(F.col("category_locked"), "user")
         .when(F.col("rule_category").isNotNull(), "rule")
         .when(F.col("category").isNotNull(), "source_system")
         .otherwise("default")
     )
-    joined = keyed.join(best, ["org_id", "merchant_key"], "left")
+    joined = lookup(keyed, best, ["org_id", "merchant_key"], "_row")
     return joined.select(
         *[c for c in rows.columns if c != "category"],
         F.when(F.col("category_locked"), F.col("category"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from centavo.functions.text import name_key
 from centavo.operators.documents import document_status
-from centavo.operators.versions import latest_by
+from centavo.operators.versions import latest_by, lookup
 
 TRANSFORM_VERSION = "1"
 UNCATEGORIZED = "uncategorized"
@@ -111,14 +111,14 @@ def normalize_expenses(records: DataFrame, record_type: str, accounts: DataFrame
         "party",
         account.alias("source_account_id"),
     ).where(F.col("amount").isNotNull())
-    lookup = accounts.select(
+    mapping = accounts.select(
         "org_id",
         "source_account_id",
         F.col("statement").alias("account_statement"),
         F.col("name").alias("account_name"),
         F.col("category_key").alias("account_category"),
     )
-    joined = lines.join(lookup, ["org_id", "source_account_id"], "left")
+    joined = lookup(lines, mapping, ["org_id", "source_account_id"], "source_txn_id")
     mapped = F.col("account_statement").isNotNull()
     return joined.select(
         "org_id",
@@ -275,8 +275,8 @@ def resolve_keys(
     own = categories.where(F.col("org_id").isNotNull()).select("org_id", F.col("key").alias("category_key"), F.col("category_id").alias("own_id"))
     system = categories.where(F.col("org_id").isNull()).select(F.col("key").alias("category_key"), F.col("category_id").alias("system_id"))
     return (
-        transactions.join(account_ids, ["org_id", "source_account_id"], "left")
-        .join(customer_ids, ["org_id", "source_customer_id"], "left")
+        transactions.transform(lookup, account_ids, ["org_id", "source_account_id"], "source_txn_id")
+        .transform(lookup, customer_ids, ["org_id", "source_customer_id"], "source_txn_id")
         .join(own, ["org_id", "category_key"], "left")
         .join(system, "category_key", "left")
         .withColumn("category_id", F.coalesce("own_id", "system_id"))

@@ -69,3 +69,18 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, spread: int = 64) -> DataFrame:
+    """Left join to a table of one row per key, with the keyless rows spread out.
+
+    Rows whose key is null match nothing but would all hash to one partition;
+    they get a salt of their own, rows with a key get salt 0 like the right side.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(missing, F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int")).otherwise(0)
+    return (
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
+        .drop("_salt")
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,24 +57,37 @@ def read_index(spark: SparkSession, path: str, before_batch: int | None = None)
 
 
 def write_new_pages(target: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer that appends the pages not archived by an earlier batch."""
+    """Batch writer that appends the pages not archived by an earlier batch.
+
+    The batch is staged first, so the stateful stream plan runs once however
+    often its rows are read. Only the keys of this batch are looked up in the
+    index, which is scanned but not shuffled while the batch's keys are few.
+    """
+    columns = [f.name for f in INDEX_SCHEMA.fields if f.name != "batch_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _index_or_none(spark, target, batch_id)
-        fresh = landing.unique_pages(batch)
-        if seen is not None:
-            fresh = fresh.join(seen.select(*PAGE_KEY), PAGE_KEY, "left_anti")
-        columns = [f.name for f in INDEX_SCHEMA.fields if f.name != "batch_id"]
-        fresh.select(*columns).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        staged_path = f"{target}-staged/batch_id={batch_id}"
+        landing.unique_pages(batch).select(*columns).write.mode("overwrite").parquet(staged_path)
+        staged = spark.read.schema(T.StructType(INDEX_SCHEMA.fields[:-1])).parquet(staged_path)
+        fresh = staged
+        if _exists(spark, target):
+            archived = read_index(spark, target, batch_id).select(*PAGE_KEY)
+            seen = archived.join(staged.select(*PAGE_KEY), PAGE_KEY, "left_semi")
+            fresh = staged.join(seen, PAGE_KEY, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return write
 
 
-def _index_or_none(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return read_index(spark, target, batch_id) if fs.exists(hadoop_path) else None
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        read_index(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def backfill(spark: SparkSession, landing_path: str, target: str, checkpoint: str) -> StreamingQuery:

@@ -183,8 +183,8 @@ def test_category_of_the_tenant_wins_over_the_system_row(spark):
         [(None, "opex.rent", "S"), (1, "opex.rent", "T")], "org_id int, key string, category_id string"
     )
     rows = spark.createDataFrame(
-        [(1, "opex.rent", "x", "y"), (2, "opex.rent", "x", "y"), (2, "nothing", "x", "y")],
-        "org_id int, category_key string, source_account_id string, source_customer_id string",
+        [(1, "opex.rent", "x", "y", "1"), (2, "opex.rent", None, "y", "2"), (2, "nothing", "x", None, "3")],
+        "org_id int, category_key string, source_account_id string, source_customer_id string, source_txn_id string",
     )
     none_a = spark.createDataFrame([], "org_id int, source_account_id string")
     none_c = spark.createDataFrame([], "org_id int, source_customer_id string")
