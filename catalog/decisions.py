@@ -258,7 +258,7 @@ SLOWER = scenarios.Scenario("slower payers, higher prices", collection_delay_day
 
 @query(
     "scenario_hire",
-    "X-6",
+    "2.10",
     sql=INPUTS
     + """, ex AS (SELECT org_id, i, p50, p50 - 1300000 * SUM(CASE WHEN i >= 30 AND day(date) = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY org_id ORDER BY i) AS q FROM points)
 SELECT org_id, CAST(MAX(CASE WHEN i = 91 THEN p50 END) AS BIGINT) AS base_end_minor, CAST(MIN(p50) AS BIGINT) AS base_low_minor, CAST(MIN(CASE WHEN p50 < 0 THEN i END) AS INT) AS base_first_negative_day,
@@ -271,7 +271,7 @@ def scenario_hire(b):
 
 @query(
     "scenario_slower_collections",
-    "X-6",
+    "2.10",
     sql=INPUTS
     + """, mv AS (SELECT org_id, CAST(pay_date - DATE '2001-08-01' AS INT) AS i, -amount_minor AS x FROM runs
 UNION ALL SELECT s.org_id, s.i, -v.typical_minor FROM spine s JOIN vendors v ON v.org_id = s.org_id AND v.day_of_month = day(s.date)
@@ -312,3 +312,27 @@ def firm_console(b):
         large,
         quality.data_freshness(connections(b)),
     )
+
+
+@query("simulated_band", "2.10")
+def simulated_band(b):
+    """Correlated draws; checked for order and against the closed form in the tests."""
+    from centavo.plans.simulation import SimulationOptions, simulated_band
+
+    return simulated_band(inputs(b), OPTIONS, SimulationOptions(paths=2_000))
+
+
+@query(
+    "nearest_chunks",
+    "2.10",
+    sql="""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20""",
+    views=False,
+)
+def nearest_chunks(b):
+    """The chunks nearest to the first one, whose vector stands for the question."""
+    from centavo.operators.similarity import nearest_chunks
+
+    chunks = b.table("embeddings")
+    question = chunks.orderBy("vec_id").first()["embedding"]
+    return nearest_chunks(chunks, question, 20)

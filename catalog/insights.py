@@ -310,7 +310,7 @@ def subscription_metrics(b):
 
 @query(
     "seasonal_index",
-    "W-5",
+    "2.10",
     sql=f""", mo AS (SELECT org_id, date_trunc('month', occurred_at) AS m, SUM(minor) AS y FROM base WHERE statement = 'opex' AND occurred_at BETWEEN DATE '1999-08-01' AND DATE '2001-07-31' GROUP BY 1, 2),
 g AS (SELECT org_id, CAST(month(m) AS INT) AS month_of_year, SUM(y) AS y, COUNT(*) AS n FROM mo GROUP BY 1, 2)
 SELECT org_id, month_of_year, FLOOR({d('y')} / {d('n')} / ({d('SUM(y) OVER w')} / {d('SUM(n) OVER w')}) * {d(10000)} + {d(0.5)}) / {d(10000)} AS seasonal_index FROM g WINDOW w AS (PARTITION BY org_id)""",
@@ -321,7 +321,7 @@ def seasonal_index(b):
 
 @query(
     "tax_set_aside",
-    "F-6",
+    "2.10",
     sql="""SELECT org_id, CAST(p AS BIGINT) AS profit_minor, CAST(ROUND(CAST(GREATEST(p, 0) AS DECIMAL(19,0)) * CASE WHEN n_regionkey = 0 THEN 0.25 ELSE 0.21 END) AS BIGINT) AS set_aside_minor FROM (
 SELECT org_id, SUM(CASE WHEN statement = 'revenue' THEN minor ELSE -minor END) AS p FROM base WHERE statement IN ('revenue', 'cogs', 'opex', 'payroll') AND occurred_at BETWEEN DATE '2001-01-01' AND DATE '2001-08-01' GROUP BY 1) x JOIN nation ON n_nationkey = org_id""",
 )
@@ -335,7 +335,7 @@ def tax_set_aside(b):
 
 @query(
     "outgrowing_categories",
-    "A-14",
+    "2.10",
     sql=f""", g AS (SELECT org_id, CASE WHEN statement <> 'revenue' THEN label END AS label, COALESCE(SUM(CASE WHEN occurred_at >= DATE '2001-02-01' THEN minor END), 0) AS a, COALESCE(SUM(CASE WHEN occurred_at < DATE '2001-02-01' THEN minor END), 0) AS b
   FROM base WHERE statement IN ('revenue', 'opex', 'cogs', 'payroll') AND occurred_at BETWEEN DATE '2000-08-03' AND DATE '2001-08-01' GROUP BY 1, 2),
 r AS (SELECT org_id, {d('a')} / {d('b')} AS base_g FROM g WHERE label IS NULL AND b > 0), c AS (SELECT *, {d('a')} / {d('b')} AS gr FROM g WHERE label IS NOT NULL AND b > 0)

@@ -35,7 +35,7 @@ def _raw(path: str, record: str) -> Column:
 
 def is_number(path: str, record: str = "record") -> Column:
     kind = F.schema_of_variant(_raw(path, record))
-    return F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
 
 
 def amount(path: str, record: str = "record") -> Column:
@@ -52,26 +52,24 @@ def _present(value: Column) -> Column:
 def latest_records(records: DataFrame) -> DataFrame:
     """One version per tenant, type and id: the last updated, then the last fetched, then the later in its page.
 
-    Records without an id cannot be versions of each other and all stay.
+    Records without an id cannot be versions of each other: each is keyed by
+    its own place in the landing and stays.
     """
+    place = F.concat_ws("/", "connection_id", "fetched_at", "page_index", "position")
+    named = F.coalesce(_present(text("Id")), F.lit(False))
     keyed = records.withColumns(
         {
-            "_id": text("Id"),
+            "_id": F.when(named, F.concat(F.lit("id:"), text("Id"))).otherwise(F.concat(F.lit("at:"), place)),
             "_updated": F.try_variant_get("record", "$.MetaData.LastUpdatedTime", "timestamp"),
         }
     )
-    named = latest_by(
-        keyed.where(_present(F.col("_id"))),
-        ["org_id", "record_type", "_id"],
-        [
-            F.col("_updated").desc_nulls_last(),
-            F.col("fetched_at").desc(),
-            F.col("page_index").desc(),
-            F.col("position").desc(),
-        ],
-    )
-    unnamed = keyed.where(~F.coalesce(_present(F.col("_id")), F.lit(False)))
-    return named.unionByName(unnamed).drop("_id", "_updated")
+    order = [
+        F.col("_updated").desc_nulls_last(),
+        F.col("fetched_at").desc(),
+        F.col("page_index").desc(),
+        F.col("position").desc(),
+    ]
+    return latest_by(keyed, ["org_id", "record_type", "_id"], order).drop("_id", "_updated")
 
 
 def _document_ok() -> Column:
@@ -87,7 +85,8 @@ def _expense_lines(records: DataFrame) -> DataFrame:
     """Header fields with one row per line; documents without lines give one row with a null line."""
     return records.where(_document_ok()).select(
         "org_id",
-        "record",
+        amount("TotalAmt").alias("header_amount"),
+        text("TotalAmt").alias("header_text"),
         text("Id").alias("doc_id"),
         date("TxnDate").alias("occurred_at"),
         F.coalesce(text("EntityRef.name"), text("VendorRef.name")).alias("party"),
@@ -99,7 +98,7 @@ def normalize_expenses(records: DataFrame, record_type: str, accounts: DataFrame
     """Purchases or bills to outflow rows, one per line, joined with the account mapping."""
     rows = _expense_lines(records)
     header = F.col("line_no").isNull()
-    value = F.when(header, amount("TotalAmt")).otherwise(amount("Amount", "line"))
+    value = F.when(header, F.col("header_amount")).otherwise(amount("Amount", "line"))
     account = text("AccountBasedExpenseLineDetail.AccountRef.value", "line")
     lines = rows.select(
         "org_id",
@@ -242,12 +241,11 @@ def document_warnings(records: DataFrame, record_type: str) -> DataFrame:
         F.lit(None).cast("string"),
     )
     if record_type in ("Purchase", "Bill"):
-        rows = _expense_lines(records).withColumn(
-            "bad",
-            F.when(F.col("line_no").isNull(), ~is_number("TotalAmt")).otherwise(~is_number("Amount", "line")),
-        )
-        shown = F.when(F.col("line_no").isNull(), text("TotalAmt")).otherwise(text("Amount", "line"))
-        bad = rows.where("bad").select("org_id", shown.alias("shown"), "doc_id")
+        rows = _expense_lines(records)
+        header = F.col("line_no").isNull()
+        refused = F.when(header, F.col("header_amount").isNull()).otherwise(~is_number("Amount", "line"))
+        shown = F.when(header, F.col("header_text")).otherwise(text("Amount", "line"))
+        bad = rows.where(refused).select("org_id", shown.alias("shown"), "doc_id")
     else:
         bad = records.where(_document_ok() & ~is_number("TotalAmt")).select(
             "org_id", text("TotalAmt").alias("shown"), text("Id").alias("doc_id")
