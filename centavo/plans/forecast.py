@@ -16,10 +16,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from centavo.functions.money import format_usd, half_up_mean, minor, signed
+from centavo.functions.money import format_usd, half_up_mean, minor, round_half_up, signed
 from centavo.functions.periods import after_days_before, after_months_before
 from centavo.operators.behavior import MIN_SAMPLES, fit_behavior
-from centavo.operators.predicates import live, open_documents, settled
+from centavo.operators.predicates import OPEN_STATES, live, open_documents, settled
 from centavo.operators.versions import top_per
 
 METHOD_VERSION = "1"
@@ -180,39 +180,72 @@ def receivable_timing(invoices: DataFrame, behavior: DataFrame, o: ForecastOptio
     )
 
 
-def receivable_inputs(invoices: DataFrame, behavior: DataFrame, o: ForecastOptions) -> DataFrame:
-    """One row per tenant: balance per day of the horizon."""
-    inside = F.col("day") <= o.horizon_days
-    return (
-        receivable_timing(invoices, behavior, o)
-        .groupBy("org_id", F.when(inside, F.col("day")).alias("day"))
-        .agg(F.sum("balance_minor").alias("balance_minor"), F.bool_or("confident").alias("confident"))
-        .groupBy("org_id")
+def invoice_inputs(invoices: DataFrame, o: ForecastOptions) -> DataFrame:
+    """One row per tenant from one scan of the invoices: receivables per day and new revenue.
+
+    Rows are summed per customer and due date. The customer's mean lateness is
+    then a window over those sums, a bounded number per customer, so behaviour
+    needs no join of its own.
+    """
+    owed = F.col("status").isin(*OPEN_STATES) & (F.col("balance") > 0)
+    both = F.col("paid_on").isNotNull() & F.col("due_date").isNotNull()
+    lag = F.datediff("paid_on", "due_date").cast("bigint")
+    fitted = both & (F.col("status") == "paid") & F.col("customer_id").isNotNull()
+    recent = after_months_before(F.col("issued_on"), o.as_of, o.revenue_months)
+    due = F.coalesce(F.col("due_date"), F.lit(o.as_of))
+    sums = invoices.groupBy("org_id", "customer_id", F.when(owed, due).alias("due_date")).agg(
+        F.sum(F.when(owed, minor("balance"))).alias("balance_minor"),
+        F.count(F.when(fitted, 1)).alias("lag_n"),
+        F.sum(F.when(fitted, lag)).alias("lag_sum"),
+        F.sum(F.when(recent, minor("total"))).alias("issued_minor"),
+        F.sum(F.when(recent & both, lag)).alias("recent_lag_sum"),
+        F.count(F.when(recent & both, 1)).alias("recent_lag_n"),
+    )
+    customer = Window.partitionBy("org_id", "customer_id")
+    n, total = F.sum("lag_n").over(customer), F.sum("lag_sum").over(customer)
+    timed = sums.withColumns(
+        {
+            "sample_count": n,
+            "mean_days_late": round_half_up(total.cast("double") / F.when(n > 0, n.cast("double")), 2),
+        }
+    )
+    open_row = F.col("due_date").isNotNull()
+    day = F.when(open_row, expected_day(o))
+    by_day = (
+        timed.withColumns({"day": day, "confident": open_row & (F.col("sample_count") >= MIN_SAMPLES)})
+        .groupBy("org_id", F.when(F.col("day") <= o.horizon_days, F.col("day")).alias("day"))
         .agg(
-            F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", "balance_minor"))).alias("receivables"),
-            F.bool_or("confident").alias("timing_from_history"),
+            F.sum("balance_minor").alias("balance_minor"),
+            F.bool_or("confident").alias("confident"),
+            *[F.sum(c).alias(c) for c in ("issued_minor", "recent_lag_sum", "recent_lag_n")],
         )
     )
+    return by_day.groupBy("org_id").agg(
+        F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", "balance_minor"))).alias("receivables"),
+        F.bool_or("confident").alias("timing_from_history"),
+        *_run_rate(F.sum("issued_minor"), F.sum("recent_lag_sum"), F.sum("recent_lag_n"), o),
+    )
+
+
+def _run_rate(issued: Column, lag_sum: Column, lag_n: Column, o: ForecastOptions) -> list[Column]:
+    rate = Fraction(o.revenue_factor) / o.revenue_months
+    mean_lag = F.coalesce(half_up_mean(lag_sum, lag_n), F.lit(o.default_days_late))
+    return [
+        half_up_mean(issued * rate.numerator, rate.denominator).alias("new_revenue_minor"),
+        (mean_lag + o.collection_days).cast("int").alias("collection_lag_days"),
+    ]
 
 
 def new_revenue(invoices: DataFrame, o: ForecastOptions) -> DataFrame:
     """Discounted monthly invoicing run rate and the day from which it is collected."""
-    issued = F.col("issued_on")
     lag = F.when(
         F.col("paid_on").isNotNull() & F.col("due_date").isNotNull(),
         F.datediff("paid_on", "due_date").cast("bigint"),
     )
-    rate = Fraction(o.revenue_factor) / o.revenue_months
-    mean_lag = half_up_mean(F.sum(lag), F.count(lag))
     return (
-        invoices.where(after_months_before(issued, o.as_of, o.revenue_months))
+        invoices.where(after_months_before(F.col("issued_on"), o.as_of, o.revenue_months))
         .groupBy("org_id")
-        .agg(
-            half_up_mean(F.sum(minor("total")) * rate.numerator, rate.denominator).alias("new_revenue_minor"),
-            (F.coalesce(mean_lag, F.lit(o.default_days_late)) + o.collection_days).cast("int").alias(
-                "collection_lag_days"
-            ),
-        )
+        .agg(*_run_rate(F.sum(minor("total")), F.sum(lag), F.count(lag), o))
     )
 
 
@@ -252,15 +285,14 @@ def forecast_inputs(
 
     With `customers` the late-invoice candidates used by the risk rules are added.
     """
-    behavior = fit_behavior(invoices)
     out = (
         organizations.select("org_id")
         .join(ledger_inputs(ledger, o), "org_id", "left")
-        .join(receivable_inputs(invoices, behavior, o), "org_id", "left")
-        .join(new_revenue(invoices, o), "org_id", "left")
+        .join(invoice_inputs(invoices, o), "org_id", "left")
     )
     if customers is not None:
-        out = out.join(late_candidates(invoices, customers, behavior, o), "org_id", "left")
+        late = late_candidates(invoices, customers, fit_behavior(invoices), o)
+        out = out.join(late, "org_id", "left")
     return out.withColumns(
         {
             "starting_cash_minor": F.coalesce("starting_cash_minor", _zero()),
