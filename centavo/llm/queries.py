@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centavo.llm import decontaminate, neighbours, secrets, toxicity
+from centavo.llm import decontaminate, jaccard, neighbours, secrets, toxicity
 from centavo.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -63,3 +63,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nearest_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+FROM documents
+), s AS (
+SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), shared AS (
+SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * n_both >= 75 * (a.size + b.size - n_both)
+), reach AS (
+SELECT doc_id AS x, doc_id AS y FROM d
+UNION
+SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+), least AS (
+SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
+@query("op8_ngram_jaccard_join", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
