@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centavo.llm import decontaminate, jaccard, neighbours, secrets, toxicity
+from centavo.llm import decontaminate, hilbert, html_text, jaccard, neighbours, secrets, toxicity
 from centavo.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -92,3 +92,17 @@ SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id FROM d LEFT JOIN n
 @query("op8_ngram_jaccard_join", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_hilbert_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = hilbert.document_cells(table(spark, sf_dir, "documents"))
+    placed = hilbert.shard(cells, ["d_source", "d_lang", "d_size", "d_id"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
