@@ -6,9 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+import centavo.llm
+
+# Tasks get these functions with their code, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(centavo.llm)
 
 CHUNK_BYTES = 2 << 20
 DOCUMENT = "doc_id bigint, text string"
@@ -23,13 +30,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     """`fn` takes a batch of at most about CHUNK_BYTES of its string columns (a longer single row
     comes alone) and yields columns of the output."""
     out = T._parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 for columns in fn(part):
                     arrays = [_array(columns[f.name], f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -43,7 +48,7 @@ def _array(values, kind) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):

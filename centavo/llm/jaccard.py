@@ -3,16 +3,19 @@
 1. One scan gives each document its set size and the hash of its set (documents of one hash are one
    node), and the heavy shingles: those in more than a stated share of all documents, whose number
    that share bounds.
-2. Shingles have one global order: heavy ones last, else by hash. Two sets similar enough share, by
-   pigeonhole, at least so many of their first shingles in that order. Those prefixes are shuffled by
-   shingle in packed blocks; shingles of one node drop out, then nodes left with too few.
-3. Nodes that still share a prefix shingle are joined into candidate groups (every pair of similar
-   sets lies in one). A heavy shingle is a vertex of its own there, so its documents never meet in a task.
-4. The sets of a group are read again and dealt in blocks; each pair of blocks is one unit of work.
+2. Sieve: by pigeonhole two similar sets share at least so many of their first shingles in any one
+   order. Prefixes in order of hash (heavy ones last) are shuffled by shingle in packed blocks; nodes
+   with too few prefix shingles in common with others drop out.
+3. The texts of the nodes left are read again. All their shingles are counted; a node stays if enough of
+   them are shared. Ordered by count, rarest first, similar sets share a shingle of their prefixes: these
+   link the nodes into candidate groups (every similar pair lies in one). A heavy shingle is a
+   vertex of its own there, so its documents never meet in a task.
+4. The sets of a group are dealt in blocks; each pair of blocks is one unit of work.
    A unit stores its sets in a prefix tree, walks it with all probing sets together, shares the
    overlap of a path among the sets below it and leaves a subtree as soon as the lengths that
    remain cannot reach the threshold. Linked sets leave the unit as a spanning forest.
 
+Steps 2 and 3 know a shingle by 32 bits beside its block: a clash can only keep a node too many.
 Sets are compared as 63-bit hashes of their shingles. A text without words has an empty set that is
 linked with nothing; one with fewer words than a shingle is one shingle of all its words. doc_id names
 a document: a component is named by its smallest doc_id and rows that repeat a doc_id are each answered.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centavo.llm.arrow import id_and_text, map_batches, separated, text_bytes
+from centavo.llm.arrow import id_and_text, map_batches, separated, slices, text_bytes
 from centavo.llm.components import components, forest
 from centavo.session import written
 
@@ -38,7 +41,6 @@ HEAVY_SHARE = 0.002  # of all documents; at most (mean set size / share) shingle
 SEGMENT = 1 << 21  # shingles counted at a time when looking for heavy ones
 PACKED = 1 << 20  # prefix shingles in a block of the first shuffle, about
 UNIT = 1024  # sets of a group in a block
-TOP = np.uint64(1 << 63)
 RECORD = "kind int, block bigint, first binary, second binary"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,8 +125,6 @@ def measure(docs: DataFrame, n: int, share: float) -> DataFrame:
     """kind 0: doc_id, set size, node. kind 1: shingle, how many documents of a segment have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from centavo.llm.arrow import _slices
-
         def rows(kind, a, b, c):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
 
@@ -134,7 +134,7 @@ def measure(docs: DataFrame, n: int, share: float) -> DataFrame:
 
         segment, size, held = [], 0, 0
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 value, bounds = shingle_sets(part.column(1), n)
                 yield rows(0, part.column(0), np.diff(bounds), nodes_of(value, bounds))
                 segment.append(value)
@@ -148,21 +148,29 @@ def measure(docs: DataFrame, n: int, share: float) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "kind int, a bigint, b bigint, c bigint")
 
 
-def _needed(size: np.ndarray, percent: int) -> np.ndarray:
+def needed(size: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any set that is similar enough."""
     return -(-size * percent // 100)
 
 
 def prefix_sizes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many first shingles of a set matter, and how many of them a similar set must share at least."""
-    need = _needed(size, percent)
+    """How many first shingles of a set are looked at, and how many of them a similar set must share at least."""
+    need = needed(size, percent)
     return np.minimum(size, size - need + 1 + size // 16), 1 + need // 16
 
 
+#: Packed postings: a shingle's part within its block, and the node and size of a set that has it.
+PART, OWNER = np.dtype("<u4"), np.dtype([("node", "<i8"), ("size", "<u4")])
+#: The same with the whole shingle and how many nodes have it (HEAVY_COUNT: a heavy one).
+FULL = np.dtype([("shingle", "<u8"), ("count", "<u4")])
+HEAVY_COUNT = 0xFFFFFFFF
+SHARED, HEAVY, LINK = 0, 1, 2  # kinds of packed records: by shingle, heavy, links of a finished forest
+
+
 def _pack(kind: int, block: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     order = np.argsort(block, kind="stable")
     block, columns = block[order], [c[order] for c in columns]
-    edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1)) if len(block) else np.zeros(1, np.int64)
+    edges = np.append(0, np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))) if len(block) else np.zeros(1, np.int64)
     for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield (kind, int(block[b]), *[c[b:e].tobytes() for c in columns])
 
@@ -175,18 +183,17 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-SHARED, HEAVY, LINK = 0, 1, 2  # kinds of packed records: by shingle, heavy, links of a finished forest
+def _by_node(node: np.ndarray, blocks: int) -> np.ndarray:
+    return (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, blocks: int) -> DataFrame:
-    """Packed (shingle, node) of the prefixes; heavy ones apart. A node is sent once per task."""
+def _postings(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, blocks: int, prefix: bool) -> DataFrame:
+    """Packed postings of the prefixes, or of whole sets; a node is sent once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from centavo.llm.arrow import _slices
-
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 value, bounds = shingle_sets(part.column(1), n)
                 node, size = nodes_of(value, bounds), np.diff(bounds)
                 _, first = np.unique(node, return_index=True)
@@ -201,28 +208,26 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, blocks:
                 at = np.searchsorted(heavy, value)
                 common = np.zeros(len(value), bool)
                 common[at < len(heavy)] = heavy[at[at < len(heavy)]] == value[at < len(heavy)]
-                key = value | np.where(common, TOP, np.uint64(0))
-                order = np.lexsort((key, row))
-                key, row, common = key[order], row[order], common[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < prefix_sizes(size, percent)[0][row]
-                key, row, common = key[keep], row[keep], common[keep]
-                # a node travels with how many prefix shingles it must share, in the two low bytes of a pair
-                least = np.minimum(prefix_sizes(size, percent)[1], 0xFFFFFFFF)[row].astype(np.uint32)
-                pair = np.empty(len(row), PAIR)
-                pair["node"], pair["least"] = node[row], least
-                rows = list(_pack(SHARED, (key[~common] % np.uint64(blocks)).astype(np.int64), key[~common], pair[~common]))
-                rows += list(_pack(HEAVY, pair["node"][common].view(np.uint64) % np.uint64(blocks), key[common], pair[common]))
+                if prefix:
+                    order = np.lexsort((value, common, row))
+                    value, row, common = value[order], row[order], common[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < prefix_sizes(size, percent)[0][row]
+                    value, row, common = value[keep], row[keep], common[keep]
+                owner = np.empty(len(row), OWNER)
+                owner["node"], owner["size"] = node[row], size[row]
+                rare = ~common
+                block, inner = value % np.uint64(blocks), (value // np.uint64(blocks)).astype(PART)
+                rows = list(_pack(SHARED, block[rare].astype(np.int64), inner[rare], owner[rare]))
+                full = np.empty(int(common.sum()), FULL)
+                full["shingle"], full["count"] = value[common], HEAVY_COUNT
+                rows += list(_pack(HEAVY, _by_node(owner["node"][common], blocks), full, owner[common]))
                 yield _records(rows)
 
     return id_and_text(docs).mapInArrow(run, RECORD)
 
 
-PAIR = np.dtype([("node", "<i8"), ("least", "<u4")])
-
-
 def _by_block(frame: DataFrame, blocks: int, fn) -> DataFrame:
-    """All records of a (kind, block) together: `fn(kind, firsts, seconds)` yields records."""
+    """All records of a (kind, block) together: `fn(kind, block, first, second)` yields records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int] | None = None
@@ -231,71 +236,103 @@ def _by_block(frame: DataFrame, blocks: int, fn) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns]
             for kind, block, a, b in zip(*columns, strict=True):
                 if held != (kind, block) and held is not None:
-                    yield _records(list(fn(held[0], b"".join(first), b"".join(second))))
+                    yield _records(list(fn(*held, b"".join(first), b"".join(second))))
                     first, second = [], []
                 held = (kind, block)
                 first.append(a)
                 second.append(b)
         if held is not None:
-            yield _records(list(fn(held[0], b"".join(first), b"".join(second))))
+            yield _records(list(fn(*held, b"".join(first), b"".join(second))))
 
     return frame.repartition(blocks, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, RECORD)
 
 
+def _once(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Places of each (key, node) once, by key, then node."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    return order[new]
+
+
 def _shared_only(blocks: int):
-    """Keep shingles of two nodes or more, and deal what is left by node."""
-
-    def fn(kind, first, second):
-        key, pair = np.frombuffer(first, np.uint64), np.frombuffer(second, PAIR)
-        if kind == SHARED:
-            order = np.lexsort((pair["node"], key))
-            key, pair = key[order], pair[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (pair["node"][1:] != pair["node"][:-1])
-            key, pair = key[new], pair[new]
-            same = key[1:] == key[:-1]
-            twice = np.zeros(len(key), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            key, pair = key[twice], pair[twice]
-        if len(key):
-            yield from _pack(SHARED, (pair["node"].view(np.uint64) % np.uint64(blocks)).astype(np.int64), key, pair)
+    """Keep shingles of two nodes or more with their counts, and deal what is left by node."""
+
+    def fn(kind, block, first, second):
+        owner = np.frombuffer(second, OWNER)
+        if kind == HEAVY:
+            full = np.frombuffer(first, FULL)
+        else:
+            inner = np.frombuffer(first, PART)
+            place = _once(inner, owner["node"])
+            inner, owner = inner[place], owner[place]
+            _, at, count = np.unique(inner, return_inverse=True, return_counts=True)
+            count = count[at.ravel()]
+            many = count > 1
+            owner = owner[many]
+            full = np.empty(len(owner), FULL)
+            full["shingle"] = inner[many].astype(np.uint64) * np.uint64(blocks) + np.uint64(block)
+            full["count"] = count[many]
+        if len(full):
+            yield from _pack(SHARED, _by_node(np.ascontiguousarray(owner["node"]), blocks), full, owner)
 
     return fn
 
 
-def _enough_left(blocks: int):
-    """Keep nodes with as many shared prefix shingles as they need; heavy ones end as links here."""
-
-    def fn(kind, first, second):
-        key, pair = np.frombuffer(first, np.uint64), np.frombuffer(second, PAIR)
-        order = np.lexsort((key, pair["node"]))
-        key, pair = key[order], pair[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (pair["node"][1:] != pair["node"][:-1])
-        key, pair = key[new], pair[new]
-        _, at, count = np.unique(pair["node"], return_inverse=True, return_counts=True)
-        keep = count[at.ravel()] >= pair["least"]
-        key, pair = key[keep], pair[keep]
-        heavy = key >= TOP
-        if (~heavy).any():
-            yield from _pack(SHARED, (key[~heavy] % np.uint64(blocks)).astype(np.int64), key[~heavy], np.ascontiguousarray(pair["node"][~heavy]))
-        if heavy.any():
-            # shingle vertices are even, nodes odd, so they never meet
-            a, b = forest(pair["node"][heavy], (key[heavy] << np.uint64(1)).view(np.int64))
-            yield (LINK, int(abs(int(a[0])) % blocks), a.tobytes(), b.tobytes())
+def _of_nodes(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by node, each once; how many the node has."""
+    full, owner = np.frombuffer(first, FULL), np.frombuffer(second, OWNER)
+    place = _once(full["shingle"], owner["node"])
+    full, owner = full[place], owner[place]
+    _, at, count = np.unique(owner["node"], return_inverse=True, return_counts=True)
+    return full, owner, count[at.ravel()]
+
+
+def _sieved(percent: int):
+    """Nodes with as many shared prefix shingles as a similar set asks for."""
+
+    def fn(kind, block, first, second):
+        _, owner, count = _of_nodes(first, second)
+        keep = count >= prefix_sizes(owner["size"].astype(np.int64), percent)[1]
+        node = np.unique(owner["node"][keep])
+        yield (LINK, 0, node.tobytes(), node.tobytes())
 
     return fn
 
 
-def _linked(kind, first, second):
+def _rare_prefix(percent: int, blocks: int):
+    """Of nodes with enough shared shingles, the shared ones of the prefix, rarest first; heavy ones end as links here."""
+
+    def fn(kind, block, first, second):
+        full, owner, count = _of_nodes(first, second)
+        size = owner["size"].astype(np.int64)
+        keep = count >= needed(size, percent)
+        full, owner, count, size = full[keep], owner[keep], count[keep], size[keep]
+        order = np.lexsort((full["shingle"], full["count"], owner["node"]))
+        full, node, count, size = full[order], owner["node"][order], count[order], size[order]
+        # the shingles of one node alone come first in its order
+        keep = np.arange(len(node)) - np.searchsorted(node, node) < size - needed(size, percent) + 1 - (size - count)
+        full, node = full[keep], np.ascontiguousarray(node[keep])
+        rare = full["count"] != HEAVY_COUNT
+        shingle = np.ascontiguousarray(full["shingle"])
+        yield from _pack(SHARED, (shingle[rare] % np.uint64(blocks)).astype(np.int64), shingle[rare], node[rare])
+        # shingle vertices are even, nodes odd, so they never meet
+        a, b = forest(node[~rare], (shingle[~rare] << np.uint64(1)).view(np.int64))
+        if len(a):
+            yield (LINK, block, a.tobytes(), b.tobytes())
+
+    return fn
+
+
+def _linked(kind, block, first, second):
     """Forest of the nodes that share a shingle."""
     if kind == LINK:
         yield (LINK, 0, first, second)
         return
     key, node = np.frombuffer(first, np.uint64), np.frombuffer(second, np.int64)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    place = _once(key, node)
+    key, node = key[place], node[place]
     same = np.flatnonzero(key[1:] == key[:-1])
     a, b = forest(node[same], node[same + 1])
     if len(a):
@@ -420,20 +457,24 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT,
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     blocks = max(width, int(total[1]) // 3 // PACKED + 1)
 
-    shared = _by_block(_prefixes(docs, heavy, n, percent, blocks), blocks, _shared_only(blocks))
-    left = _by_block(shared, blocks, _enough_left(blocks))
-    groups = components(_links(_by_block(left, blocks, _linked)))
+    named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = written(named, "shingle-nodes")
+    shared = _by_block(_postings(docs, heavy, n, percent, blocks, True), blocks, _shared_only(blocks))
+    sieved = _links(_by_block(shared, blocks, _sieved(percent))).select(F.col("a").alias("node"))
+    wanted = named.join(sieved, "node")
+    # one text per node is read again; a repeated doc_id may have other texts, which only add nodes
+    texts = written(id_and_text(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "shingle-texts")
+
+    shared = _by_block(_postings(texts, heavy, n, percent, blocks, False), blocks, _shared_only(blocks))
+    prefixes = _by_block(shared, blocks, _rare_prefix(percent, blocks))
+    groups = components(_links(_by_block(prefixes, blocks, _linked)))
 
     # shingle vertices are even
     members = groups.where("id % 2 <> 0").select(F.col("id").alias("node"), F.col("label").alias("grp"))
     counts = members.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    named = written(named, "shingle-nodes")
-    wanted = members.join(counts, "grp").join(named, "node")
-    wanted = wanted.withColumn("blocks", F.ceil(F.col("members") / unit).cast("int"))
-    wanted = written(wanted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shingle-candidates")
-
-    again = id_and_text(docs).join(wanted.select("doc_id", F.col("node").alias("want"), "grp", "blocks", "own"), "doc_id")
+    chosen = members.join(counts, "grp").join(named, "node").withColumn("blocks", F.ceil(F.col("members") / unit).cast("int"))
+    chosen = chosen.select("doc_id", F.col("node").alias("want"), "grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    again = texts.join(written(chosen, "shingle-candidates"), "doc_id")
 
     def sets_again(batch):
         value, bounds = shingle_sets(batch.column(1), n)
