@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centavo.llm import decontaminate, hilbert, html_text, jaccard, neighbours, secrets, toxicity
+from centavo.llm import decontaminate, hilbert, html_text, jaccard, neighbours, personal, pieces, secrets, toxicity
 from centavo.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -106,3 +106,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op1_sentence_pieces")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_and_checked(table(spark, sf_dir, "documents"))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
