@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from centavo.llm.arrow import id_and_text, map_batches, separated, slices, text_bytes
 from centavo.llm.components import components, forest
+from centavo.llm.packed import RECORD, by_block, pack, records
 from centavo.session import written
 
 NGRAM, PERCENT = 5, 75
@@ -41,7 +42,6 @@ HEAVY_SHARE = 0.002  # of all documents; at most (mean set size / share) shingle
 SEGMENT = 1 << 21  # shingles counted at a time when looking for heavy ones
 PACKED = 1 << 20  # prefix shingles in a block of the first shuffle, about
 UNIT = 1024  # sets of a group in a block
-RECORD = "kind int, block bigint, first binary, second binary"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -167,22 +167,6 @@ HEAVY_COUNT = 0xFFFFFFFF
 SHARED, HEAVY, LINK = 0, 1, 2  # kinds of packed records: by shingle, heavy, links of a finished forest
 
 
-def _pack(kind: int, block: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    order = np.argsort(block, kind="stable")
-    block, columns = block[order], [c[order] for c in columns]
-    edges = np.append(0, np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block))) if len(block) else np.zeros(1, np.int64)
-    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield (kind, int(block[b]), *[c[b:e].tobytes() for c in columns])
-
-
-def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds, blocks, first, second = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.int32()), pa.array(blocks, pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary())],
-        ["kind", "block", "first", "second"],
-    )
-
-
 def _by_node(node: np.ndarray, blocks: int) -> np.ndarray:
     return (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
 
@@ -217,36 +201,15 @@ def _postings(docs: DataFrame, heavy: np.ndarray, n: int, percent: int, blocks:
                 owner["node"], owner["size"] = node[row], size[row]
                 rare = ~common
                 block, inner = value % np.uint64(blocks), (value // np.uint64(blocks)).astype(PART)
-                rows = list(_pack(SHARED, block[rare].astype(np.int64), inner[rare], owner[rare]))
+                rows = list(pack(SHARED, block[rare].astype(np.int64), inner[rare], owner[rare]))
                 full = np.empty(int(common.sum()), FULL)
                 full["shingle"], full["count"] = value[common], HEAVY_COUNT
-                rows += list(_pack(HEAVY, _by_node(owner["node"][common], blocks), full, owner[common]))
-                yield _records(rows)
+                rows += list(pack(HEAVY, _by_node(owner["node"][common], blocks), full, owner[common]))
+                yield records(rows)
 
     return id_and_text(docs).mapInArrow(run, RECORD)
 
 
-def _by_block(frame: DataFrame, blocks: int, fn) -> DataFrame:
-    """All records of a (kind, block) together: `fn(kind, block, first, second)` yields records."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None
-        first, second = [], []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for kind, block, a, b in zip(*columns, strict=True):
-                if held != (kind, block) and held is not None:
-                    yield _records(list(fn(*held, b"".join(first), b"".join(second))))
-                    first, second = [], []
-                held = (kind, block)
-                first.append(a)
-                second.append(b)
-        if held is not None:
-            yield _records(list(fn(*held, b"".join(first), b"".join(second))))
-
-    return frame.repartition(blocks, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, RECORD)
-
-
 def _once(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Places of each (key, node) once, by key, then node."""
     order = np.lexsort((node, key))
@@ -275,7 +238,7 @@ def _shared_only(blocks: int):
             full["shingle"] = inner[many].astype(np.uint64) * np.uint64(blocks) + np.uint64(block)
             full["count"] = count[many]
         if len(full):
-            yield from _pack(SHARED, _by_node(np.ascontiguousarray(owner["node"]), blocks), full, owner)
+            yield from pack(SHARED, _by_node(np.ascontiguousarray(owner["node"]), blocks), full, owner)
 
     return fn
 
@@ -316,7 +279,7 @@ def _rare_prefix(percent: int, blocks: int):
         full, node = full[keep], np.ascontiguousarray(node[keep])
         rare = full["count"] != HEAVY_COUNT
         shingle = np.ascontiguousarray(full["shingle"])
-        yield from _pack(SHARED, (shingle[rare] % np.uint64(blocks)).astype(np.int64), shingle[rare], node[rare])
+        yield from pack(SHARED, (shingle[rare] % np.uint64(blocks)).astype(np.int64), shingle[rare], node[rare])
         # shingle vertices are even, nodes odd, so they never meet
         a, b = forest(node[~rare], (shingle[~rare] << np.uint64(1)).view(np.int64))
         if len(a):
@@ -339,13 +302,13 @@ def _linked(kind, block, first, second):
         yield (LINK, 0, a.tobytes(), b.tobytes())
 
 
-def _links(records: DataFrame) -> DataFrame:
+def _links(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], ["a", "b"])
 
-    return records.mapInArrow(run, "a bigint, b bigint")
+    return packed.mapInArrow(run, "a bigint, b bigint")
 
 
 def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -459,15 +422,15 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT,
 
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = written(named, "shingle-nodes")
-    shared = _by_block(_postings(docs, heavy, n, percent, blocks, True), blocks, _shared_only(blocks))
-    sieved = _links(_by_block(shared, blocks, _sieved(percent))).select(F.col("a").alias("node"))
+    shared = by_block(_postings(docs, heavy, n, percent, blocks, True), blocks, _shared_only(blocks))
+    sieved = _links(by_block(shared, blocks, _sieved(percent))).select(F.col("a").alias("node"))
     wanted = named.join(sieved, "node")
     # one text per node is read again; a repeated doc_id may have other texts, which only add nodes
     texts = written(id_and_text(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "shingle-texts")
 
-    shared = _by_block(_postings(texts, heavy, n, percent, blocks, False), blocks, _shared_only(blocks))
-    prefixes = _by_block(shared, blocks, _rare_prefix(percent, blocks))
-    groups = components(_links(_by_block(prefixes, blocks, _linked)))
+    shared = by_block(_postings(texts, heavy, n, percent, blocks, False), blocks, _shared_only(blocks))
+    prefixes = by_block(shared, blocks, _rare_prefix(percent, blocks))
+    groups = components(_links(by_block(prefixes, blocks, _linked)))
 
     # shingle vertices are even
     members = groups.where("id % 2 <> 0").select(F.col("id").alias("node"), F.col("label").alias("grp"))

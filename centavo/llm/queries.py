@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centavo.llm import decontaminate, hilbert, html_text, jaccard, neighbours, personal, pieces, secrets, toxicity
+from centavo.llm import decontaminate, hilbert, html_text, jaccard, neighbours, personal, pieces, repeats, secrets, toxicity
 from centavo.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -116,3 +116,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_personal_data")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
