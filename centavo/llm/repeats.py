@@ -48,7 +48,7 @@ SECOND = np.uint64(0xD1342543DE82EF95)
 SECOND_BACK = np.uint64(pow(int(SECOND), -1, 1 << 64))
 
 RUN, WINDOW, SPAN = 0, 1, 2  # kinds of packed records
-REPEATED, CROWDED = 1, 2  # flags of a run: its bytes, or its anchor's runs, are known to be many
+REPEATED, CROWDED, PERIODIC = 1, 2, 4  # flags of a run: its bytes, its anchor's runs or its anchor's places are known to be many
 KEY = np.dtype([("anchor", "<u8"), ("bytes", "<u8")])
 PLACE = np.dtype([("node", "<i8"), ("begin", "<i4"), ("count", "<i2"), ("flag", "<i2")])
 SORT, DEAL = 1, 2  # what is to be done with a run's windows
@@ -70,9 +70,8 @@ class Prefix:
         return (self.sums[begin + length] - self.sums[begin]) * self.back[begin]
 
 
-def anchors(prefix: Prefix, n: int) -> np.ndarray:
+def anchors(grams: np.ndarray, n: int) -> np.ndarray:
     """The least gram hash within the window at each place, as if the buffer were one text."""
-    grams = mix(prefix.of(np.arange(n - GRAM + 1), GRAM))
     wide = LENGTH - GRAM + 1
     padded = np.concatenate([grams, np.full(-len(grams) % wide, ~np.uint64(0))]).reshape(-1, wide)
     ahead = np.minimum.accumulate(padded, 1).ravel()
@@ -81,13 +80,28 @@ def anchors(prefix: Prefix, n: int) -> np.ndarray:
     return np.minimum(behind[:windows], ahead[wide - 1 : wide - 1 + windows])
 
 
+def _periodic(grams: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs whose anchor is in more than one place: only these can hold the same window twice."""
+    marked = np.zeros(1 << 20, bool)
+    marked[anchor >> np.uint64(44)] = True
+    spot = np.flatnonzero(marked[grams >> np.uint64(44)])
+    known = np.unique(anchor)
+    which = np.minimum(np.searchsorted(known, grams[spot]), len(known) - 1)
+    real = known[which] == grams[spot]
+    step = len(grams) + 1
+    places = np.sort(which[real] * step + spot[real])
+    own = np.searchsorted(known, anchor) * step
+    return np.searchsorted(places, own + end) - np.searchsorted(places, own + begin) > 1
+
+
 def _runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, begin in the buffer, number of windows, anchor and byte hash of every run."""
+    """Row, begin in the buffer, number of windows, anchor, byte hash and flag of every run."""
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int16))
     prefix = Prefix(data)
-    least = anchors(prefix, n)
+    grams = mix(prefix.of(np.arange(n - GRAM + 1), GRAM))
+    least = anchors(grams, n)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     whole = row[: len(least)] == row[LENGTH - 1 :]
     edge = np.ones(len(least) + 1, bool)
@@ -99,7 +113,9 @@ def _runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = ragged(np.zeros(len(parts), np.int64), parts) * LONGEST_RUN
     begin, end = np.repeat(begin, parts) + cut, np.repeat(end, parts)
     count = np.minimum(end - begin, LONGEST_RUN)
-    return row[begin], begin, count, least[begin], mix(prefix.of(begin, count + LENGTH - 1) + count.astype(np.uint64))
+    anchor = least[begin]
+    flag = np.where(_periodic(grams, anchor, begin, begin + count + LENGTH - GRAM), PERIODIC, 0) if len(begin) else np.zeros(0)
+    return row[begin], begin, count, anchor, mix(prefix.of(begin, count + LENGTH - 1) + count.astype(np.uint64)), flag.astype(np.int16)
 
 
 def _hash(texts: DataFrame) -> DataFrame:
@@ -126,13 +142,13 @@ def _find_runs(docs: DataFrame, blocks: int) -> DataFrame:
                 seen = np.union1d(seen, node[new])
                 part, node = part.filter(pa.array(new)), node[new]
                 data, at = text_bytes(part.column(0))
-                row, begin, count, anchor, content = _runs(data, at)
+                row, begin, count, anchor, content, flag = _runs(data, at)
                 if not len(row):
                     continue
                 key = np.empty(len(row), KEY)
                 key["anchor"], key["bytes"] = anchor, content
                 place = np.empty(len(row), PLACE)
-                place["node"], place["begin"], place["count"], place["flag"] = node[row], begin - at[row], count, 0
+                place["node"], place["begin"], place["count"], place["flag"] = node[row], begin - at[row], count, flag
                 order = np.lexsort((content, anchor))
                 key, place = key[order], place[order]
                 fresh = np.ones(len(key), bool)
@@ -202,7 +218,7 @@ def _judge_runs(blocks: int):
         np.logical_or.at(crowded, group, told)
         open_ = np.zeros(len(crowd), bool)
         np.logical_or.at(open_, group, ~repeated)
-        due = ((crowd > 1) & open_ | crowded)[group]
+        due = ((crowd > 1) & open_ | crowded)[group] | ((place["flag"] & PERIODIC) > 0) & ~repeated
         if due.any():
             yield from _due(key["anchor"][due], place[due], np.where(crowded[group[due]], DEAL, SORT), blocks)
 
