@@ -403,17 +403,17 @@ def order_file(b):
     """Orders as the text columns of a user's file, with money signs and some unreadable cells."""
     day = F.when(F.col("o_orderkey") % 89 == 1, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     money = F.concat(F.lit("$"), F.format_number(F.col("o_totalprice").cast("decimal(20,2)"), 2))
-    line = F.to_csv(
-        F.struct(
-            F.col("o_orderkey").cast("string").alias("ref"),
-            day.alias("when"),
-            F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("-"), money)).otherwise(money).alias("value"),
-            F.col("o_orderpriority").alias("memo"),
-        )
+    rows = b.table("orders").select(
+        (F.col("o_custkey") % 25).cast("string").alias("org"),
+        F.col("o_orderkey").cast("string").alias("ref"),
+        day.alias("when"),
+        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("-"), money)).otherwise(money).alias("value"),
+        F.col("o_orderpriority").alias("memo"),
     )
-    rows = b.table("orders").select((F.col("o_custkey") % 25).cast("int").alias("org_id"), line.alias("line"))
-    parsed = F.from_csv("line", "ref string, when string, value string, memo string")
-    return rows.select("org_id", parsed.alias("c")).select("org_id", "c.*")
+    path = fresh_path(b.spark, "user-file")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    read = files.read_delimited(b.spark, path, rows.columns)
+    return read.select(F.col("org").cast("int").alias("org_id"), "ref", "when", "value", "memo")
 
 
 MAPPING = {"date": "when", "amount": "value", "description": "memo", "merchant": "ref"}

@@ -314,14 +314,6 @@ def firm_console(b):
     )
 
 
-@query("simulated_band", "2.10")
-def simulated_band(b):
-    """Correlated draws; checked for order and against the closed form in the tests."""
-    from centavo.plans.simulation import SimulationOptions, simulated_band
-
-    return simulated_band(inputs(b), OPTIONS, SimulationOptions(paths=2_000))
-
-
 @query(
     "nearest_chunks",
     "2.10",
@@ -334,5 +326,5 @@ def nearest_chunks(b):
     from centavo.operators.similarity import nearest_chunks
 
     chunks = b.table("embeddings")
-    question = chunks.orderBy("vec_id").first()["embedding"]
+    question = chunks.agg(F.min_by("embedding", "vec_id").alias("question"))
     return nearest_chunks(chunks, question, 20)

@@ -295,7 +295,7 @@ def category_dimension(b):
     + """, u AS (SELECT * FROM exp UNION ALL SELECT * FROM pay UNION ALL SELECT * FROM rev),
 c AS (SELECT c_custkey % 25 AS org_id, CAST(c_custkey AS VARCHAR) AS cid FROM customer WHERE c_custkey % 307 <> 4)
 SELECT u.org_id, u.source_record_type, COUNT(*) AS n, COUNT(a.id) AS with_account, COUNT(c.cid) AS with_customer,
-COUNT(CASE WHEN category_key IS NOT NULL THEN 1 END) AS with_category, MIN(sha256(CAST(u.org_id AS VARCHAR) || '|' || a.id)) AS first_account_id FROM u
+COUNT(CASE WHEN category_key IS NOT NULL THEN 1 END) AS with_category, MIN(sha256('{"_0":"' || CAST(u.org_id AS VARCHAR) || '","_1":"' || a.id || '"}')) AS first_account_id FROM u
 LEFT JOIN acct a ON a.org_id = u.org_id AND a.id = u.source_account_id LEFT JOIN c ON c.org_id = u.org_id AND c.cid = u.source_customer_id GROUP BY 1, 2""",
 )
 def key_resolution(b):

@@ -67,7 +67,7 @@ def recurring_series(ledger: DataFrame, as_of: dt.date, months: int = 12, min_da
         cadence = F.when(test, name) if cadence is None else cadence.when(test, name)
     n, sx, sy = (F.col(c).cast("double") for c in ("n", "sx", "sy"))
     spread = n * F.col("sxx").cast("double") - sx * sx
-    slope = (n * F.col("sxy").cast("double") - sx * sy) / spread
+    slope = F.try_divide(n * F.col("sxy").cast("double") - sx * sy, spread)
     return sums.withColumn("cadence", cadence).where(F.col("cadence").isNotNull()).select(
         "org_id",
         "vendor",
@@ -75,7 +75,7 @@ def recurring_series(ledger: DataFrame, as_of: dt.date, months: int = 12, min_da
         half_up_mean(F.col("sy"), F.col("n")).alias("typical_minor"),
         F.floor(_stddev(F.col("n"), F.col("sy"), F.col("syy")) + F.lit(0.5)).alias("stddev_minor"),
         F.date_add("last_day", F.floor(F.col("gap") + F.lit(0.5)).cast("int")).alias("next_expected_on"),
-        round_half_up(slope * F.lit(365.0) / (sy / n) * F.lit(100.0), 2).alias("trend_pct_per_year"),
+        round_half_up(F.try_divide(slope * F.lit(365.0), sy / n) * F.lit(100.0), 2).alias("trend_pct_per_year"),
         "n",
     )
 
@@ -392,7 +392,7 @@ def seasonal_index(ledger: DataFrame, statement: str, months: Period) -> DataFra
     per_org = Window.partitionBy("org_id")
     mean = F.sum("y").over(per_org).cast("double") / F.sum("n").over(per_org).cast("double")
     own = F.col("y").cast("double") / F.col("n").cast("double")
-    return by_moy.select("org_id", "month_of_year", round_half_up(own / mean, 4).alias("seasonal_index"))
+    return by_moy.select("org_id", "month_of_year", round_half_up(F.try_divide(own, mean), 4).alias("seasonal_index"))
 
 
 def tax_set_aside(ledger: DataFrame, year_to_date: Period, rates: DataFrame) -> DataFrame:

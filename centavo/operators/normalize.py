@@ -243,11 +243,11 @@ def document_warnings(records: DataFrame, record_type: str) -> DataFrame:
     if record_type in ("Purchase", "Bill"):
         rows = _expense_lines(records)
         header = F.col("line_no").isNull()
-        refused = F.when(header, F.col("header_amount").isNull()).otherwise(~is_number("Amount", "line"))
+        refused = F.when(header, F.col("header_amount").isNull()).otherwise(amount("Amount", "line").isNull())
         shown = F.when(header, F.col("header_text")).otherwise(text("Amount", "line"))
         bad = rows.where(refused).select("org_id", shown.alias("shown"), "doc_id")
     else:
-        bad = records.where(_document_ok() & ~is_number("TotalAmt")).select(
+        bad = records.where(_document_ok() & amount("TotalAmt").isNull()).select(
             "org_id", text("TotalAmt").alias("shown"), text("Id").alias("doc_id")
         )
     detail = F.concat(F.lit("Amount "), F.coalesce("shown", F.lit("missing")))
@@ -283,5 +283,6 @@ def resolve_keys(
 
 
 def stable_id(*columns: str) -> Column:
-    """Identifier derived from the source key, equal on every run."""
-    return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    """Identifier derived from the source key, equal on every run; nulls and separators in a value count."""
+    named = [F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)]
+    return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)

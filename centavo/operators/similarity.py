@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +11,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest_chunks(chunks: DataFrame, vector: Sequence[float], k: int, row_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k chunks of highest cosine similarity, by a full scan and a distributed top-k."""
-    question = F.array(*[F.lit(float(x)) for x in vector])
-    own = F.col(embedding)
+def nearest_chunks(chunks: DataFrame, asked: DataFrame, k: int, row_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """The k chunks of highest cosine similarity, by a full scan and a distributed top-k.
+
+    `asked` is a frame of one row and one vector; it is read as a scalar subquery of the job itself.
+    """
+    question, own = F.col("_question"), F.col(embedding)
     cosine = _dot(own, question) / (F.sqrt(_dot(own, own)) * F.sqrt(_dot(question, question)))
-    return chunks.select(row_id, F.round(cosine, 6).alias("similarity")).orderBy(F.col("similarity").desc(), row_id).limit(k)
+    return chunks.withColumn("_question", asked.scalar()).select(row_id, F.round(cosine, 6).alias("similarity")).orderBy(F.col("similarity").desc(), row_id).limit(k)

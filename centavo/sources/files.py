@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from centavo.functions.money import DECIMAL_TEXT
@@ -19,6 +19,13 @@ RETENTION_YEARS = {"financial": 7, "raw": 7, "trace": 3}
 PERSONAL_DATA_DAYS = 30
 
 
+def read_delimited(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A delimited file with a header and quoted cells, all cells as text; `bad_line` holds lines of another shape."""
+    schema = ", ".join([*(f"`{c}` string" for c in columns), "bad_line string"])
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", False)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").csv(path)
+
+
 def import_delimited(
     rows: DataFrame,
     mapping: Mapping[str, str],
@@ -57,9 +64,12 @@ def _parsed(rows: DataFrame, mapping: Mapping[str, str], date_format: str, tenan
         else F.when(value < 0, "outflow").otherwise("inflow")
     )
     day = F.try_to_date(F.trim(mapped("date")), date_format)
-    return rows.select(
+    # equal rows are different payments: each is numbered within its likes
+    same = Window.partitionBy("_id").orderBy("_id")
+    numbered = rows.withColumn("_id", stable_id(*[tenant, *mapping.values()])).withColumn("_nth", F.row_number().over(same))
+    return numbered.select(
         F.col(tenant).alias("org_id"),
-        stable_id(*[tenant, *mapping.values()]).alias("source_txn_id"),
+        F.when(F.col("_nth") == 1, F.col("_id")).otherwise(F.sha2(F.concat_ws(":", "_id", "_nth"), 256)).alias("source_txn_id"),
         F.lit("Import").alias("source_record_type"),
         direction.alias("direction"),
         F.abs(value).cast("decimal(20,4)").alias("amount"),

@@ -41,6 +41,7 @@ PAGE_SCHEMA = T.StructType(
     ]
 )
 PARTITIONS = ("org_id", "connection_id", "record_type", "fetch_date")
+SPREAD = 8
 
 
 def page_records(payload: Column, record_type: Column) -> Column:
@@ -103,8 +104,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """Append pages to the landing folder, tenant first so one tenant can be dropped by prefix."""
+    dated = pages.withColumn("fetch_date", F.to_date("fetched_at"))
+    spread = F.pmod(F.xxhash64("page_index", "payload"), F.lit(SPREAD))
     (
-        pages.withColumn("fetch_date", F.to_date("fetched_at"))
+        dated.repartition(*PARTITIONS, spread)  # few files per partition, yet no partition in one task
         .write.mode("append")
         .partitionBy(*PARTITIONS)
         .option("compression", "gzip")

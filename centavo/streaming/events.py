@@ -18,8 +18,10 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
-    rows = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(folder)
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a table, be it one file or a folder of part files."""
+    either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may name a file as well as a folder
+    rows = spark.readStream.schema(EVENT_SCHEMA).parquet(either)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -2,8 +2,10 @@
 
 Each micro-batch writes only its own partition of the target, so a batch that
 runs again after a crash replaces its own output. A page seen in an earlier
-batch, however long ago, is dropped by an anti join against the page index;
-the watermark dedup ahead of it only keeps quick retries out of the batches.
+batch, however long ago, is dropped by an anti join against the page index. No
+watermark stands ahead of it: a page landed late, older than everything
+archived, is archived like any other. The index is partitioned by a prefix of the
+content hash, so a batch looks up only the parts its own hashes name.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ INDEX_SCHEMA = T.StructType(
         T.StructField("byte_size", T.IntegerType()),
         T.StructField("object_key", T.StringType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("bucket", T.StringType()),
     ]
 )
 
@@ -45,11 +48,6 @@ def landing_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> D
     return landing.with_page_facts(pages.drop("fetch_date"))
 
 
-def without_quick_retries(pages: DataFrame, horizon: str = "30 days") -> DataFrame:
-    """Drop pages repeated within the horizon, in bounded state."""
-    return pages.withWatermark("fetched_at", horizon).dropDuplicatesWithinWatermark(PAGE_KEY)
-
-
 def read_index(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
     """Pages archived so far; optionally only those of earlier batches."""
     index = spark.read.schema(INDEX_SCHEMA).parquet(path)
@@ -63,19 +61,22 @@ def write_new_pages(target: str) -> Callable[[DataFrame, int], None]:
     often its rows are read. Only the keys of this batch are looked up in the
     index, which is scanned but not shuffled while the batch's keys are few.
     """
-    columns = [f.name for f in INDEX_SCHEMA.fields if f.name != "batch_id"]
+    stored = T.StructType([f for f in INDEX_SCHEMA.fields if f.name != "batch_id"])
+    columns = [f.name for f in stored if f.name != "bucket"]
+    bucket = F.substring("content_hash", 1, 2).alias("bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged_path = f"{target}-staged/batch_id={batch_id}"
-        landing.unique_pages(batch).select(*columns).write.mode("overwrite").parquet(staged_path)
-        staged = spark.read.schema(T.StructType(INDEX_SCHEMA.fields[:-1])).parquet(staged_path)
+        landing.unique_pages(batch).select(*columns, bucket).write.mode("overwrite").parquet(staged_path)
+        staged = spark.read.schema(stored).parquet(staged_path)
         fresh = staged
         if _exists(spark, target):
-            archived = read_index(spark, target, batch_id).select(*PAGE_KEY)
+            named = [r.bucket for r in staged.select("bucket").distinct().collect()]  # at most 256
+            archived = read_index(spark, target, batch_id).where(F.col("bucket").isin(named)).select(*PAGE_KEY)
             seen = archived.join(staged.select(*PAGE_KEY), PAGE_KEY, "left_semi")
             fresh = staged.join(seen, PAGE_KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch_id}")
 
     return write
 
@@ -92,9 +93,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def backfill(spark: SparkSession, landing_path: str, target: str, checkpoint: str) -> StreamingQuery:
     """Archive everything landed and not yet processed, then stop; progress is the checkpoint."""
-    pages = without_quick_retries(landing_stream(spark, landing_path))
     return (
-        pages.writeStream.foreachBatch(write_new_pages(target))
+        landing_stream(spark, landing_path)
+        .writeStream.foreachBatch(write_new_pages(target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,4 @@
-"""Schemas, plan shape and the simulated band."""
+"""Schemas and plan shape."""
 
 import pytest
 
@@ -7,8 +7,6 @@ from centavo import schemas
 from centavo.operators import breakdowns, metrics
 from centavo.plans import forecast as fc
 from centavo.plans.dashboard import bundle, dashboard
-from centavo.plans.simulation import SimulationOptions, simulated_band
-from centavo.session import written
 from centavo.sources.books import AS_OF, Books
 from centavo.functions.periods import trailing_months
 
@@ -49,18 +47,6 @@ def test_no_cross_joins(books):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_simulated_band_is_ordered_repeatable_and_near_the_median(books):
-    facts = written(inputs(books), "facts")
-    options = SimulationOptions(paths=400)
-    first = {(r.org_id, r.date): r for r in simulated_band(facts, OPTIONS, options).collect()}
-    again = {(r.org_id, r.date): r for r in simulated_band(facts, OPTIONS, options).collect()}
-    assert first == again and len(first) == 25 * 91
-    assert all(r.p10 <= r.p50 <= r.p90 for r in first.values())
-    for p in fc.forecast_points(facts, OPTIONS).collect():
-        moving = abs(p.receivables) + abs(p.variable)
-        assert abs(first[p.org_id, p.date].p50 - p.p50) <= 0.1 * moving + 2
-
-
 def test_dashboard_has_every_part(books):
     parts = dashboard(books.ledger, books.invoices, books.customers, books.organizations, AS_OF)
     counts = {}

@@ -31,7 +31,10 @@ def test_backfill_resumes_and_keeps_each_page_once(spark):
     want = [("Bill", 0, 1), ("Item", 0, 2), ("Item", 1, 1)]
     assert run(spark, base) == want
     assert run(spark, base) == want
-    # Far beyond any watermark the anti join still knows the page.
+    # A page older than everything archived is kept, one seen long ago is not archived again.
+    land(spark, base, page("Item", [{"Id": "0"}], 7, dt.datetime(1999, 5, 1)))
+    want = sorted([*want, ("Item", 7, 1)])
+    assert run(spark, base) == want
     land(spark, base, page("Item", [{"Id": "1"}, {"Id": "2"}], 0, dt.datetime(2003, 7, 9), "much later"))
     assert run(spark, base) == want
 
@@ -76,7 +79,7 @@ def test_session_stream_agrees_with_batch(spark, small):
     table = spark.read.parquet(f"{small}/events.parquet")
     base = fresh_path(spark, "t")
     table.orderBy(F.md5(F.col("event_id").cast("string").cast("binary"))).repartition(4).write.parquet(f"{base}/in")
-    stream = events.event_stream(spark, f"{base}/in", "*.parquet")
+    stream = events.event_stream(spark, f"{base}/in")
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
@@ -97,6 +100,18 @@ def test_session_stream_agrees_with_batch(spark, small):
     assert sorted(map(tuple, last.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
 
 
+def test_rates_of_a_folder_in_any_order(spark, small):
+    table = spark.read.parquet(f"{small}/events.parquet")
+    base = fresh_path(spark, "t")
+    table.orderBy(F.desc("ts")).coalesce(1).limit(50).write.parquet(f"{base}/events.parquet")
+    table.orderBy("ts").limit(50).coalesce(1).write.mode("append").parquet(f"{base}/events.parquet")
+    out = events.rates(events.event_stream(spark, f"{base}/events.parquet"))
+    name = "rates_" + base[-8:]
+    stream = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/c")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert spark.table(name).agg(F.sum("n")).first()[0] == 100
+
+
 def test_only_touched_months_are_recomputed(spark):
     books = ledger(spark, [row(day=dt.date(2001, m, 3), amount=str(m)) for m in range(1, 8)])
     change = ledger(spark, [row(day=dt.date(2001, 5, 9), posted=dt.date(2001, 6, 2))])
