@@ -40,21 +40,33 @@ def two_sources(b):
 
 SOURCES = """, books AS (SELECT org_id, source_record_type || ':' || source_txn_id AS row_id, direction, minor AS amount_minor, posted_at AS day, lower(COALESCE(merchant_name, 'Deposit')) AS merchant, 'accounting' AS source FROM base WHERE posted_at <= DATE '2001-08-01'),
 feed AS (SELECT * REPLACE (split_part(merchant, '#', 1) AS merchant) FROM books UNION ALL SELECT org_id, 'bank:' || row_id, direction, amount_minor, CAST(day + CAST(amount_minor % 3 AS INT) AS DATE), split_part(merchant, '#', 1), 'bank' FROM books),
-days AS (SELECT DISTINCT org_id, direction, amount_minor, merchant, day FROM feed),
-opens AS (SELECT *, CASE WHEN day - LAG(day) OVER (PARTITION BY org_id, direction, amount_minor, merchant ORDER BY day) <= 3 THEN 0 ELSE 1 END AS o FROM days),
-clusters AS (SELECT *, SUM(o) OVER (PARTITION BY org_id, direction, amount_minor, merchant ORDER BY day) AS cluster FROM opens),
-nth AS (SELECT f.*, c.cluster, ROW_NUMBER() OVER (PARTITION BY f.org_id, f.direction, f.amount_minor, f.merchant, c.cluster, f.source ORDER BY f.day, substr(md5(f.row_id), 1, 2), f.row_id) AS n FROM feed f JOIN clusters c USING (org_id, direction, amount_minor, merchant, day)),
-best AS (SELECT *, FIRST_VALUE(row_id) OVER w AS best_id, FIRST_VALUE(source) OVER w AS best_source FROM nth WINDOW w AS (PARTITION BY org_id, direction, amount_minor, merchant, cluster, n ORDER BY source, row_id))
+left0 AS (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'accounting'),
+right0 AS (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'bank'),
 """
 
 
+def rounds(keys: str, days: int) -> str:
+    """Subqueries that pair left0 and right0 by the definition: nearest dates first, like rows in order; ends in `met`."""
+    out, gaps = [], sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0))
+    for i, gap in enumerate(gaps):
+        nth = f"ROW_NUMBER() OVER (PARTITION BY {keys}, day ORDER BY substr(md5(row_id), 1, 2), row_id) AS nth"
+        out += [
+            f"pair{i} AS (SELECT l.row_id AS l, r.row_id AS r, {gap} AS gap FROM (SELECT *, {nth} FROM left{i}) l "
+            f"JOIN (SELECT * REPLACE (CAST(day - {gap} AS DATE) AS day), {nth} FROM right{i}) r USING ({keys}, day, nth))",
+            f"left{i + 1} AS (SELECT * FROM left{i} WHERE row_id NOT IN (SELECT l FROM pair{i}))",
+            f"right{i + 1} AS (SELECT * FROM right{i} WHERE row_id NOT IN (SELECT r FROM pair{i}))",
+        ]
+    return ",\n".join([*out, "met AS (" + " UNION ALL ".join(f"SELECT * FROM pair{i}" for i in range(len(gaps))) + ")"]) + "\n"
+
+
 @query(
     "cross_source_duplicates",
     "A-30",
     "J-14",
     sql=SOURCES
-    + """SELECT org_id, source, row_id, best_source = source AS is_canonical, CASE WHEN best_source <> source THEN best_id END AS mirrors_row_id,
-CASE WHEN best_source <> source THEN 'amount+date+merchant' END AS dedup_method FROM best""",
+    + rounds("org_id, direction, amount_minor, merchant", 3)
+    + """SELECT org_id, source, row_id, l IS NULL AS is_canonical, l AS mirrors_row_id,
+CASE WHEN l IS NOT NULL THEN 'amount+date+merchant' END AS dedup_method FROM feed LEFT JOIN met ON r = row_id""",
 )
 def cross_source_duplicates(b):
     return matching.cross_source_duplicates(two_sources(b), ("accounting", "bank"))
@@ -94,12 +106,9 @@ TRANSFERS = """, r AS (SELECT org_id, invoice_id, total_minor, paid_on FROM docs
 moves AS (SELECT org_id, 'in:' || invoice_id AS row_id, 'checking' AS acct, 'inflow' AS direction, total_minor AS m, paid_on AS day FROM r
 UNION ALL SELECT org_id, 'out:' || invoice_id, 'checking', 'outflow', total_minor + 1, paid_on + 1 FROM r
 UNION ALL SELECT org_id, 'sav:' || invoice_id, 'savings', 'inflow', total_minor + 1, paid_on + 2 FROM r),
-days AS (SELECT DISTINCT org_id, m, day FROM moves),
-opens AS (SELECT *, CASE WHEN day - LAG(day) OVER (PARTITION BY org_id, m ORDER BY day) <= 3 THEN 0 ELSE 1 END AS o FROM days),
-clusters AS (SELECT org_id, m, day, SUM(o) OVER (PARTITION BY org_id, m ORDER BY day) AS cluster FROM opens),
-nth AS (SELECT v.*, cluster, ROW_NUMBER() OVER (PARTITION BY org_id, m, cluster, direction ORDER BY day, substr(md5(row_id), 1, 2), row_id) AS n FROM moves v JOIN clusters USING (org_id, m, day)),
-pairs AS (SELECT o.org_id, o.m, o.row_id AS outflow_id, i.row_id AS inflow_id, CAST(i.day - o.day AS INT) AS days_between FROM nth o JOIN nth i USING (org_id, m, cluster, n)
-WHERE o.direction = 'outflow' AND i.direction = 'inflow' AND o.acct <> i.acct AND ABS(i.day - o.day) <= 3)
+left0 AS (SELECT org_id, m, day, row_id FROM moves WHERE direction = 'outflow'),
+right0 AS (SELECT org_id, m, day, row_id FROM moves WHERE direction = 'inflow' AND acct <> 'checking'),
+""" + rounds("org_id, m", 3) + """, pairs AS (SELECT org_id, m, l AS outflow_id, r AS inflow_id, gap AS days_between FROM met JOIN left0 ON l = row_id)
 """
 
 
@@ -117,7 +126,8 @@ def transfer_pairs(b):
     "transfers_leave_net_unchanged",
     "A-31",
     sql=TRANSFERS
-    + """SELECT org_id, COUNT(*) AS pairs, CAST(0 AS BIGINT) AS net_minor FROM pairs GROUP BY 1""",
+    + """SELECT p.org_id, COUNT(*) AS pairs, CAST(SUM(i.m) - SUM(o.m) AS BIGINT) AS net_minor FROM pairs p
+JOIN moves o ON o.row_id = outflow_id JOIN moves i ON i.row_id = inflow_id GROUP BY 1""",
 )
 def transfers_leave_net_unchanged(b):
     moves, pairs = own_accounts(b), matching.transfer_pairs(own_accounts(b))
@@ -152,15 +162,16 @@ def two_directories(b):
     "entity_links",
     "A-32",
     "J-16",
-    sql="""WITH c AS (SELECT c_nationkey AS org_id, c_custkey AS id, substr(md5(c_name), 1, 14) AS code, c_acctbal FROM customer),
+    sql="""WITH RECURSIVE c AS (SELECT c_nationkey AS org_id, c_custkey AS id, substr(md5(c_name), 1, 14) AS code, c_acctbal FROM customer),
 e AS (SELECT org_id, 'accounting' AS source, id, 'firm' || code AS key FROM c UNION ALL
 SELECT org_id, 'payments', id, 'firm' || CASE WHEN c_acctbal < 0 THEN substr(code, 1, 6) || substr(code, 8, 7) ELSE code END FROM c),
 n AS (SELECT DISTINCT org_id, key FROM e),
 v AS (SELECT DISTINCT org_id, key, variant FROM (SELECT org_id, key, key AS variant FROM n UNION ALL SELECT org_id, key, substr(key, 1, CAST(i AS INT) - 1) || substr(key, CAST(i AS INT) + 1) FROM (SELECT *, UNNEST(generate_series(1, length(key))) AS i FROM n) x) y),
-s AS (SELECT org_id, variant, MIN(key) AS canonical FROM v GROUP BY 1, 2),
-l AS (SELECT v.org_id, v.key, MIN(s.canonical) AS canonical FROM v JOIN s USING (org_id, variant) GROUP BY 1, 2)
+x AS (SELECT DISTINCT a.org_id, a.key AS a, b.key AS b FROM v a JOIN v b USING (org_id, variant) WHERE length(a.key) >= 6 AND length(b.key) >= 6),
+reach AS (SELECT org_id, key AS a, key AS b FROM n UNION SELECT reach.org_id, reach.a, x.b FROM reach JOIN x ON x.org_id = reach.org_id AND x.a = reach.b),
+l AS (SELECT org_id, a AS key, MIN(b) AS canonical FROM reach GROUP BY 1, 2)
 SELECT e.org_id, e.source, e.id AS source_entity_id, l.canonical AS canonical_key, CASE WHEN l.canonical = e.key THEN 'deterministic' ELSE 'fuzzy' END AS method,
-CAST(CASE WHEN l.canonical = e.key THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, l.canonical <> e.key AS needs_review FROM e JOIN l ON l.org_id = e.org_id AND l.key = e.key""",
+CAST(CASE WHEN l.canonical = e.key THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, l.canonical <> e.key AS needs_review, length(e.key) >= 6 AS compared FROM e JOIN l ON l.org_id = e.org_id AND l.key = e.key""",
     views=False,
 )
 def entity_links(b):

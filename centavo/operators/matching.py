@@ -1,113 +1,133 @@
 """Duplicates across sources, transfers between own accounts, and entity links.
 
-No candidate pairs are formed. Rows that could match share a key; within a key
-they are put in date order and matched rank to rank, which is linear in rows.
-Ranks are computed in parts (see `rank_in_runs`), so a key that holds a third of
-all rows is still spread over many tasks.
+Rows that could match share a key. They are matched in rounds, nearest dates first: in the round of k days
+the n-th free row of one side on a day meets the n-th free row of the other side k days away. Rows of
+one key, side and day are alike, so which of them meet does not matter; every pair lies
+within the window, and a row that is missing on one day moves no pair of another day. The work is
+linear in rows and the rounds depend on the window alone. Numbers are given in parts (see `numbered`), so a
+key that holds a third of all rows is still spread over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from centavo.functions.text import merchant_key, name_key
 from centavo.operators.versions import attach, latest_by, lookup
+from centavo.session import written
 
 
-def rank_in_runs(
-    df: DataFrame, keys: Sequence[str], lane: str, day: str, row_id: str, days: int
-) -> DataFrame:
-    """Add `run` and `nth` to every row, exactly and without one task per key.
+def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """Add `nth`, the 1-based number of a row among those of equal keys, without one task per key.
 
-    A run is a stretch of dates of one key whose neighbours are at most `days`
-    apart; `nth` is the row's 1-based rank in its run and lane by (day, hash of
-    id, id). Rows are first counted per (key, lane, day, hash prefix). Windows
-    over those counts, a bounded number per key, give each part its run and its
-    offset; the rows are then numbered inside their part, and the prefix keeps
-    a heavy key spread over 256 parts a day.
+    Rows are counted per key and prefix of a hash of their id, at most 256 parts; a window over the
+    counts gives each part its offset, and rows are numbered inside their part.
     """
-    part = [*keys, lane, day, "_part"]
+    part = [*keys, "_part"]
     rows = df.withColumn("_part", F.substring(F.md5(F.col(row_id).cast("binary")), 1, 2))
-    by_day = Window.partitionBy(*keys).orderBy(day)
-    gap = F.datediff(F.col(day), F.lag(day).over(by_day))
-    before = (
-        Window.partitionBy(*keys, "run", lane)
-        .orderBy(day, "_part")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         rows.groupBy(*part)
         .agg(F.count("*").alias("_count"))
-        .withColumn("_opens", F.when(gap <= days, 0).otherwise(1))
-        .withColumn("run", F.sum("_opens").over(by_day))
         .withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0).cast("bigint")))
-        .select(*part, "run", "_offset")
+        .drop("_count")
     )
     inside = Window.partitionBy(*part).orderBy(row_id)
-    return (
-        attach(rows, parts, part)
-        .withColumn("nth", F.row_number().over(inside) + F.col("_offset"))
-        .drop("_part", "_offset")
-    )
+    return attach(rows, parts, part).withColumn("nth", F.row_number().over(inside) + F.col("_offset")).drop("_part", "_offset")
+
+
+def nearest_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], days: int, account: str | None = None) -> DataFrame:
+    """One-to-one pairs `left_id, right_id, gap` of rows with equal keys at most `days` apart, nearest first.
+
+    Input: the keys, `day`, `row_id` and, if rows of one account must not meet, the account's column. The
+    rows still free are written after each step, so no step repeats an earlier one. With
+    accounts a round is repeated until no pair is left to make, at most once per account of a key and day.
+    """
+
+    def side(rows: DataFrame, number: int) -> DataFrame:
+        own = F.col(account).cast("string") if account else F.lit(str(number))
+        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("mate", "string"), ("gap", "int"))]
+        return rows.select(F.lit(number).alias("side"), *keys, "day", F.col("row_id").cast("string").alias("row_id"), own.alias("account"), *nothing)
+
+    state = written(side(left, 0).unionByName(side(right, 1)), "pairs")
+    made = []
+    for gap in sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0)):
+        while True:
+            free = state.withColumn("at", F.when(F.col("side") == 1, F.date_sub("day", gap)).otherwise(F.col("day")))
+            ranked = numbered(free, [*keys, "at", "side", "account"], "row_id")
+
+            def end(number: int, pick) -> Column:
+                return pick(F.when(F.col("side") == number, F.struct("account", "row_id")))
+
+            ends = [end(0, F.min).alias("l"), end(1, F.max).alias("r"), end(0, F.max).alias("l2"), end(1, F.min).alias("r2")]
+            met = ranked.groupBy(*keys, "at", "nth").agg(*ends)
+            pair = F.when(F.col("l.account") != F.col("r.account"), F.struct(F.col("l.row_id").alias("l"), F.col("r.row_id").alias("r"))).when(
+                F.col("l2.account") != F.col("r2.account"), F.struct(F.col("l2.row_id").alias("l"), F.col("r2.row_id").alias("r"))
+            )
+            pairs = met.select(pair.alias("p")).where("p IS NOT NULL").select("p.*")
+            mates = pairs.select(F.lit(0).alias("side"), F.col("l").alias("row_id"), F.col("r").alias("new")).unionByName(
+                pairs.select(F.lit(1).alias("side"), F.col("r").alias("row_id"), F.col("l").alias("new"))
+            )
+            after = state.join(mates, ["side", "row_id"], "left").withColumns({
+                "mate": F.coalesce("mate", "new"),
+                "gap": F.coalesce("gap", F.when(F.col("new").isNotNull(), F.lit(gap))),
+            })
+            done = written(after.select(state.columns), "pairs")
+            state, paired = done.where("mate IS NULL"), done.where("mate IS NOT NULL AND side = 0")
+            made.append(paired.select(*keys, F.col("row_id").alias("left_id"), F.col("mate").alias("right_id"), "gap"))
+            if account is None or paired.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, made)
 
 
 def cross_source_duplicates(rows: DataFrame, priority: Sequence[str], days: int = 3) -> DataFrame:
     """Decision per row: canonical, or mirror of the same event in a better source.
 
     Input: `org_id, source, row_id, direction, amount_minor, day, descriptor`.
-    Rows match when tenant, direction, amount and merchant key are equal and
-    their dates belong to one run; the n-th row of each source in a run is the
-    same event. Only rows of different sources can mirror each other. Reading
-    the decision again from undecided input gives the same answer.
+    Rows mirror each other when tenant, direction, amount and merchant key are equal, their sources
+    differ and their dates are at most `days` apart; a row has at most one mirror in each other
+    source. Row ids are unique. Reading the decision again from undecided input gives the same answer.
     """
     keys = ["org_id", "direction", "amount_minor", "merchant"]
-    order = F.array_position(F.array(*[F.lit(s) for s in priority]), F.col("source"))
     keyed = rows.withColumn("merchant", F.coalesce(merchant_key(F.col("descriptor")), F.lit("")))
-    ranked = rank_in_runs(keyed, keys, "source", "day", "row_id", days)
-    event = [*keys, "run", "nth"]
-    best = F.min(F.struct(order.alias("p"), "row_id", "source")).over(Window.partitionBy(*event))
-    decided = ranked.withColumn("best", best)
-    mirror = F.col("best.source") != F.col("source")
+    narrow = written(keyed.select("source", *keys, "day", "row_id"), "feed")
+    mirrors = None
+    for i, better in enumerate(priority):
+        for other in priority[i + 1 :]:
+            free = narrow
+            if mirrors is not None:
+                free = narrow.join(mirrors, F.col("row_id") == F.col("right_id"), "left_anti")
+            found = nearest_pairs(free.where(F.col("source") == better), free.where(F.col("source") == other), keys, days)
+            found = found.select("right_id", "left_id")
+            mirrors = found if mirrors is None else mirrors.unionByName(found)
+    if mirrors is None:
+        mirrors = narrow.limit(0).select(F.col("row_id").alias("right_id"), F.col("row_id").alias("left_id"))
+    decided = narrow.join(mirrors, F.col("row_id") == F.col("right_id"), "left")
+    mirror = F.col("left_id").isNotNull()
     return decided.select(
         "org_id",
         "source",
         "row_id",
         (~mirror).alias("is_canonical"),
-        F.when(mirror, F.col("best.row_id")).alias("mirrors_row_id"),
+        F.col("left_id").alias("mirrors_row_id"),
         F.when(mirror, F.lit("amount+date+merchant")).alias("dedup_method"),
     )
 
 
 def transfer_pairs(rows: DataFrame, days: int = 3) -> DataFrame:
-    """Pairs of an outflow and an inflow of one amount between two own accounts.
+    """Pairs of an outflow and an inflow of one amount between two own accounts, at most `days` apart.
 
-    Input: `org_id, row_id, account_id, direction, amount_minor, day`. Within a
-    run of dates the n-th outflow pairs with the n-th inflow when the accounts
-    differ and the dates are at most `days` apart; each row is in one pair at most.
+    Input: `org_id, row_id, account_id, direction, amount_minor, day`. Each row is in one pair at most;
+    no outflow and inflow that could still pair are left over.
     """
     keys = ["org_id", "amount_minor"]
-    ranked = rank_in_runs(rows, keys, "direction", "day", "row_id", days)
-    event = [*keys, "run", "nth"]
-
-    def side(direction: str, name: str) -> Column:
-        return F.max(
-            F.when(F.col("direction") == direction, F.struct("row_id", "account_id", "day"))
-        ).alias(name)
-
-    pairs = ranked.groupBy(*event).agg(side("outflow", "o"), side("inflow", "i"))
-    near = F.abs(F.datediff(F.col("i.day"), F.col("o.day"))) <= days
-    return pairs.where(
-        F.col("o").isNotNull() & F.col("i").isNotNull() & (F.col("o.account_id") != F.col("i.account_id")) & near
-    ).select(
-        "org_id",
-        "amount_minor",
-        F.col("o.row_id").alias("outflow_id"),
-        F.col("i.row_id").alias("inflow_id"),
-        F.datediff(F.col("i.day"), F.col("o.day")).alias("days_between"),
-    )
+    sides = [rows.where(F.col("direction") == d) for d in ("outflow", "inflow")]
+    pairs = nearest_pairs(*sides, keys, days, "account_id")
+    return pairs.select(*keys, F.col("left_id").alias("outflow_id"), F.col("right_id").alias("inflow_id"), F.col("gap").alias("days_between"))
 
 
 # Legal forms that do not tell two businesses apart.
@@ -130,29 +150,37 @@ def one_letter_variants(key: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), F.when(F.length(key) > 1, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def entity_links(entities: DataFrame, min_letters: int = 6) -> DataFrame:
+FUZZY_LETTERS = 6  # shorter keys differ by a letter too easily; they are reported as not compared
+
+
+def entity_links(entities: DataFrame) -> DataFrame:
     """Link each source entity to a canonical key within its tenant.
 
     Input: `org_id, source, source_entity_id, name`. Equal keys are the same
-    entity. Otherwise a key is linked to the smallest key it shares a one-letter
-    deletion with (one letter more, fewer or different), for review. Each
-    distinct key adds as many rows as it has letters; no two names are compared.
+    entity. Keys that share a one-letter deletion (one letter more, fewer or different) are linked, for
+    review, and so are keys joined by a chain of such links: the canonical key is the smallest of all. Each
+    distinct key adds as many rows as it has letters; no two names are compared. `compared` is
+    false for keys too short to be compared by letters.
     """
     keyed = entities.withColumn("key", entity_key(F.col("name")))
     names = keyed.select("org_id", "key").distinct()
+    long = F.length("key") >= FUZZY_LETTERS
     variants = names.select(
-        "org_id",
-        "key",
-        F.explode(
-            F.when(F.length("key") >= min_letters, one_letter_variants(F.col("key"))).otherwise(F.array("key"))
-        ).alias("variant"),
-    )
-    smallest = variants.groupBy("org_id", "variant").agg(F.min("key").alias("canonical"))
-    linked = (
-        variants.join(smallest, ["org_id", "variant"]).groupBy("org_id", "key").agg(F.min("canonical").alias("canonical"))
+        "org_id", "key", F.explode(F.when(long, one_letter_variants(F.col("key"))).otherwise(F.array("key"))).alias("variant")
     )
+    variants = written(variants, "entity-variants")
+    labels = written(names.withColumn("canonical", F.col("key")), "entity-labels")
+    while True:  # as often as the longest chain of links has steps
+        smallest = variants.join(labels, ["org_id", "key"]).groupBy("org_id", "variant").agg(F.min("canonical").alias("canonical"))
+        lower = variants.join(smallest, ["org_id", "variant"]).groupBy("org_id", "key").agg(F.min("canonical").alias("canonical"))
+        lower = written(lower, "entity-labels")
+        changed = lower.join(labels.withColumnRenamed("canonical", "old"), ["org_id", "key"]).where("canonical <> old")
+        stable = changed.isEmpty()
+        labels = lower
+        if stable:
+            break
     exact = F.col("key") == F.col("canonical")
-    return keyed.join(linked, ["org_id", "key"]).select(
+    return keyed.join(labels, ["org_id", "key"]).select(
         "org_id",
         "source",
         "source_entity_id",
@@ -160,6 +188,7 @@ def entity_links(entities: DataFrame, min_letters: int = 6) -> DataFrame:
         F.when(exact, "deterministic").otherwise("fuzzy").alias("method"),
         F.when(exact, 1.0).otherwise(0.8).alias("confidence"),
         (~exact).alias("needs_review"),
+        long.alias("compared"),
     )
 
 

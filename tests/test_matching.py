@@ -32,35 +32,46 @@ def merchant(text):
 
 
 def brute(rows, priority, days):
-    """Runs by scanning dates, then the n-th row of each source is one event."""
+    """Sources by priority, nearest dates first; like rows of a day in the order of their hash and id."""
     import hashlib
 
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r[0], r[3], r[4], merchant(r[6])].append(r)
-    out = {}
-    for members in groups.values():
-        dates = sorted({r[5] for r in members})
-        run, number = {}, 0
-        for i, d in enumerate(dates):
-            number += i == 0 or (d - dates[i - 1]).days > days
-            run[d] = number
-        lanes = defaultdict(list)
-        for r in members:
-            lanes[run[r[5]], r[1]].append(r)
-        events = defaultdict(list)
-        for (number, _), lane in lanes.items():
-            lane.sort(key=lambda r: (r[5], hashlib.md5(r[2].encode()).hexdigest()[:2], r[2]))
-            for nth, r in enumerate(lane):
-                events[number, nth].append(r)
-        for event in events.values():
-            best = min(event, key=lambda r: priority.index(r[1]))
-            for r in event:
-                out[r[2]] = None if r[1] == best[1] else best[2]
+    order = lambda r: (hashlib.md5(r[2].encode()).hexdigest()[:2], r[2])
+    out = {r[2]: None for r in rows}
+    for i, better in enumerate(priority):
+        for other in priority[i + 1 :]:
+            sides = []
+            for source in (better, other):
+                lanes = defaultdict(list)
+                for r in rows:
+                    if r[1] == source and out[r[2]] is None:
+                        lanes[r[0], r[3], r[4], merchant(r[6]), r[5]].append(r)
+                sides.append(lanes)
+            for gap in sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0)):
+                for key in list(sides[0]):
+                    there = (*key[:-1], key[-1] + dt.timedelta(days=gap))
+                    a, b = sorted(sides[0][key], key=order), sorted(sides[1].get(there, []), key=order)
+                    n = min(len(a), len(b))
+                    for x, y in zip(a[:n], b[:n], strict=True):
+                        out[y[2]] = x[2]
+                    sides[0][key] = a[n:]
+                    if there in sides[1]:
+                        sides[1][there] = b[n:]
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_lie_in_the_window_and_one_missing_row_moves_no_other(spark):
+    books = [(1, "books", f"a{i}", "outflow", 100, D0 + dt.timedelta(days=3 * i), "cafe") for i in range(10)]
+    bank = [(1, "bank", f"b{i}", "outflow", 100, D0 + dt.timedelta(days=3 * i), "cafe") for i in (5, 9)]
+
+    def mirrors(rows):
+        got = matching.cross_source_duplicates(spark.createDataFrame(rows, ROWS), ["books", "bank"]).collect()
+        return {r.row_id: r.mirrors_row_id for r in got if r.mirrors_row_id}
+
+    assert mirrors(books + bank) == {"b5": "a5", "b9": "a9"}
+    assert mirrors(books[:2] + books[3:] + bank) == {"b5": "a5", "b9": "a9"}
+
+
+@pytest.mark.parametrize("seed", [1])
 def test_duplicates_match_brute_force(spark, seed):
     rows = feed(random.Random(seed), 300)
     priority = ["books", "bank", "card"]
@@ -73,7 +84,7 @@ def test_duplicates_match_brute_force(spark, seed):
 def test_deciding_again_changes_nothing(spark):
     rows = feed(random.Random(3), 200)
     df = spark.createDataFrame(rows, ROWS)
-    priority = ["books", "bank", "card"]
+    priority = ["books", "bank"]
     first = matching.cross_source_duplicates(df, priority)
     marked = df.join(first.drop("org_id", "source"), "row_id").repartition(7, "day")
     again = matching.cross_source_duplicates(marked, priority)
@@ -87,13 +98,10 @@ def test_one_source_never_mirrors_itself(spark):
     assert got.where("NOT is_canonical").count() == 0
 
 
-def test_a_heavy_key_is_ranked_in_many_parts(spark):
+def test_a_heavy_key_is_numbered_in_many_parts(spark):
     n = 20_000
-    df = spark.range(n).selectExpr(
-        "1 AS org_id", "IF(id % 3 = 0, 500, id) AS amount_minor", "'outflow' AS direction",
-        "DATE '2001-01-01' AS day", "CAST(id AS STRING) AS row_id"
-    )
-    ranked = matching.rank_in_runs(df, ["org_id", "amount_minor"], "direction", "day", "row_id", 3)
+    df = spark.range(n).selectExpr("1 AS org_id", "IF(id % 3 = 0, 500, id) AS amount_minor", "CAST(id AS STRING) AS row_id")
+    ranked = matching.numbered(df, ["org_id", "amount_minor"], "row_id")
     heavy = ranked.where("amount_minor = 500")
     count = heavy.count()
     assert heavy.select("nth").distinct().count() == count
@@ -117,6 +125,29 @@ def test_transfers_pair_once_between_different_accounts(spark):
     ]
     got = matching.transfer_pairs(spark.createDataFrame(rows, MOVES)).collect()
     assert sorted((r.outflow_id, r.inflow_id) for r in got) == [("o1", "i1"), ("o2", "i2")]
+    alone = [
+        move("o1", "checking", "outflow", 100, 0),
+        move("o2", "checking", "outflow", 100, 3), move("i2", "savings", "inflow", 100, 3),
+        move("o3", "checking", "outflow", 100, 6), move("i3", "savings", "inflow", 100, 6),
+    ]
+    got = matching.transfer_pairs(spark.createDataFrame(alone, MOVES)).collect()
+    assert sorted((r.outflow_id, r.inflow_id) for r in got) == [("o2", "i2"), ("o3", "i3")]
+
+
+def test_transfers_leave_nothing_that_could_still_pair(spark):
+    rng = random.Random(4)
+    rows = [(1, f"r{i}", rng.choice("abc"), rng.choice(["outflow", "inflow"]), 100, D0 + dt.timedelta(days=rng.randrange(12))) for i in range(60)]
+    pairs = matching.transfer_pairs(spark.createDataFrame(rows, MOVES)).collect()
+    by_id = {r[1]: r for r in rows}
+    used = [x for p in pairs for x in (p.outflow_id, p.inflow_id)]
+    assert len(used) == len(set(used))
+
+    def could(o, i):
+        return o[3] == "outflow" and i[3] == "inflow" and o[2] != i[2] and abs((i[5] - o[5]).days) <= 3
+
+    assert all(could(by_id[p.outflow_id], by_id[p.inflow_id]) for p in pairs)
+    left = [r for r in rows if r[1] not in used]
+    assert not any(could(o, i) for o in left for i in left)
 
 
 def test_entity_links(spark):
@@ -133,6 +164,10 @@ def test_entity_links(spark):
     assert {got["4"].method, got["5"].method} == {"deterministic", "fuzzy"}
     assert got["6"].method == "deterministic"
     assert got["7"].org_id == 2
+    assert got["7"].compared is False and got["4"].compared is True
+    chain = [(1, "a", str(i), name) for i, name in enumerate(["abcdefgh", "abcdefghi", "abcdefghij", "abcdefghijk"])]
+    got = matching.entity_links(spark.createDataFrame(chain, "org_id int, source string, source_entity_id string, name string"))
+    assert {r.canonical_key for r in got.collect()} == {"abcdefgh"}
 
 
 def test_layered_categories(spark):
