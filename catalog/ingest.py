@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -29,31 +32,32 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-STATEMENT_SQL = """CASE WHEN sub LIKE '%payrolltax%' OR sub LIKE '%payroll%' THEN 'payroll' WHEN sub LIKE '%cogs' OR sub LIKE '%costofservice%' THEN 'cogs'
-WHEN typ LIKE '%income%' AND typ NOT LIKE '%other%' THEN 'revenue' WHEN typ LIKE '%other income%' THEN 'other_income' WHEN typ LIKE '%cost of goods%' THEN 'cogs'
-WHEN typ = 'bank' THEN 'asset' WHEN typ LIKE '%credit card%' THEN 'liability' WHEN typ LIKE '%equity%' THEN 'equity'
-WHEN typ LIKE '%liability%' OR typ LIKE '%payable%' THEN 'liability' WHEN typ LIKE '%asset%' OR typ LIKE '%receivable%' THEN 'asset'
-WHEN typ LIKE '%expense%' THEN CASE WHEN nam LIKE '%payroll%' OR nam LIKE '%salar%' OR nam LIKE '%wage%' THEN 'payroll'
-  WHEN nam LIKE '%contractor%' OR nam LIKE '%subcontract%' OR nam LIKE '%freelance%' THEN 'cogs' WHEN nam LIKE '%tax%' THEN 'other_expense'
-  WHEN nam LIKE '%interest%' THEN 'other_expense' ELSE 'opex' END END"""
-
-CONFIDENCE_SQL = """CASE WHEN sub LIKE '%payrolltax%' THEN 980 WHEN sub LIKE '%payroll%' OR sub LIKE '%cogs' OR sub LIKE '%costofservice%' THEN 950
-WHEN typ LIKE '%income%' AND typ NOT LIKE '%other%' THEN 950 WHEN typ LIKE '%other income%' THEN 900 WHEN typ LIKE '%cost of goods%' THEN 920
-WHEN typ = 'bank' OR typ LIKE '%credit card%' THEN 980 WHEN typ LIKE '%equity%' THEN 950
-WHEN typ LIKE '%liability%' OR typ LIKE '%payable%' OR typ LIKE '%asset%' OR typ LIKE '%receivable%' THEN 900
-WHEN typ LIKE '%expense%' THEN CASE WHEN nam LIKE '%payroll%' OR nam LIKE '%salar%' OR nam LIKE '%wage%' THEN 850
-  WHEN nam LIKE '%contractor%' OR nam LIKE '%subcontract%' OR nam LIKE '%freelance%' THEN 550 WHEN nam LIKE '%tax%' THEN 750
-  WHEN nam LIKE '%interest%' THEN 800 ELSE 880 END ELSE 0 END"""
-
-CATEGORY_SQL = """CASE st WHEN 'revenue' THEN 'revenue.services'
-WHEN 'payroll' THEN CASE WHEN nam LIKE '%tax%' THEN 'payroll.taxes' WHEN regexp_matches(nam, 'benefit|health|dental|insurance') THEN 'payroll.benefits' ELSE 'payroll.wages' END
-WHEN 'cogs' THEN CASE WHEN regexp_matches(nam, 'host|cloud|aws|server|infra') THEN 'cogs.hosting' WHEN regexp_matches(nam, 'material|suppl(y|ies)') THEN 'cogs.materials' ELSE 'cogs.subcontractors' END
-WHEN 'opex' THEN CASE WHEN regexp_matches(nam, 'rent|lease') THEN 'opex.rent' WHEN regexp_matches(nam, 'software|subscription|saas|licen') THEN 'opex.software'
-  WHEN regexp_matches(nam, 'marketing|advertis|promo') THEN 'opex.marketing' WHEN regexp_matches(nam, 'travel|meal|entertain') THEN 'opex.travel'
-  WHEN regexp_matches(nam, 'legal|professional|account|consult') THEN 'opex.professional' WHEN nam LIKE '%insurance%' THEN 'opex.insurance'
-  WHEN regexp_matches(nam, 'utilit|power|electric|internet|phone') THEN 'opex.utilities' WHEN regexp_matches(nam, 'office|suppl(y|ies)') THEN 'opex.office' ELSE 'opex.other' END
-WHEN 'other_expense' THEN CASE WHEN nam LIKE '%interest%' THEN 'other.interest' ELSE 'other.taxes' END
-ELSE 'uncategorized' END"""
+def _matches(column: str, pattern: str) -> str:
+    """A rule's pattern as SQL; a leading "without" part, which the SQL engine's patterns lack, as a test of its own."""
+    without = re.fullmatch(r"\^\(\?!\.\*(.*?)\)\.\*(.*)", pattern)
+    if without:
+        return f"(regexp_matches({column}, '{without[2]}') AND NOT regexp_matches({column}, '{without[1]}'))"
+    return f"regexp_matches({column}, '{pattern}')"
+
+
+def _statement_case(value) -> str:
+    rows = []
+    for *patterns, statement, confidence in acc.STATEMENT_RULES:
+        tests = [_matches(c, p) for c, p in zip(("sub", "typ", "nam"), patterns, strict=True) if p is not None]
+        rows.append(f"WHEN {' AND '.join(tests)} THEN {value(statement, confidence)}")
+    return "CASE " + "\n".join(rows)
+
+
+STATEMENT_SQL = _statement_case(lambda statement, _: f"'{statement}'") + " END"
+CONFIDENCE_SQL = _statement_case(lambda _, confidence: int(Decimal(confidence) * 1000)) + " ELSE 0 END"
+CATEGORY_SQL = (
+    "CASE "
+    + "\n".join(
+        f"WHEN st = '{statement}'{f' AND {_matches("nam", pattern)}' if pattern else ''} THEN '{category}'"
+        for statement, pattern, category in acc.CATEGORY_RULES
+    )
+    + f" ELSE '{acc.UNCATEGORIZED}' END"
+)
 
 ACCOUNTS = f"""
 , acct0 AS (SELECT CAST(p_partkey % 25 AS INT) AS org_id, CASE WHEN p_partkey % 211 <> 3 THEN CAST(p_partkey AS VARCHAR) END AS id,

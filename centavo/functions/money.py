@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Currencies handled, each with two decimal places.
-CURRENCIES = ("USD", "CAD", "GBP", "EUR", "AUD")
+# Fixed value: minor units in a major one, for currencies of two decimal places.
 MINOR_PER_MAJOR = 100
 
 DECIMAL_TEXT = r"^-?\d+(\.\d+)?$"

@@ -23,7 +23,6 @@ STATEMENTS = (
 )
 EXPENSE_STATEMENTS = ("opex", "cogs", "payroll")
 OPEN_STATES = ("open", "partial", "overdue")
-DIRECTIONS = ("inflow", "outflow")
 
 EARLIEST = dt.date(1900, 1, 1)
 LATEST = dt.date(2999, 12, 31)

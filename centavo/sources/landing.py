@@ -13,21 +13,7 @@ from pyspark.sql import types as T
 
 from centavo.operators.versions import latest_by, top_per
 
-# Record types a provider serves, and how many records fill a page.
-RECORD_TYPES = (
-    "Account",
-    "Customer",
-    "Vendor",
-    "Item",
-    "Invoice",
-    "Payment",
-    "Bill",
-    "BillPayment",
-    "Purchase",
-    "Deposit",
-    "JournalEntry",
-    "Transfer",
-)
+# Fixed value: how many records fill a page.
 PAGE_SIZE = 500
 
 PAGE_SCHEMA = T.StructType(
