@@ -111,9 +111,9 @@ def upsert_customers(b):
     "insert_transactions_if_absent",
     "S-8",
     "J-8",
-    sql=""", old AS (SELECT * FROM ledger_c WHERE occurred_at < DATE '2001-07-01'), new AS (SELECT * FROM ledger_c WHERE occurred_at >= DATE '2001-06-01')
-SELECT org_id, source_record_type, source_txn_id, occurred_at, CAST(amount * 100 AS BIGINT) AS amount_minor, is_voided FROM new n WHERE NOT EXISTS (
-SELECT 1 FROM old o WHERE o.org_id = n.org_id AND o.source_record_type = n.source_record_type AND o.source_txn_id = n.source_txn_id AND NOT o.is_voided)""",
+    sql=""", old AS (SELECT org_id, source_record_type, source_txn_id FROM ledger_c WHERE occurred_at < DATE '2001-07-01' AND NOT is_voided), new AS (SELECT * FROM ledger_c WHERE occurred_at >= DATE '2001-06-01')
+SELECT org_id, source_record_type, source_txn_id, occurred_at, CAST(amount * 100 AS BIGINT) AS amount_minor, is_voided FROM new
+ANTI JOIN old USING (org_id, source_record_type, source_txn_id)""",
 )
 def insert_transactions_if_absent(b):
     ledger = b.ledger

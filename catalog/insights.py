@@ -293,8 +293,8 @@ def metric_availability(b):
     "A-50",
     sql=f""", e AS (SELECT n_nationkey AS org_id FROM nation WHERE n_regionkey = 1),
 pc AS (SELECT org_id, CASE WHEN statement = 'revenue' THEN customer_id END AS c, SUM(CASE WHEN statement = 'revenue' AND occurred_at > DATE '2001-05-01' THEN minor END) AS nowm, SUM(CASE WHEN statement = 'revenue' AND occurred_at <= DATE '2001-05-01' THEN minor END) AS bef,
-  SUM(CASE WHEN statement = 'opex' AND occurred_at > DATE '2001-05-01' THEN minor END) AS mk FROM base WHERE org_id IN (SELECT org_id FROM e) AND statement IN ('revenue', 'opex') AND occurred_at > DATE '2001-02-01' AND occurred_at <= DATE '2001-08-01' GROUP BY 1, 2),
-po AS (SELECT org_id, COALESCE(SUM(CASE WHEN bef IS NOT NULL THEN nowm END), 0) AS rec, COALESCE(SUM(nowm), 0) AS rev, COALESCE(SUM(mk), 0) AS mk, COUNT(bef) AS earlier, COUNT(CASE WHEN bef IS NOT NULL AND nowm IS NULL THEN 1 END) AS lost,
+  SUM(CASE WHEN statement = 'opex' AND occurred_at > DATE '2001-05-01' THEN minor END) AS mk FROM base WHERE org_id IN (SELECT org_id FROM e) AND (statement = 'revenue' OR statement = 'opex' AND category = 'Brand#2' AND occurred_at > DATE '2001-05-01') AND occurred_at > DATE '2001-02-01' AND occurred_at <= DATE '2001-08-01' GROUP BY 1, 2),
+po AS (SELECT org_id, COALESCE(SUM(CASE WHEN bef IS NOT NULL THEN nowm END), 0) AS rec, COALESCE(SUM(nowm), 0) AS rev, SUM(mk) AS mk, COUNT(bef) AS earlier, COUNT(CASE WHEN bef IS NOT NULL AND nowm IS NULL THEN 1 END) AS lost,
   COUNT(CASE WHEN bef IS NULL AND nowm IS NOT NULL THEN 1 END) AS gained, COUNT(nowm) AS active FROM pc GROUP BY 1)
 SELECT org_id, CAST((2 * rec + 3) // 6 AS BIGINT) AS mrr_minor, CAST((2 * rec + 3) // 6 * 12 AS BIGINT) AS arr_minor, CASE WHEN earlier > 0 THEN FLOOR({d('lost')} / {d('earlier')} * {d(10000)} + {d(0.5)}) / {d(10000)} END AS churn,
 CAST(CASE WHEN gained > 0 THEN (2 * mk + gained) // (2 * gained) END AS BIGINT) AS cac_minor,
@@ -305,7 +305,8 @@ def subscription_metrics(b):
         F.col("n_nationkey").alias("org_id"),
         F.when(F.col("n_regionkey") == 1, "subscription").otherwise("services").alias("model"),
     )
-    return insights.subscription_metrics(b.ledger, models, AS_OF)
+    # the books' second brand stands for the marketing account
+    return insights.subscription_metrics(b.ledger, models, AS_OF, marketing_categories=("Brand#2",))
 
 
 @query(

@@ -312,12 +312,19 @@ def metric_availability(spans: DataFrame, connected: DataFrame) -> DataFrame:
     return rows.select("org_id", "r.metric_key", state.alias("state"))
 
 
-def subscription_metrics(ledger: DataFrame, models: DataFrame, as_of: dt.date, months: int = 3) -> DataFrame:
+def subscription_metrics(
+    ledger: DataFrame,
+    models: DataFrame,
+    as_of: dt.date,
+    months: int = 3,
+    marketing_categories: Sequence[str] = ("opex.marketing",),
+) -> DataFrame:
     """MRR, ARR, churn, CAC and LTV for tenants with a subscription model; other tenants are absent.
 
     A customer is active in a window when billed in it. MRR is the mean monthly
     revenue of customers billed in both windows; churn is the share of the
-    earlier window's customers not billed in the later one.
+    earlier window's customers not billed in the later one. CAC divides the recent cost in the
+    marketing categories by the customers gained, and is null where there is no such cost.
     """
     occurred = F.col("occurred_at")
     recent = after_months_before(occurred, as_of, months)
@@ -325,7 +332,7 @@ def subscription_metrics(ledger: DataFrame, models: DataFrame, as_of: dt.date, m
     eligible = models.where(F.col("model") == "subscription").select("org_id")
     rows = analytical(ledger).where(window).join(eligible, "org_id", "left_semi")
     revenue = F.col("statement") == "revenue"
-    marketing = F.col("statement").isin("opex") & recent
+    marketing = (F.col("statement") == "opex") & F.coalesce(F.col("category").isin(*marketing_categories), F.lit(False)) & recent
     per_customer = (
         rows.where(revenue | marketing)
         .groupBy("org_id", F.when(revenue, F.col("customer_id")).alias("customer_id"))
@@ -339,7 +346,7 @@ def subscription_metrics(ledger: DataFrame, models: DataFrame, as_of: dt.date, m
     per_org = per_customer.groupBy("org_id").agg(
         F.coalesce(F.sum(F.when(now & before, F.col("now_minor"))), _zero()).alias("recurring"),
         F.coalesce(F.sum("now_minor"), _zero()).alias("revenue"),
-        F.coalesce(F.sum("marketing_minor"), _zero()).alias("marketing"),
+        F.sum("marketing_minor").alias("marketing"),
         F.count(F.when(before, 1)).alias("earlier"),
         F.count(F.when(before & ~now, 1)).alias("lost"),
         F.count(F.when(now & ~before, 1)).alias("gained"),
