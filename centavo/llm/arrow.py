@@ -26,15 +26,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """`fn` takes a batch of at most about CHUNK_BYTES of its string columns (a longer single row
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """`fn` takes a batch of at most about `chunk_bytes` of its string columns (a longer single row
     comes alone) and yields columns of the output."""
     out = T._parse_datatype_string(schema)
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chunk_bytes):
                 for columns in fn(part):
                     arrays = [_array(columns[f.name], f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -48,14 +48,14 @@ def _array(values, kind) -> pa.Array:
     return pa.array(values, kind)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             sizes += np.diff(offsets(column))
     begin, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > CHUNK_BYTES:
+        if total and total + size > chunk_bytes:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += size

@@ -29,8 +29,9 @@ from centavo.llm.arrow import id_and_text, map_batches, ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-KEPT = 1 << 19  # words a task remembers; beyond, it starts anew
+KEPT = 1 << 20  # words a task remembers; beyond, it starts anew
 PAIRS = 1 << 20  # remembered verdicts on neighbouring pieces
+CHUNK = 6 << 20  # bytes of text encoded together: new words are few in each, and a pass over them costs the same
 BATCH = 1 << 18  # characters of words that advance together, about
 
 
@@ -96,11 +97,9 @@ class Encoder:
 
     def start(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.at = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
-        self.opened: list[bool] = []
+        self.flat = np.zeros(0, np.int32)  # ids of all remembered words
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     @staticmethod
     def _key(value: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -170,8 +169,8 @@ class Encoder:
             row, a, b, limit = row[on], a[on], b[on], limit[on]
         return out
 
-    def _advance(self, words: np.ndarray) -> list[np.ndarray]:
-        """Ranks of the pieces of words of one length (rows of code points)."""
+    def _advance(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pieces of words of one length (rows of code points), and how many each word has."""
         n, size = words.shape
         prefix = np.zeros((size + 1, n), np.uint64)
         for k in range(size):
@@ -208,7 +207,7 @@ class Encoder:
             steps.append(piece)
             place = place - np.where(place > 0, self.length[piece], 0)
         path = np.array(steps[::-1]).T
-        return [p[p >= 0] for p in path]
+        return path[path >= 0], (path >= 0).sum(1)
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words (each with a mark in front) and remember them."""
@@ -217,21 +216,35 @@ class Encoder:
         by_size: dict[int, list[str]] = {}
         for r in fresh:
             by_size.setdefault(len(r), []).append(r)
-        ids: dict[str, np.ndarray] = {}
+        flat, begun, place = [], 0, {}
         for size, group in by_size.items():
             step = max(1, BATCH // size)
             for i in range(0, len(group), step):
                 some = group[i : i + step]
                 codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
-                ids.update(zip(some, (self.id_of[p] for p in self._advance(codes)), strict=True))
-        for w, parts in zip(words, runs, strict=True):
-            got = np.concatenate([ids[r] if r in ids else self.model.byte_ids[np.frombuffer(r.encode(), np.uint8)] for r in parts])
-            self.number[w] = len(self.starts)
-            self.opened.append(bool(got[0] == self.mark))
-            self.starts.append(self.at)
-            self.sizes.append(len(got))
-            self.flat.append(got)
-            self.at += len(got)
+                ranks, counts = self._advance(codes)
+                starts = (np.cumsum(counts) - counts + begun).tolist()
+                place.update(zip(some, zip(starts, counts.tolist(), strict=True), strict=True))
+                flat.append(self.id_of[ranks])
+                begun += len(ranks)
+        known = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        base, more, starts, sizes = len(self.flat), [], [], []
+        at = base + len(known)
+        self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        for parts in runs:
+            if len(parts) == 1 and parts[0] in place:
+                start, size = place[parts[0]]
+                starts.append(base + start)
+            else:
+                ids = [known[place[r][0] : sum(place[r])] if r in place else self.model.byte_ids[np.frombuffer(r.encode(), np.uint8)] for r in parts]
+                more.append(np.concatenate(ids))
+                size = len(more[-1])
+                starts.append(at)
+                at += size
+            sizes.append(size)
+        self.flat = np.concatenate([self.flat, known, *more])
+        self.starts = np.concatenate([self.starts, np.array(starts, np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
 
     def _run(self, count: int) -> list[int]:
         """Ids of a short run of marks: its merges are worth the same, so the leftmost comes first."""
@@ -252,10 +265,7 @@ class Encoder:
         new = set().union(*split) - self.number.keys() - {""} if split else set()
         if new:
             self._learn(list(new))
-        base = np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
-        self.flat = [base]
-        number = self.number
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        base, number, starts, sizes = self.flat, self.number, self.starts, self.sizes
         out, bounds = [], [0]
         for words in split:
             if "" not in words:
@@ -268,7 +278,7 @@ class Encoder:
                     if word:
                         k = number[word]
                         own = base[starts[k] : starts[k] + sizes[k]]
-                        if self.opened[k]:
+                        if own[0] == self.mark:
                             parts += [self._spaces(spaces), own[1:]]
                         else:
                             parts += [self._spaces(spaces - 1), own]
@@ -303,7 +313,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
         ids, bounds = encoder.encode(batch.column(1).to_pylist())
         yield {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))}
 
-    return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>")
+    return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>", CHUNK)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -337,4 +347,4 @@ def encoded_and_checked(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -
             "round_trip": [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)],
         }
 
-    return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>, n_tokens bigint, n_byte_tokens bigint, round_trip boolean")
+    return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>, n_tokens bigint, n_byte_tokens bigint, round_trip boolean", CHUNK)
