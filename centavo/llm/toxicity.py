@@ -6,6 +6,11 @@ subset construction turns it into one automaton that reads all texts in one pass
 4 letters must match, up to 7 letters may have one error, longer ones two. Digits count as the
 letters they look like. A word that ends in an accepting state is a find.
 
+Terms of any language are learned too (`learn_terms`): words that labelled texts tie to toxic ones.
+They are added to the trie and must match as written, but for capitals and digits: words of a family
+differ by an ending of a letter or two, and so do clean words from them. The automaton reads the
+letters of all terms as UTF-8, one character a step.
+
 Each find gets a context score: quotation marks around it and words of reporting near it lower the
 score, words of address raise it. `fit` learns from labelled rows how toxic the texts with each
 written form are, and a logistic model over the finds of a text; `score` applies both.
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,6 +41,9 @@ LEXICON = (
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 OTHER, CONTINUED, BREAK = 26, 27, 28  # classes beside the letters
 OUTSIDE = 0xFF
+LEAST_TOXIC = 3  # labelled texts that a learned term is in, at least
+LEAST_Z = 5.0  # standard deviations of toxic texts with the word over the mean of all texts
+BETWEEN_WORDS = r"[\x00-\x7F&&[^0-9A-Za-z]]+"  # the bytes of class BREAK
 REPORTING = frozenset("said says saying called calls word words term terms quote quoted wrote writes slur insult insults".split())
 ADDRESS = frozenset("you your youre u ur yourself".split())
 QUOTES = re.compile(r"[\"“”„«»‘’]")
@@ -52,7 +60,8 @@ def allowed_errors(term: str) -> int:
     return 0 if len(term) <= 4 else 1 if len(term) <= 7 else 2
 
 
-def _byte_classes() -> np.ndarray:
+def _byte_classes(more: dict[int, int]) -> np.ndarray:
+    """The class of each byte; `more` has those of bytes of letters outside a to z."""
     of = np.full(256, BREAK, np.uint8)
     for b in range(26):
         of[ord("a") + b] = of[ord("A") + b] = b
@@ -60,6 +69,8 @@ def _byte_classes() -> np.ndarray:
         of[ord(d)] = ord(LOOKS_LIKE[d]) - ord("a") if d in LOOKS_LIKE else OTHER
     of[0x80:0xC0] = CONTINUED
     of[0xC0:0xF8] = OTHER
+    for byte, c in more.items():
+        of[byte] = c
     return of
 
 
@@ -69,15 +80,16 @@ class Lexicon:
     accepts: list[tuple[str, int] | None]  # of each label: nearest term and its distance
 
 
-def compile_lexicon(terms: list[str]) -> Lexicon:
-    children: list[dict[int, int]] = [{}]
+def compile_lexicon(terms: list[str], exact: tuple[str, ...] = ()) -> Lexicon:
+    """`exact` terms allow no errors. Terms are in small letters."""
+    allowed = dict.fromkeys(exact, 0) | {t: allowed_errors(t) for t in terms}
+    children: list[dict[str, int]] = [{}]
     ends: dict[int, str] = {}
     most: list[int] = [0]
-    for term in sorted(set(terms)):
-        k, node = allowed_errors(term), 0
+    for term in sorted(allowed):
+        k, node = allowed[term], 0
         most[0] = max(most[0], k)
-        for c in term:
-            key = ord(c) - ord("a")
+        for key in term:
             if key not in children[node]:
                 children[node][key] = len(children)
                 children.append({})
@@ -99,7 +111,7 @@ def compile_lexicon(terms: list[str]) -> Lexicon:
                     todo.append((child, e + 1))
         return frozenset(pairs.items())
 
-    def step(state: frozenset[tuple[int, int]], c: int) -> frozenset[tuple[int, int]]:
+    def step(state: frozenset[tuple[int, int]], c: str) -> frozenset[tuple[int, int]]:
         out: dict[int, int] = {}
         for node, e in state:
             if e < most[node] and out.get(node, 99) > e + 1:
@@ -110,29 +122,65 @@ def compile_lexicon(terms: list[str]) -> Lexicon:
                     out[child] = cost
         return closed(out)
 
+    plain, rest = "abcdefghijklmnopqrstuvwxyz", ""  # `rest`: any other letter
+    far = sorted({c for t in allowed for c in t} - set(plain))
     begin = closed({0: 0})
-    states, order, moves = {begin: 0}, [begin], []
+    states, order, after = {begin: 0}, [begin], []
     for state in order:
-        row, used = [], {key for node, _ in state for key in children[node]}
-        other = None
-        for c in range(OTHER + 1):
-            if c in used:
-                to = step(state, c)
-            else:
-                to = other = step(state, OTHER) if other is None else other
+        row, used = {}, {key for node, _ in state for key in children[node]}
+        for c in (rest, *plain, *far):
+            to = step(state, c) if c == rest or c in used else order[row[rest]]
             if to not in states:
                 states[to] = len(order)
                 order.append(to)
-            row.append(states[to])
-        moves.append([*row, len(moves), 0])
+            row[c] = states[to]
+        after.append(row)
+    moves, shown = _over_bytes(after, plain, rest, far)
     labels: dict[tuple[str, int] | None, int] = {None: 0}
     of = []
     for state in order:
-        fits = [(e, ends[n]) for n, e in state if n in ends and e <= allowed_errors(ends[n])]
+        fits = [(e, ends[n]) for n, e in state if n in ends and e <= allowed[ends[n]]]
         best = (min(fits)[1], min(fits)[0]) if fits else None
         of.append(labels.setdefault(best, len(labels)))
-    block, small, label = minimise(np.array(moves), np.array(of))
-    return Lexicon(Automaton(small.astype(np.int32), _byte_classes(), label, int(block[0])), list(labels))
+    block, small, label = minimise(np.array(moves), np.array(of)[shown])
+    return Lexicon(Automaton(small.astype(np.int32), _byte_classes(_far_bytes(far)), label, int(block[0])), list(labels))
+
+
+def _written(c: str) -> list[bytes]:
+    """A letter's bytes, small and capital."""
+    return [x.encode() for x in {c, c.upper()} if len(x) == 1]
+
+
+def _far_bytes(far: list[str]) -> dict[int, int]:
+    """Classes of the bytes of letters outside a to z."""
+    return {byte: BREAK + 1 + i for i, byte in enumerate(sorted({b for c in far for w in _written(c) for b in w}))}
+
+
+def _over_bytes(after: list[dict[str, int]], plain: str, rest: str, far: list[str]) -> tuple[list[list[int]], list[int]]:
+    """Moves by byte classes from moves by letters, and the state whose label each state has.
+
+    Beside each state there is one for each beginning of a longer letter read in it; it stands for
+    `rest` until the letter is whole.
+    """
+    letters = {w: c for c in far for w in _written(c)}
+    begun = sorted({w[:i] for w in letters for i in range(1, len(w))})
+    more, size = _far_bytes(far), len(after)
+    inside = {w: size * (i + 1) for i, w in enumerate(begun)}
+
+    def lead(s: int, byte: int) -> int:
+        return inside[bytes([byte])] + s if byte >= 0xC0 else s
+
+    moves = [[*(row[c] for c in plain), row[rest], s, 0, *(lead(s, b) for b in more)] for s, row in enumerate(after)]
+    shown = list(range(size))
+    for w in begun:
+        for row in after:
+            s = row[rest]
+            to = {b: row[letters[w + bytes([b])]] if w + bytes([b]) in letters else None for b in more}
+            longer = {b: inside[w + bytes([b])] + len(moves) % size for b in more if w + bytes([b]) in inside}
+            ends = [lead(s, b) if to[b] is None else to[b] for b in more]
+            moves.append([*moves[s][:CONTINUED], s, 0, *(longer.get(b, e) for b, e in zip(more, ends, strict=True))])
+            shown.append(s)
+    return moves, shown
 
 
 def context_score(before: str, after: str) -> float:
@@ -168,9 +216,9 @@ def _finds(lexicon: Lexicon, column) -> list[list[tuple[str, str, int, float]]]:
     return out
 
 
-def find_terms(docs: DataFrame, terms: list[str] = LEXICON) -> DataFrame:
+def find_terms(docs: DataFrame, terms: list[str] = LEXICON, exact: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and `finds`: array of (form, term, distance, context)."""
-    lexicon = compile_lexicon(terms)
+    lexicon = compile_lexicon(terms, exact)
 
     def fn(batch):
         finds = [[dict(zip(("form", "term", "distance", "context"), f, strict=True)) for f in row] for row in _finds(lexicon, batch.column(1))]
@@ -190,6 +238,10 @@ class Model:
     base: float  # log-odds of a text without finds
     forms: dict[str, float]  # log-odds that a form adds
     weights: tuple[float, float, float]
+    learned: tuple[str, ...] = ()
+
+    def lexicon(self) -> Lexicon:
+        return compile_lexicon(list(self.terms), self.learned)
 
     def features(self, finds: list[tuple[str, str, int, float]]) -> tuple[float, float]:
         """The strongest find, and what the others add."""
@@ -200,8 +252,12 @@ class Model:
     def unseen(self, distance: int) -> float:
         return _logit(PRIOR_RATE[distance]) - self.base
 
+    def buckets(self, finds: list[tuple[str, str, int, float]]) -> tuple[float, float]:
+        top, rest = self.features(finds)
+        return round(top / STEP) * STEP, round(rest / STEP) * STEP
+
     def score(self, finds: list[tuple[str, str, int, float]]) -> float:
-        top, rest = (round(x / STEP) * STEP for x in self.features(finds))
+        top, rest = self.buckets(finds)
         a, b, c = self.weights
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * top + c * rest))))
 
@@ -210,14 +266,40 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def learn_terms(texts: DataFrame, known: list[str]) -> tuple[str, ...]:
+    """Words that toxic texts hold far more often than others; `texts`: text, toxic.
+
+    A word counts once a text. It is a term if it is in LEAST_TOXIC toxic texts or more, most texts
+    with it are toxic, and they are LEAST_Z deviations over what the share of toxic texts gives.
+    Only such words reach the driver. Words with digits are found through the letters they look like.
+    """
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    if not 0 < total.toxic < total.n:
+        return ()
+    rate = total.toxic / total.n
+    over = F.col("toxic") - F.col("n") * rate
+    words = (
+        texts.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN_WORDS))).alias("word"))
+        .where((F.col("word") != "") & ~F.col("word").rlike("[0-9]"))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+        .where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * 2 > F.col("n")))
+        .where(over >= LEAST_Z * F.sqrt(F.col("n") * (rate * (1 - rate))))
+    )
+    return tuple(sorted({r.word for r in words.select("word").collect()} - set(known)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, terms: list[str] = LEXICON) -> Model:
-    """Learn from every labelled row that is not held out.
+    """Learn from every labelled row that is not held out: terms first, then what each is worth.
 
-    What reaches the driver: one row for each written form within the allowed distance of a term,
-    and one for each bucket of the two features. The lexicon and STEP bound both.
+    What reaches the driver: the learned terms, one row for each written form within the allowed
+    distance of a term, and one for each bucket of the two features. The terms and STEP bound both.
+    The texts meet their labels by a sort merge at every size, so the shuffle follows the input.
     """
-    finds = written(find_terms(docs, terms), "toxicity-finds")
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    texts = id_and_text(docs).where(~held_out(F.col("doc_id"))).join(told.hint("merge"), "doc_id").select("text", "toxic")
+    learned = learn_terms(texts, terms)
+    finds = written(find_terms(docs, terms, learned), "toxicity-finds")
     rows = finds.where(~held_out(F.col("doc_id"))).join(told, "doc_id").select("toxic", "finds")
     plain = rows.where(F.size("finds") == 0).agg(F.count("*"), F.sum("toxic")).first()
     base = _logit(((plain[1] or 0) + 1) / (plain[0] + 10))
@@ -230,39 +312,40 @@ def fit(docs: DataFrame, labels: DataFrame, terms: list[str] = LEXICON) -> Model
     forms = {
         r.form: _logit((r.toxic + PRIOR_ROWS * PRIOR_RATE[r.distance]) / (r.n + PRIOR_ROWS)) - base for r in seen
     }
-    start = Model(tuple(terms), base, forms, (base, 1.0, 0.5))
-    worth = _bucket_columns(start)
-    table = rows.where(F.size("finds") > 0).select("toxic", *worth).groupBy("top", "rest").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()
+    start = Model(tuple(terms), base, forms, (base, 1.0, 0.5), learned)
+    table = _bucketed(rows.where(F.size("finds") > 0), start).groupBy("top", "rest").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()
     cells = [(0.0, 0.0, plain[0], plain[1] or 0), *((r.top, r.rest, r.n, r.toxic) for r in table)]
-    return Model(start.terms, base, forms, _logistic(cells, np.array([base, 1.0, 0.5])))
+    return replace(start, weights=_logistic(cells, np.array([base, 1.0, 0.5])))
+
 
+def _bucketed(rows: DataFrame, model: Model) -> DataFrame:
+    """toxic, and `Model.features` in buckets."""
 
-def _bucket_columns(model: Model) -> tuple[Column, Column]:
-    """`Model.features` in buckets, as columns."""
-    def worth(find):
-        known = F.lit(None).cast("double")
-        if model.forms:
-            table = F.map_from_arrays(F.array(*map(F.lit, model.forms)), F.array(*map(F.lit, model.forms.values())))
-            known = F.try_element_at(table, find["form"])
-        prior = F.element_at(F.array(*[F.lit(model.unseen(d)) for d in range(3)]), find["distance"] + 1)
-        return F.greatest(F.lit(0.0), F.coalesce(known, prior)) * find["context"]
+    def fn(batch):
+        found = [[(f["form"], f["term"], f["distance"], f["context"]) for f in finds] for finds in batch.column(1).to_pylist()]
+        both = [model.buckets(f) for f in found]
+        yield {"toxic": batch.column(0), "top": [b[0] for b in both], "rest": [b[1] for b in both]}
 
-    each = F.transform("finds", worth)
-    top = F.array_max(each)
-    rest = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) - top
-    return tuple((F.rint(F.least(F.lit(MOST), x) / STEP) * STEP).alias(n) for x, n in ((top, "top"), (rest, "rest")))
+    return map_batches(rows.select("toxic", "finds"), fn, "toxic int, top double, rest double")
 
 
 def _logistic(cells: list[tuple[float, float, int, int]], prior: np.ndarray) -> tuple[float, float, float]:
-    """Newton steps for grouped rows, with a normal prior on the weights."""
+    """Newton steps for grouped rows, with a normal prior on the weights; a step that makes the fit worse is halved."""
     x = np.array([[1.0, t, r] for t, r, _, _ in cells])
     n, y = np.array([c[2] for c in cells], float), np.array([c[3] for c in cells], float)
     keep, w = np.diag(PRIOR_PRECISION), prior.copy()
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(n @ np.logaddexp(0, z) - y @ z + (w - prior) @ keep @ (w - prior) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - n * p) - keep @ (w - prior)
         change = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + keep, slope)
-        w = w + np.clip(change, -2, 2)
+        while np.abs(change).max() >= 1e-9 and loss(w + change) > loss(w):
+            change = change / 2
+        w = w + change
         if np.abs(change).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
@@ -270,7 +353,7 @@ def _logistic(cells: list[tuple[float, float, int, int]], prior: np.ndarray) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and how many finds there were."""
-    lexicon = compile_lexicon(list(model.terms))
+    lexicon = model.lexicon()
 
     def fn(batch):
         finds = _finds(lexicon, batch.column(1))
@@ -281,7 +364,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents with a score under `least`; their columns as given."""
-    lexicon = compile_lexicon(list(model.terms))
+    lexicon = model.lexicon()
 
     def fn(batch):
         column = batch.column(batch.schema.names.index("text"))

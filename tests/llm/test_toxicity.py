@@ -78,3 +78,26 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in told) / len(told) > 0.85
     caught = [r for r in told if r.predicted]
     assert caught and sum(r.toxic for r in caught) / len(caught) > 0.95
+
+
+def test_letters_of_other_languages(frame):
+    exact = ("réeuxou", "ßchön", "дурак", "naïf", "né")
+    given = ["RÉEUXOU réeuxo réeuxou.", "ßchön schön", "Дурак, дурака", "n4ïf naîf", "né nè idïot idiot"]
+    rows = {r.doc_id: [f.form for f in r.finds] for r in toxicity.find_terms(frame(given), toxicity.LEXICON, exact).collect()}
+    assert rows == {0: ["réeuxou", "réeuxou"], 1: ["ßchön"], 2: ["дурак"], 3: ["n4ïf"], 4: ["né", "idïot", "idiot"]}
+
+
+def told_by_language(spark, path):
+    """(lang, toxic, predicted) of the rows that no label is learned from."""
+    read = lambda t: spark.read.parquet(f"{path}/{t}.parquet")
+    rows = QUERIES["op10_toxicity"](spark, path).where("held_out").join(read("labels"), "doc_id").join(read("documents"), "doc_id")
+    return [(r.lang, r.toxic, r.predicted) for r in rows.where("toxic IS NOT NULL").select("lang", "toxic", "predicted").collect()]
+
+
+def test_held_out_recall_of_each_language(spark):
+    told = told_by_language(spark, "/root/testdata/sf0.1")
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [p for l, y, p in told if l == lang and y]
+        clean = [p for l, y, p in told if l == lang and not y]
+        assert sum(toxic) / len(toxic) > 0.8, (lang, sum(toxic), len(toxic))
+        assert sum(clean) / len(clean) < 0.1, (lang, sum(clean), len(clean))
