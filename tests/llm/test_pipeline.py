@@ -41,3 +41,17 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark, small, frame):
             out.collect()
     assert re.search("SECRET", corpus_pipeline.hide_secrets(spark, docs, small).where("doc_id = 4").first().text)
     assert corpus_pipeline.keep_one_of_each(spark, docs, small).where("doc_id = 3").count() == 0
+
+
+def test_first_stage_against_the_labels(spark):
+    """By the labels of rows that the model is not fitted on, not by its own scores."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    name, stage = corpus_pipeline.STAGES[0]
+    kept = {r.doc_id for r in stage(spark, docs, path).select("doc_id").collect()}
+    told = docs.join(labels.where("toxic IS NOT NULL"), "doc_id").where(toxicity.held_out(docs.doc_id)).select("doc_id", "lang", "toxic").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.doc_id not in kept for r in told if r.lang == lang and r.toxic]
+        clean = [r.doc_id in kept for r in told if r.lang == lang and not r.toxic]
+        assert sum(toxic) / len(toxic) > 0.8, (name, lang, sum(toxic), len(toxic))
+        assert sum(clean) / len(clean) > 0.95, (name, lang, sum(clean), len(clean))
