@@ -75,6 +75,11 @@ def risk_candidates(b):
     return alerts.from_forecast(fc.forecast_risks(inputs(b, customers=True), OPTIONS))
 
 
+def all_candidates(b):
+    """All eleven rules: those of `rule_candidates`, and payroll, cash and runway of the forecast."""
+    return alerts.candidates(rule_candidates(b), risk_candidates(b))
+
+
 def _row(rule: str, severity: str, due: str, subject: str, material: str, rest: str) -> str:
     return f"""SELECT org_id, '{rule}' AS rule_key, '{severity}' AS severity, CAST({due} AS DATE) AS due_on, '{rule}:' || {subject} AS dedup_key, CAST({material} AS BIGINT) AS materiality_minor {rest}"""
 
@@ -150,6 +155,21 @@ def unseen_alerts(b):
     return alerts.unseen(rule_candidates(b), known)
 
 
+@query("alerts_for_week_all_rules", "O-9")
+def alerts_for_week_all_rules(b):
+    return alerts.select_for_week(all_candidates(b))
+
+
+@query("unseen_alerts_all_rules", "O-10")
+def unseen_alerts_all_rules(b):
+    known = alerts.candidates(
+        alerts.vendor_creep(insights.recurring_series(b.ledger, AS_OF)),
+        alerts.tax_due(tax(b), TAX_DUE),
+        risk_candidates(b).where("rule_key = 'runway_threshold'"),
+    )
+    return alerts.unseen(all_candidates(b), known)
+
+
 @query(
     "alert_lifecycle",
     "A-45",
@@ -298,22 +318,31 @@ SELECT gr.firm_id, gr.org_id, health.score, CASE WHEN burn > 0 THEN FLOOR({d('ca
 FROM gr LEFT JOIN health USING (org_id) LEFT JOIN everything e USING (org_id) LEFT JOIN al USING (org_id) LEFT JOIN fr USING (org_id)""",
 )
 def firm_console(b):
+    """Large expenses alone stand for the critical alerts here; `firm_console_all_rules` counts the critical ones."""
+    return _console(b, alerts.large_expense(bills_due(b), cash(b)).withColumn("severity", F.lit("critical")))
+
+
+def _console(b, fired):
     grants = b.table("nation").select(
         F.col("n_regionkey").alias("firm_id"), F.col("n_nationkey").alias("org_id")
     )
     runway = metrics.metric_table(b.ledger, TTM, ["runway_months"], b.organizations).select(
         "org_id", F.col("value").alias("runway_months")
     )
-    large = alerts.large_expense(bills_due(b), cash(b)).withColumn("severity", F.lit("critical"))
     return alerts.firm_console(
         grants,
         insights.health_scores(b.ledger, b.customers, b.organizations, TTM),
         runway,
-        large,
+        fired,
         quality.data_freshness(connections(b)),
     )
 
 
+@query("firm_console_all_rules", "A-49")
+def firm_console_all_rules(b):
+    return _console(b, all_candidates(b))
+
+
 @query(
     "nearest_chunks",
     "2.10",

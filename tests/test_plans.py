@@ -57,3 +57,11 @@ def test_dashboard_has_every_part(books):
         "forecast_points", "forecast_risks", "forecast_assumptions",
     }
     assert set(counts["cards"].values()) == {8} and set(counts["forecast_points"].values()) == {91}
+
+
+def test_critical_alerts_reach_ranking(spark, small):
+    import __spark_entry__ as entry
+
+    critical = entry.queries()["forecast_alerts"](spark, small).where("severity = 'critical'").count()
+    assert critical > 0
+    assert entry.queries()["alerts_for_week_all_rules"](spark, small).where("rank = 0").count() == critical
