@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from centavo.llm import decontaminate, hilbert, html_text, jaccard, middle, neighbours, personal, pieces, repeats, secrets, toxicity
+from centavo.llm import decontaminate, hilbert, html_text, jaccard, middle, neighbours, personal, pieces, product_codes, repeats, secrets, token_counts, toxicity
 from centavo.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -143,3 +143,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 @query("op11_fill_in_middle", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_sql(rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, in each round and once more."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+SELECT vec_id, q.p, any_value(q.v) AS v, min(dist * 64 + e) % 64 AS e, min(dist) AS dist
+FROM (SELECT q.vec_id, q.p, q.v, b.e, list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM q JOIN b{r} b ON b.p = q.p) q GROUP BY vec_id, q.p
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+SELECT p, e, list(x ORDER BY j) AS v FROM (
+SELECT p, e, j, CAST(floor(CAST(sum(v[j]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS j FROM a{r}) GROUP BY p, e, j) GROUP BY p, e
+), b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH k AS (
+SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS MATERIALIZED (
+SELECT vec_id, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS v FROM (SELECT vec_id, x, unnest(range(16)) AS p FROM k)
+), b0 AS MATERIALIZED (
+SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM q) WHERE e < 64
+), {", ".join(steps)}, told AS (
+SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256
+FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS j FROM b{rounds})
+), coded AS (
+SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), told
+"""
+
+
+@query("op13_product_codes", op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.digest(table(spark, sf_dir, "embeddings"))
