@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -27,18 +28,25 @@ def check(library, docs, rows):
     assert got == sorted(want, key=str)
 
 
-def test_pre_tokens_are_the_text():
+@pytest.fixture(scope="module")
+def parting():
+    return token_counts.Pieces().parting()
+
+
+def test_pre_tokens_are_the_text(parting, library):
+    ahead = len(library.encode("\n"))
     for text in odd_texts():
-        parts = [p for part in token_counts.pre_tokens(text or "") for p in part]
+        parts = [p for part in parting.pre_tokens(text or "") for p in part]
         assert "".join(parts) == (" " + text.replace("▁", " ") if text else "")
+        assert sum(len(library.encode("\n" + p)) - ahead for p in parts) == len(library.encode(text or "")), text
 
 
-def test_slices_end_between_pre_tokens(monkeypatch):
+def test_slices_end_between_pre_tokens(parting, monkeypatch):
     for text in odd_texts()[1:]:
-        whole = [p for part in token_counts.pre_tokens(text) for p in part]
+        whole = [p for part in parting.pre_tokens(text) for p in part]
         with monkeypatch.context() as m:
             m.setattr(token_counts, "SLICE", 5)
-            assert [p for part in token_counts.pre_tokens(text) for p in part] == whole
+            assert [p for part in parting.pre_tokens(text) for p in part] == whole
 
 
 def test_odd_rows(spark, frame, library, monkeypatch):
@@ -57,8 +65,16 @@ def test_documents(spark, small, library):
     check(library, docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_each_pre_token_is_encoded_once(spark, frame):
-    blocks = token_counts.frequencies(frame(["the cat the cat", "the dog", "the dog"]).repartition(3))
-    spread = blocks.selectExpr("explode(pre_tokens) AS pre_token")
-    rows = token_counts.piece_counts(spread.distinct()).collect()
-    assert sorted(r.pre_token for r in rows) == [" cat", " dog", " the"]
+def test_each_pre_token_is_encoded_once(spark, frame, monkeypatch, tmp_path):
+    class Noted(token_counts.Pieces):
+        def count(self, pre_tokens):
+            with open(f"{tmp_path}/{os.getpid()}-{id(pre_tokens)}-{len(os.listdir(tmp_path))}", "w") as f:
+                f.write("\n".join(pre_tokens))
+            return super().count(pre_tokens)
+
+    monkeypatch.setattr(token_counts, "Pieces", Noted)
+    monkeypatch.setattr(token_counts, "ENCODED_BYTES", 8)
+    docs = frame(["the cat the cat", "the dog", "the dog", "a the cat"] * 5).repartition(3)
+    assert token_counts.count_tokens(docs).count() == 20
+    encoded = [w for f in tmp_path.iterdir() for w in f.read_text().split("\n") if w]
+    assert sorted(encoded) == [" a", " cat", " dog", " the"]
