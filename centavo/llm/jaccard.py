@@ -15,7 +15,7 @@
    overlap of a path among the sets below it and leaves a subtree as soon as the lengths that
    remain cannot reach the threshold. Linked sets leave the unit as a spanning forest.
 
-Steps 2 and 3 know a shingle by 32 bits beside its block: a clash can only keep a node too many.
+Steps 2 and 3 know a shingle by 32 bits beside its block.
 Sets are compared as 63-bit hashes of their shingles. A text without words has an empty set that is
 linked with nothing; one with fewer words than a shingle is one shingle of all its words. doc_id names
 a document: a component is named by its smallest doc_id and rows that repeat a doc_id are each answered.
@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from centavo.llm.arrow import id_and_text, map_batches, separated, slices, text_bytes
 from centavo.llm.components import components, forest
@@ -409,8 +410,8 @@ def _unit_links(units: DataFrame, percent: int) -> DataFrame:
     return units.mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, share: float = HEAVY_SHARE, unit: int = UNIT) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _classes(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, share: float = HEAVY_SHARE, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node of every row; of (a node), component_id and first (the node that names it) of every node."""
     spark = docs.sparkSession
     measured = written(measure(docs, n, share), "shingle-measures")
     sets = measured.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
@@ -461,17 +462,37 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT,
     linked = components(_unit_links(units, percent))
 
     least = named.join(linked.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = written(least.join(smallest, "label").select(F.col("node").alias("of"), "component_id"), "shingle-classes")
+    smallest = least.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    answer = least.join(smallest, "label").select(F.col("node").alias("of"), F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("first"))
+    return sets, written(answer, "shingle-classes")
+
+
+def jaccard_components(docs: DataFrame, n: int = NGRAM, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    sets, answer = _classes(docs, n, **options)
     told = sets.where("n_shingles > 0").join(answer, F.col("node") == F.col("of"), "left").select("doc_id", "n_shingles", "component_id")
     return told.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_smallest(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; of rows with that doc_id, one.
+def keep_smallest(docs: DataFrame, n: int = NGRAM, **options) -> DataFrame:
+    """One row of each component: of its texts with the smallest doc_id one set of shingles, and of the rows
+    with that doc_id and set the one whose text comes first by hash.
 
-    Rows without a doc_id are kept.
+    A repeated doc_id with texts that are not linked keeps one of each. Rows without a doc_id or without words are all kept.
     """
-    classes = jaccard_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    _, answer = _classes(docs, n, **options)
+    firsts = answer.where("of = first").select(F.col("component_id").alias("_first_id"), F.col("of").alias("_first_node"))
+
+    @arrow_udf("bigint")
+    def node(texts: pa.Array) -> pa.Array:
+        out = [nodes_of(*shingle_sets(part.column(0), n)) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    rows = rows.select("row", "id", "mark", "text", node("text").alias("node"))
+    apart = F.col("id").isNull() | (F.col("node") == 0)
+    linked = rows.where(~apart).join(firsts, (F.col("id") == F.col("_first_id")) & (F.col("node") == F.col("_first_node")), "left_semi")
+    order = Window.partitionBy("id", "node").orderBy("mark", "text")
+    kept = linked.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("row.*")
+    return kept.unionByName(rows.where(apart).select("row.*"))

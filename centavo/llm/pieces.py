@@ -10,13 +10,14 @@ that byte-pair merging gives exactly if each neighbouring pair is what merging g
 that pair alone, so one path stays finite and the ids are those of merging. The vocabulary file at hand is such a model.
 
 A text gets a space in front; spaces become the piece mark; runs of spaces and characters without a
-piece (then taken byte by byte) part the words. Texts are encoded whole; words already seen by a task are
-kept up to `KEPT`. A null or empty text has no ids and decodes to the empty text. Rows are treated alone; other columns are not looked at.
+piece (then taken byte by byte) part the words. Texts are encoded whole; a long one goes through
+in parts. Words already seen by a task are kept up to `KEPT_BYTES`. A null or empty text has no ids and decodes to the empty text. Rows are treated alone; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +30,14 @@ from centavo.llm.arrow import id_and_text, map_batches, ragged
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-KEPT = 1 << 20  # words a task remembers; beyond, it starts anew
+BOUND = re.compile("(?<=[^ ])(?= )")  # where a text may be parted: ahead of the space of a word
+KEPT_BYTES = 64 << 20  # of words a task remembers; beyond, it starts anew
+WORD_BYTES = 150  # of memory that a remembered word takes besides its letters, about
 PAIRS = 1 << 20  # remembered verdicts on neighbouring pieces
-CHUNK = 6 << 20  # bytes of text encoded together: new words are few in each, and a pass over them costs the same
+LEARNED = 4 << 20  # characters whose new words are learned together: they are few, and a pass over them costs the same
+NEW_WORDS = 100_000  # most words learned together, about
+PART = 1 << 18  # characters of a text, or ids, that are handled at a time
+CHUNK = 2 * LEARNED  # bytes of text in a batch; a longer text comes alone and is encoded in parts
 BATCH = 1 << 18  # characters of words that advance together, about
 
 
@@ -96,6 +102,7 @@ class Encoder:
         self.mark = model.ids[MARK]
 
     def start(self) -> None:
+        self.kept = 0  # bytes, about
         self.number: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)  # ids of all remembered words
         self.starts = np.zeros(0, np.int64)
@@ -209,6 +216,12 @@ class Encoder:
         path = np.array(steps[::-1]).T
         return path[path >= 0], (path >= 0).sum(1)
 
+    def _learn_all(self, new: set[str]) -> None:
+        new.discard("")
+        if new:
+            self._learn(list(new))
+            new.clear()
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words (each with a mark in front) and remember them."""
         runs = [self.known.findall(MARK + w) for w in words]
@@ -228,6 +241,7 @@ class Encoder:
                 flat.append(self.id_of[ranks])
                 begun += len(ranks)
         known = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.kept += sum(map(len, words)) + WORD_BYTES * len(words)
         base, more, starts, sizes = len(self.flat), [], [], []
         at = base + len(known)
         self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
@@ -257,36 +271,66 @@ class Encoder:
         whole, rest = divmod(count, len(self.runs) - 1)
         return np.array(self.runs[-1] * whole + self.runs[rest], np.int32)
 
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """A text with a space in front of every word, in parts of about `PART` characters."""
+        text = " " + text.replace(MARK, " ")
+        begin = 0
+        while begin < len(text):
+            bound = BOUND.search(text, begin + PART) if len(text) - begin > PART else None
+            end = bound.start() if bound else len(text)
+            yield text[begin:end]
+            begin = end
+
+    def _groups(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+        """Parts and the texts they belong to, so many that their new words are learned together."""
+        group, held = [], 0
+        for k, text in enumerate(texts):
+            for part in self._parts(text) if text else ():
+                group.append((k, part))
+                held += len(part)
+                if held >= LEARNED:
+                    yield group
+                    group, held = [], 0
+        if group:
+            yield group
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the bounds of each text."""
-        if len(self.number) > KEPT:
-            self.start()
-        split = [(" " + t.replace(MARK, " ")).split(" ")[1:] if t else [] for t in texts]
-        new = set().union(*split) - self.number.keys() - {""} if split else set()
-        if new:
-            self._learn(list(new))
+        out, sizes = [], np.zeros(len(texts), np.int64)
+        for group in self._groups(texts):
+            if self.kept > KEPT_BYTES:
+                self.start()
+            new: set[str] = set()
+            for _, part in group:
+                new |= set(part.split(" ")) - self.number.keys()
+                if len(new) > NEW_WORDS:
+                    self._learn_all(new)
+            self._learn_all(new)
+            for k, part in group:
+                ids = self._ids(part.split(" ")[1:])
+                out.append(ids)
+                sizes[k] += len(ids)
+        return np.concatenate(out) if out else self.flat[:0], np.append(0, np.cumsum(sizes))
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        """Ids of known words with a space in front of each; an empty word is one more space."""
         base, number, starts, sizes = self.flat, self.number, self.starts, self.sizes
-        out, bounds = [], [0]
-        for words in split:
-            if "" not in words:
-                w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                own = base[ragged(starts[w], sizes[w])]
-            else:  # an empty word is one more space
-                parts, spaces = [], 0
-                for word in words:
-                    spaces += 1
-                    if word:
-                        k = number[word]
-                        own = base[starts[k] : starts[k] + sizes[k]]
-                        if own[0] == self.mark:
-                            parts += [self._spaces(spaces), own[1:]]
-                        else:
-                            parts += [self._spaces(spaces - 1), own]
-                        spaces = 0
-                own = np.concatenate([*parts, self._spaces(spaces)])
-            out.append(own)
-            bounds.append(bounds[-1] + len(own))
-        return np.concatenate(out) if out else base[:0], np.array(bounds)
+        if "" not in words:
+            w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            return base[ragged(starts[w], sizes[w])]
+        parts, spaces = [], 0
+        for word in words:
+            spaces += 1
+            if word:
+                k = number[word]
+                own = base[starts[k] : starts[k] + sizes[k]]
+                if own[0] == self.mark:
+                    parts += [self._spaces(spaces), own[1:]]
+                else:
+                    parts += [self._spaces(spaces - 1), own]
+                spaces = 0
+        return np.concatenate([*parts, self._spaces(spaces)])
 
 
 class Decoder:
@@ -300,7 +344,8 @@ class Decoder:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of the ids; the space put in front is taken off."""
-        data = self.data[ragged(self.start[ids], self.size[ids])].tobytes()
+        some = [ids[k : k + PART] for k in range(0, len(ids), PART)]
+        data = b"".join([self.data[ragged(self.start[i], self.size[i])].tobytes() for i in some])
         ends = np.append(0, np.cumsum(self.size[ids]))[bounds].tolist()
         return [data[b:e].removeprefix(b" ").decode(errors="replace") for b, e in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -333,12 +378,14 @@ def encoded_and_checked(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -
     """doc_id, ids, n_tokens, n_byte_tokens, and round_trip: whether the ids decode to the text (piece marks read as spaces)."""
     model = Model.load(path, kind)
     encoder, decoder = Encoder(model), Decoder(model)
+    is_byte = np.zeros(len(model.texts), bool)
+    is_byte[model.byte_ids] = True
 
     def fn(batch):
         texts = batch.column(1).to_pylist()
         ids, bounds = encoder.encode(texts)
         back = decoder.decode(ids, bounds)
-        single = np.append(0, np.cumsum(np.isin(ids, model.byte_ids)))
+        single = np.append(0, np.cumsum(is_byte[ids]))
         yield {
             "doc_id": batch.column(0),
             "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),

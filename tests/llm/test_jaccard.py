@@ -86,6 +86,13 @@ def test_repeated_and_missing_ids(frame):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([3, 5, None, None], key=str)
 
 
+def test_a_repeated_id_loses_no_text(frame):
+    t, u = "one two three four five six seven", "quite another text of seven words here"
+    rows = [(2, t), (2, u), (3, u), (2, u.upper()), (4, None), (4, " "), (5, t + " "), (6, u)]
+    kept = jaccard.keep_smallest(frame(rows)).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == sorted([(2, t), (2, u), (4, ""), (4, " ")])
+
+
 def test_empty_table(frame):
     assert jaccard.jaccard_components(frame([])).collect() == []
     assert jaccard.keep_smallest(frame([])).collect() == []

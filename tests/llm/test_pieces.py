@@ -1,4 +1,7 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,3 +69,47 @@ def test_unigram_path_is_the_best():
         ids, _ = encoder.encode([text])
         assert "".join(texts[i] for i in ids) == "▁" + text
         assert scores[ids].sum() == pytest.approx(best("▁" + text))
+
+
+MEASURED = """
+import random, resource, sys
+sys.path.insert(0, {root!r})
+from centavo.llm import pieces
+encoder = pieces.Encoder(pieces.Model.load())
+decoder = pieces.Decoder(encoder.model)
+encoder.encode(["a b c"])
+random.seed(1)
+def new(size):
+    return " ".join("".join(random.choices("abcdefghijklmnop", k=7)) for _ in range(size // 8))
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for size in [2 << 20] * 8:
+    ids, bounds = encoder.encode([new(size)])
+    decoder.decode(ids, bounds)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start) >> 10)
+"""
+
+
+def test_memory_over_chunks_of_new_words():
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", MEASURED.format(root=root)], capture_output=True, text=True, check=True, timeout=600)
+    assert int(done.stdout) < 250, done.stdout
+
+
+def test_texts_in_parts(library, monkeypatch):
+    monkeypatch.setattr(pieces, "PART", 7)
+    monkeypatch.setattr(pieces, "LEARNED", 100)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 5000)
+    texts = odd_texts()[:600] + [" " * 30 + "x  y" * 20]
+    encoder = pieces.Encoder(pieces.Model.load())
+    decoder = pieces.Decoder(encoder.model)
+    ids, bounds = encoder.encode(texts)
+    back = decoder.decode(ids, bounds)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text), text
+        assert back[k] == text.replace("▁", " ")
+
+
+def test_rows_without_text(spark, frame):
+    got = pieces.encoded_and_checked(frame([None, "", "a"])).collect()
+    assert [(r.doc_id, r.n_tokens, r.round_trip) for r in got] == [(0, 0, True), (1, 0, True), (2, 1, True)]
+    assert pieces.encoded_and_checked(frame(["a"]).limit(0)).collect() == []
