@@ -120,11 +120,20 @@ class Parting:
             begin, size = begin + ends[-1], SLICE
 
 
+def planes(values: np.ndarray) -> bytes:
+    """int32 numbers as four runs of bytes, lowest first: small numbers leave runs of zeros, which compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def frequencies(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """Blocks of documents: their distinct pre-tokens, and each document's frequencies of them.
 
     `widths` counts the distinct pre-tokens of each document, `slots` are their places in `pre_tokens`, ascending
-    and as differences from the one before, and `times` how often each occurs (all int32).
+    and as differences from the one before, and `times` how often each occurs (all in `planes`).
     """
     parting = Pieces(path).parting()
     last = [0]
@@ -139,15 +148,15 @@ def frequencies(docs: DataFrame, path: str = MODEL) -> DataFrame:
             slot = np.fromiter((number.setdefault(w, len(number)) for w in seen), np.int32, len(seen))
             order = np.argsort(slot)
             widths.append(len(seen))
-            slots.append(np.diff(slot[order], prepend=np.int32(0)).tobytes())
-            times.append(np.fromiter(seen.values(), np.int32, len(seen))[order].tobytes())
+            slots.append(np.diff(slot[order], prepend=np.int32(0)))
+            times.append(np.fromiter(seen.values(), np.int32, len(seen))[order])
         yield {
             "block": [(TaskContext.get().partitionId() << 32) + last[0]],
             "doc_ids": [batch.column(0)],
             "n_bytes": [np.diff(text_bytes(batch.column(1))[1])],
-            "widths": [np.array(widths, np.int32).tobytes()],
-            "slots": [b"".join(slots)],
-            "times": [b"".join(times)],
+            "widths": [planes(np.array(widths, np.int32))],
+            "slots": [planes(np.concatenate(slots))],
+            "times": [planes(np.concatenate(times))],
             "pre_tokens": [list(number)],
         }
         last[0] += 1
@@ -182,10 +191,10 @@ def piece_counts(spread: DataFrame, path: str = MODEL) -> DataFrame:
     def packed(held: list[tuple]) -> pa.RecordBatch:
         block, place, count = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((place, block))
-        block, place, count = block[order], place[order].astype("<i4"), count[order].astype("<i4")
+        block, place, count = block[order], place[order], count[order]
         edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
         each = list(zip(edges[:-1], edges[1:], strict=True))
-        columns = [pa.array([block[b] for b, _ in each], pa.int64()), *(pa.array([c[b:e].tobytes() for b, e in each], pa.binary()) for c in (place, count))]
+        columns = [pa.array([block[b] for b, _ in each], pa.int64()), *(pa.array([planes(c[b:e]) for b, e in each], pa.binary()) for c in (place, count))]
         return pa.RecordBatch.from_arrays(columns, ["block", "places", "counts"])
 
     dealt = spread.select("block", "place", "pre_token").repartition("pre_token").sortWithinPartitions("pre_token")
@@ -203,11 +212,11 @@ def count_tokens(docs: DataFrame, path: str = MODEL, limit: int = LIMIT) -> Data
     def fn(batch: pa.RecordBatch):
         for row in range(batch.num_rows):
             doc_ids, n_bytes, widths, slots, times, found = (batch.column(k)[row] for k in range(1, 7))
-            widths, steps, times = (np.frombuffer(c.as_py(), np.int32) for c in (widths, slots, times))
+            widths, steps, times = (from_planes(c.as_py()) for c in (widths, slots, times))
             ends = np.cumsum(widths, dtype=np.int64)
             total = np.zeros(len(steps) + 1, np.int64)
             if len(steps):
-                place, count = (np.frombuffer(b"".join(r[k] for r in found.as_py()), np.int32) for k in ("places", "counts"))
+                place, count = (np.concatenate([from_planes(r[k]) for r in found.as_py()]) for k in ("places", "counts"))
                 per_piece = np.zeros(len(place), np.int64)
                 per_piece[place] = count
                 running = np.cumsum(steps, dtype=np.int64)
