@@ -14,6 +14,7 @@ from centavo.operators import metrics, predicates, quality, search, tenancy, ver
 from centavo.session import fresh_path, written
 from centavo.sources import files, landing, raw_books, snapshots
 from centavo.sources.books import AS_OF
+from centavo.sources.ledger import KEYS, LedgerTable
 
 # --- merges -----------------------------------------------------------------
 
@@ -112,16 +113,33 @@ def upsert_customers(b):
     "S-8",
     "J-8",
     sql=""", old AS (SELECT org_id, source_record_type, source_txn_id FROM ledger_c WHERE occurred_at < DATE '2001-07-01' AND NOT is_voided), new AS (SELECT * FROM ledger_c WHERE occurred_at >= DATE '2001-06-01')
-SELECT org_id, source_record_type, source_txn_id, occurred_at, CAST(amount * 100 AS BIGINT) AS amount_minor, is_voided FROM new
+SELECT org_id, 'accounting' AS source, source_record_type, source_txn_id, occurred_at, CAST(amount * 100 AS BIGINT) AS amount_minor, is_voided FROM new
 ANTI JOIN old USING (org_id, source_record_type, source_txn_id)""",
 )
 def insert_transactions_if_absent(b):
-    ledger = b.ledger
-    old = ledger.where(F.col("occurred_at") < F.lit(dt.date(2001, 7, 1)))
-    new = ledger.where(F.col("occurred_at") >= F.lit(dt.date(2001, 6, 1)))
-    keys = ["org_id", "source_record_type", "source_txn_id"]
-    added = versions.insert_absent(old, new, keys, [F.col("occurred_at"), F.col("amount")])
-    return added.select(*keys, "occurred_at", minor("amount").alias("amount_minor"), "is_voided")
+    """A second batch that overlaps the first by a month, run twice as after a crash: what it added to the stored ledger."""
+    table = LedgerTable(b.spark, fresh_path(b.spark, "merged"), b.ledger_table.schema, b.ledger_table.buckets)
+    table.merge(b.ledger_table.read(end=dt.date(2001, 6, 30)), 0)
+    for _ in range(2):
+        table.merge(b.ledger_table.read(start=dt.date(2001, 6, 1)), 1)
+    added = table.read(start=dt.date(2001, 6, 1)).where("batch_id = 1")
+    return added.select(*KEYS, "occurred_at", minor("amount").alias("amount_minor"), "is_voided")
+
+
+@query(
+    "stored_ledger",
+    "S-8",
+    "P-1",
+    "J-7",
+    sql="""SELECT org_id, CAST(date_trunc('month', occurred_at) AS DATE) AS occurred_month, source_record_type, COUNT(*) AS n, CAST(SUM(amount * 100) AS BIGINT) AS amount_minor,
+COUNT(CASE WHEN is_canonical AND NOT is_transfer AND NOT is_voided THEN 1 END) AS analytical_n FROM ledger_c GROUP BY 1, 2, 3""",
+)
+def stored_ledger(b):
+    """The canonical ledger as it is stored: written once, read by month."""
+    used = F.col("is_canonical") & ~F.col("is_transfer") & ~F.col("is_voided")
+    return b.ledger_table.read().groupBy("org_id", "occurred_month", "source_record_type").agg(
+        F.count("*").alias("n"), F.sum(minor("amount")).alias("amount_minor"), F.count_if(used).alias("analytical_n")
+    )
 
 
 @query(

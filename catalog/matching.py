@@ -13,7 +13,10 @@ from centavo.sources.books import AS_OF
 
 
 def two_sources(b):
-    """The settled ledger as the accounting system has it, and as the bank shows it up to two days later."""
+    """The settled ledger as the accounting system has it, and as the bank shows it up to two days later.
+
+    The bank writes names its own way and now and then loses a letter of them, or two.
+    """
     rows = analytical(b.ledger).where(settled(AS_OF)).select(
         "org_id",
         F.concat_ws(":", "source_record_type", "source_txn_id").alias("row_id"),
@@ -25,13 +28,19 @@ def two_sources(b):
     )
     books = rows.withColumn("source", F.lit("accounting"))
     shift = (F.col("amount_minor") % 3).cast("int")
+    name = F.col("descriptor")
+    misspelt = (
+        F.when(F.col("amount_minor") % 35 == 0, F.concat(F.substring(name, 1, 2), F.substring(name, 5, 100)))
+        .when(F.col("amount_minor") % 7 == 0, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 100)))
+        .otherwise(name)
+    )
     bank = rows.select(
         "org_id",
         F.concat(F.lit("bank:"), F.col("row_id")).alias("row_id"),
         "direction",
         "amount_minor",
         F.date_add("day", shift).alias("day"),
-        F.concat(F.lit("SQ *"), F.upper("descriptor"), F.lit(" #42")).alias("descriptor"),
+        F.concat(F.lit("SQ *"), F.upper(misspelt), F.lit(" #42")).alias("descriptor"),
         "amount",
         F.lit("bank").alias("source"),
     )
@@ -39,24 +48,31 @@ def two_sources(b):
 
 
 SOURCES = """, books AS (SELECT org_id, source_record_type || ':' || source_txn_id AS row_id, direction, minor AS amount_minor, posted_at AS day, lower(COALESCE(merchant_name, 'Deposit')) AS merchant, 'accounting' AS source FROM base WHERE posted_at <= DATE '2001-08-01'),
-feed AS (SELECT * REPLACE (split_part(merchant, '#', 1) AS merchant) FROM books UNION ALL SELECT org_id, 'bank:' || row_id, direction, amount_minor, CAST(day + CAST(amount_minor % 3 AS INT) AS DATE), split_part(merchant, '#', 1), 'bank' FROM books),
-left0 AS (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'accounting'),
-right0 AS (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'bank'),
+feed AS MATERIALIZED (SELECT * REPLACE (split_part(merchant, '#', 1) AS merchant) FROM books UNION ALL SELECT org_id, 'bank:' || row_id, direction, amount_minor, CAST(day + CAST(amount_minor % 3 AS INT) AS DATE),
+split_part(CASE WHEN amount_minor % 35 = 0 THEN substr(merchant, 1, 2) || substr(merchant, 5) WHEN amount_minor % 7 = 0 THEN substr(merchant, 1, 2) || substr(merchant, 4) ELSE merchant END, '#', 1), 'bank' FROM books),
+left0 AS MATERIALIZED (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'accounting'),
+right0 AS MATERIALIZED (SELECT org_id, direction, amount_minor, merchant, day, row_id FROM feed WHERE source = 'bank'),
 """
 
 
-def rounds(keys: str, days: int) -> str:
-    """Subqueries that pair left0 and right0 by the definition: nearest dates first, like rows in order; ends in `met`."""
+def rounds(keys: str, days: int, mark: str = "") -> str:
+    """Subqueries that pair left0 and right0 by the definition: nearest dates first, like rows in order; ends in `met`.
+
+    `mark` begins the names of all of them.
+    """
     out, gaps = [], sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0))
     for i, gap in enumerate(gaps):
         nth = f"ROW_NUMBER() OVER (PARTITION BY {keys}, day ORDER BY substr(md5(row_id), 1, 2), row_id) AS nth"
         out += [
-            f"pair{i} AS (SELECT l.row_id AS l, r.row_id AS r, {gap} AS gap FROM (SELECT *, {nth} FROM left{i}) l "
-            f"JOIN (SELECT * REPLACE (CAST(day - {gap} AS DATE) AS day), {nth} FROM right{i}) r USING ({keys}, day, nth))",
-            f"left{i + 1} AS (SELECT * FROM left{i} WHERE row_id NOT IN (SELECT l FROM pair{i}))",
-            f"right{i + 1} AS (SELECT * FROM right{i} WHERE row_id NOT IN (SELECT r FROM pair{i}))",
+            f"{mark}pair{i} AS MATERIALIZED (SELECT l.row_id AS l, r.row_id AS r, {gap} AS gap FROM (SELECT *, {nth} FROM {mark}left{i}) l "
+            f"JOIN (SELECT * REPLACE (CAST(day - {gap} AS DATE) AS day), {nth} FROM {mark}right{i}) r USING ({keys}, day, nth))",
+            f"{mark}left{i + 1} AS MATERIALIZED (SELECT * FROM {mark}left{i} ANTI JOIN (SELECT l AS row_id FROM {mark}pair{i}) USING (row_id))",
+            f"{mark}right{i + 1} AS MATERIALIZED (SELECT * FROM {mark}right{i} ANTI JOIN (SELECT r AS row_id FROM {mark}pair{i}) USING (row_id))",
         ]
-    return ",\n".join([*out, "met AS (" + " UNION ALL ".join(f"SELECT * FROM pair{i}" for i in range(len(gaps))) + ")"]) + "\n"
+    return ",\n".join([*out, f"{mark}met AS (" + " UNION ALL ".join(f"SELECT * FROM {mark}pair{i}" for i in range(len(gaps))) + ")"]) + "\n"
+
+
+DUPLICATE_KEYS = "org_id, direction, amount_minor, merchant"
 
 
 @query(
@@ -64,9 +80,17 @@ def rounds(keys: str, days: int) -> str:
     "A-30",
     "J-14",
     sql=SOURCES
-    + rounds("org_id, direction, amount_minor, merchant", 3)
-    + """SELECT org_id, source, row_id, l IS NULL AS is_canonical, l AS mirrors_row_id,
-CASE WHEN l IS NOT NULL THEN 'amount+date+merchant' END AS dedup_method FROM feed LEFT JOIN met ON r = row_id""",
+    + rounds(DUPLICATE_KEYS, 3)
+    + """, named AS (SELECT r.org_id, r.direction, r.amount_minor, r.merchant, r.day, arg_min(l.merchant, {'e': levenshtein(l.merchant, r.merchant), 'd': abs(l.day - r.day), 'm': l.merchant}) AS near
+FROM (SELECT DISTINCT org_id, direction, amount_minor, merchant, day FROM left7) l JOIN (SELECT DISTINCT org_id, direction, amount_minor, merchant, day FROM right7) r
+ON l.org_id = r.org_id AND l.direction = r.direction AND l.amount_minor = r.amount_minor AND abs(l.day - r.day) <= 3 AND l.merchant <> r.merchant
+WHERE length(l.merchant) >= 5 AND length(r.merchant) >= 5 AND levenshtein(l.merchant, r.merchant) <= 1 GROUP BY ALL),
+near_left0 AS (SELECT * FROM left7), near_right0 AS MATERIALIZED (SELECT r.* REPLACE (near AS merchant) FROM right7 r JOIN named USING (org_id, direction, amount_minor, merchant, day)),
+"""
+    + rounds(DUPLICATE_KEYS, 3, "near_")
+    + """SELECT org_id, source, row_id, m.l IS NULL AND n.l IS NULL AS is_canonical, COALESCE(m.l, n.l) AS mirrors_row_id,
+CASE WHEN m.l IS NOT NULL THEN 'amount+date+merchant' WHEN n.l IS NOT NULL THEN 'amount+date+similar merchant' END AS dedup_method
+FROM feed LEFT JOIN met m ON m.r = row_id LEFT JOIN near_met n ON n.r = row_id""",
 )
 def cross_source_duplicates(b):
     return matching.cross_source_duplicates(two_sources(b), ("accounting", "bank"))

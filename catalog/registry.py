@@ -28,7 +28,7 @@ FROM (SELECT *, due_date + CAST(o_custkey % 40 - 3 + o_orderkey % 7 AS INT) AS p
                    CAST(ROUND(CAST(o_totalprice AS DECIMAL(20,6)), 2) AS DECIMAL(20,4)) AS total
             FROM orders) a) o
 JOIN customer c ON c.c_custkey = o.o_custkey
-), expenses_c AS (
+), expenses_c AS MATERIALIZED (
 SELECT CONCAT(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING)) AS source_txn_id,
        CAST(s_nationkey AS INT) AS org_id, CAST(l_shipdate AS DATE) AS occurred_at,
        CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS posted_at,
@@ -44,7 +44,7 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
              ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn
       FROM lineitem) l
 JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE rn = 1
-), ledger_c AS (
+), ledger_c AS MATERIALIZED (
 SELECT org_id, source_txn_id, CASE WHEN posted_at IS NOT NULL THEN 'Purchase' ELSE 'Bill' END AS source_record_type, 'outflow' AS direction,
        amount, occurred_at, posted_at, merchant_name, category, statement, CAST(NULL AS BIGINT) AS customer_id, is_canonical, is_transfer, is_voided
 FROM expenses_c
@@ -54,7 +54,7 @@ SELECT org_id, CAST(invoice_id AS STRING), 'Invoice', 'inflow', total, issued_on
 UNION ALL
 SELECT org_id, CAST(invoice_id AS STRING), 'Payment', 'inflow', total, paid_on, paid_on, CAST(NULL AS STRING), CAST(NULL AS STRING),
        'asset', customer_id, TRUE, FALSE, FALSE FROM invoices_c WHERE paid_on IS NOT NULL
-), base AS (
+), base AS MATERIALIZED (
 SELECT *, CAST(amount * 100 AS BIGINT) AS minor, CASE WHEN direction = 'inflow' THEN 1 ELSE -1 END * CAST(amount * 100 AS BIGINT) AS flow,
        COALESCE(category, 'Uncategorized') AS label
 FROM ledger_c WHERE is_canonical AND NOT is_transfer AND NOT is_voided
@@ -79,7 +79,7 @@ def query(name: str, *rows: str, sql: str | None = None, views: bool = True):
 
         def run(spark: SparkSession, path: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Books(spark, path))
+            return fn(Books(spark, path, stored=True))
 
         QUERIES[name] = run
         ROWS[name] = rows

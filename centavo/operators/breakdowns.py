@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from centavo.functions.money import minor, share
 from centavo.functions.periods import Period
-from centavo.operators.predicates import EARLIEST, EXPENSE_STATEMENTS, LATEST, analytical, in_period
+from centavo.operators.predicates import EARLIEST, EXPENSE_STATEMENTS, LATEST, analytical, in_period, occurred
 from centavo.operators.versions import top_per
 
 AGING_BUCKETS = ("Current", "1-30 days", "31-60 days", "61-90 days", "90+ days")
@@ -113,13 +113,14 @@ def expense_change(ledger: DataFrame, current: Period, prior: Period) -> DataFra
 
     Shares are of the total absolute movement. One scan serves both periods.
     """
-    occurred = F.col("occurred_at")
+    day = F.col("occurred_at")
     amount = minor("amount")
     zero = F.lit(0).cast("bigint")
-    rows = expense_rows(ledger).where(current.contains(occurred) | prior.contains(occurred))
+    rows = occurred(expense_rows(ledger), min(current.start, prior.start), max(current.end, prior.end))
+    rows = rows.where(current.contains(day) | prior.contains(day))
     sums = rows.groupBy("org_id", category_label().alias("label")).agg(
-        F.coalesce(F.sum(F.when(current.contains(occurred), amount)), zero).alias("current_minor"),
-        F.coalesce(F.sum(F.when(prior.contains(occurred), amount)), zero).alias("prior_minor"),
+        F.coalesce(F.sum(F.when(current.contains(day), amount)), zero).alias("current_minor"),
+        F.coalesce(F.sum(F.when(prior.contains(day), amount)), zero).alias("prior_minor"),
     )
     moves = sums.withColumn("delta_minor", F.col("current_minor") - F.col("prior_minor")).withColumn(
         "movement", F.abs("delta_minor")
@@ -147,7 +148,7 @@ def drill_down(
     n: int = 100,
 ) -> DataFrame:
     """The n largest rows behind a figure, per tenant, ties broken by source key."""
-    rows = analytical(ledger).where((F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") <= F.lit(end)))
+    rows = occurred(analytical(ledger), start, end)
     if statement is not None:
         rows = rows.where(F.col("statement") == statement)
     slim = rows.select(

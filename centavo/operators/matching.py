@@ -3,24 +3,37 @@
 Rows that could match share a key. They are matched in rounds, nearest dates first: in the round of k days
 the n-th free row of one side on a day meets the n-th free row of the other side k days away. Rows of
 one key, side and day are alike, so which of them meet does not matter; every pair lies
-within the window, and a row that is missing on one day moves no pair of another day. The work is
-linear in rows and the rounds depend on the window alone. Numbers are given in parts (see `numbered`), so a
-key that holds a third of all rows is still spread over many tasks.
+within the window, and a row that is missing on one day moves no pair of another day. The rounds depend on the
+window alone and each row takes part in each once, so the work is linear in rows.
+
+How the rounds are run goes by the rows of a key. One row on each side: the counts say it all. Up to
+`FEW_ROWS`: the rows of the key meet in one task and go through the rounds there. More: every round is a job
+over all such keys, with rows numbered in parts (see `numbered`), so a key that holds a third of all rows is
+still spread over many tasks. All three give the same pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from centavo.functions.text import merchant_key, name_key
 from centavo.operators.versions import attach, latest_by, lookup
 from centavo.session import written
 
 
+def _part(row_id: str) -> Column:
+    """The part of a key that a row is numbered in: a prefix of a hash of its id, one of 256."""
+    return F.substring(F.md5(F.col(row_id).cast("binary")), 1, 2)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """Add `nth`, the 1-based number of a row among those of equal keys, without one task per key.
 
@@ -28,7 +41,7 @@ def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     counts gives each part its offset, and rows are numbered inside their part.
     """
     part = [*keys, "_part"]
-    rows = df.withColumn("_part", F.substring(F.md5(F.col(row_id).cast("binary")), 1, 2))
+    rows = df.withColumn("_part", _part(row_id))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         rows.groupBy(*part)
@@ -40,22 +53,100 @@ def numbered(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     return attach(rows, parts, part).withColumn("nth", F.row_number().over(inside) + F.col("_offset")).drop("_part", "_offset")
 
 
+FEW_ROWS = 2000  # of one key, both sides; beyond, the rounds of the key are spread over many tasks
+
+
+def _gaps(days: int) -> list[int]:
+    return sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0))
+
+
 def nearest_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], days: int, account: str | None = None) -> DataFrame:
     """One-to-one pairs `left_id, right_id, gap` of rows with equal keys at most `days` apart, nearest first.
 
-    Input: the keys, `day`, `row_id` and, if rows of one account must not meet, the account's column. The
-    rows still free are written after each step, so no step repeats an earlier one. With
-    accounts a round is repeated until no pair is left to make, at most once per account of a key and day.
+    Input: the keys, `day`, `row_id` and, if rows of one account must not meet, the account's column; rows
+    without a day or account are in no pair. With accounts a round is repeated until no pair is left to make, at most once per account of a key and day.
     """
 
     def side(rows: DataFrame, number: int) -> DataFrame:
         own = F.col(account).cast("string") if account else F.lit(str(number))
-        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("mate", "string"), ("gap", "int"))]
-        return rows.select(F.lit(number).alias("side"), *keys, "day", F.col("row_id").cast("string").alias("row_id"), own.alias("account"), *nothing)
-
-    state = written(side(left, 0).unionByName(side(right, 1)), "pairs")
+        return rows.select(F.lit(number).alias("side"), *keys, "day", F.col("row_id").cast("string").alias("row_id"), own.alias("account"))
+
+    rows = written(side(left, 0).unionByName(side(right, 1)).where("day IS NOT NULL AND account IS NOT NULL"), "pairs")
+
+    def ends(number: int) -> list[Column]:
+        here = F.col("side") == number
+        return [F.count_if(here).alias(f"n{number}"), F.min(F.when(here, F.struct("day", "row_id", "account"))).alias(f"one{number}")]
+
+    counted = written(rows.groupBy(*keys).agg(*ends(0), *ends(1)).where("n0 > 0 AND n1 > 0"), "pair-keys")
+    single, total = (F.col("n0") == 1) & (F.col("n1") == 1), F.col("n0") + F.col("n1")
+    gap = F.date_diff("one1.day", "one0.day")
+    alone = counted.where(single & (F.abs(gap) <= days) & (F.col("one0.account") != F.col("one1.account")))
+    pairs = alone.select(*keys, F.col("one0.row_id").alias("left_id"), F.col("one1.row_id").alias("right_id"), gap.alias("gap"))
+
+    few = attach(rows, counted.where(~single & (total <= FEW_ROWS)).select(*keys, F.lit(True).alias("_few")), keys).drop("_few")
+    pairs = pairs.unionByName(_pairs_in_tasks(few, keys, days))
+    crowded = counted.where(total > FEW_ROWS).select(*keys, F.lit(True).alias("_many"))
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(_pairs_in_jobs(attach(rows, crowded, keys).drop("_many"), keys, days, account))
+    return pairs
+
+
+def _pairs_in_tasks(rows: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
+    """The rounds of keys with few rows: the rows of a key are neighbours in one task, in the order of their numbers."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), *(T.StructField(n, T.StringType()) for n in ("left_id", "right_id")), T.StructField("gap", T.IntegerType())])
+    target = to_arrow_schema(out)
+    gaps = _gaps(days)
+
+    def met(key: tuple, sides: tuple[dict, dict]) -> Iterator[tuple]:
+        """sides: account -> ids in order, by day."""
+        for gap in gaps:
+            for day, free in sorted(sides[0].items()):
+                other = sides[1].get(day + gap)
+                made = free and other
+                while made:
+                    made = []
+                    for nth in range(min(max(map(len, free.values())), max(map(len, other.values())))):
+                        l, r = ([(a, ids[nth]) for a, ids in s.items() if nth < len(ids)] for s in (free, other))
+                        pair = next(((x, y) for x, y in ((min(l), max(r)), (max(l), min(r))) if x[0] != y[0]), None)
+                        if pair:
+                            made.append(pair)
+                    for (a, x), (b, y) in made:
+                        free[a].remove(x)
+                        other[b].remove(y)
+                        yield (*key, x, y, gap)
+                    for s in (free, other):
+                        for a in [a for a, ids in s.items() if not ids]:
+                            del s[a]
+                    made = made and free and other
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed() -> pa.RecordBatch:
+            found = list(met(held, sides))
+            columns = zip(*found, strict=True) if found else [()] * len(target)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+        held, sides = None, ({}, {})
+        for batch in batches:
+            for *key, number, day, account, row_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held != tuple(key):
+                    if held is not None:
+                        yield closed()
+                    held, sides = tuple(key), ({}, {})
+                sides[number].setdefault(day, {}).setdefault(account, []).append(row_id)
+        if held is not None:
+            yield closed()
+
+    day = F.date_diff("day", F.lit(dt.date(1970, 1, 1))).alias("day")
+    ordered = rows.withColumn("_part", _part("row_id")).repartition(*keys).sortWithinPartitions(*keys, "_part", "row_id")
+    return ordered.select(*keys, "side", day, "account", "row_id").mapInArrow(run, out)
+
+
+def _pairs_in_jobs(rows: DataFrame, keys: Sequence[str], days: int, account: str | None) -> DataFrame:
+    """The rounds of keys with many rows, each a job. The rows still free are written after each, so no round repeats an earlier one."""
+    state = written(rows.withColumns({"mate": F.lit(None).cast("string"), "gap": F.lit(None).cast("int")}), "pairs")
     made = []
-    for gap in sorted(range(-days, days + 1), key=lambda k: (abs(k), k < 0)):
+    for gap in _gaps(days):
         while True:
             free = state.withColumn("at", F.when(F.col("side") == 1, F.date_sub("day", gap)).otherwise(F.col("day")))
             ranked = numbered(free, [*keys, "at", "side", "account"], "row_id")
@@ -84,37 +175,95 @@ def nearest_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], days:
     return reduce(DataFrame.unionByName, made)
 
 
-def cross_source_duplicates(rows: DataFrame, priority: Sequence[str], days: int = 3) -> DataFrame:
+GRAM = 3  # letters of the pieces by which similar descriptors find each other
+LEAST_LETTERS = 5  # of a descriptor that may have a typo
+
+
+def similar_keys(left: DataFrame, right: DataFrame, block: Sequence[str], key: str, days: int, edits: int = 1) -> DataFrame:
+    """For each (block, key, day) of `right` the nearest other key of `left` in its block, at most `edits` letters and `days` apart.
+
+    A string-similarity join inside the block: strings that are `edits` apart share one of their first
+    `edits * GRAM + 1` pieces of `GRAM` letters in any one order, here the rarest first, and their lengths differ by `edits`
+    at most. Only pairs that share such a piece, the block and a stretch of days are compared letter by letter. Distinct
+    keys and days are joined, not rows. The nearest key has the fewest edits; then the fewest days between, then it comes first.
+    """
+    stretch = 2 * days + 1
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.where(F.length(key) >= LEAST_LETTERS).select(*block, key, "day").distinct()
+
+    def grams(text: Column) -> Column:
+        padded = F.concat(F.lit("^" * (GRAM - 1)), text, F.lit("$" * (GRAM - 1)))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - GRAM + 1), lambda i: F.substring(padded, i, F.lit(GRAM))))
+
+    sides = [written(distinct(rows), "similar-keys") for rows in (left, right)]
+    names = sides[0].select(key).unionByName(sides[1].select(key)).distinct()
+    spread = names.select(key, F.explode(grams(F.col(key))).alias("gram"))
+    rare = spread.groupBy("gram").agg(F.count("*").alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, edits * GRAM + 1)
+    prefix = written(spread.join(rare, "gram").groupBy(key).agg(first["gram"].alias("grams")), "similar-grams")
+
+    def probed(rows: DataFrame, at: Column) -> DataFrame:
+        return rows.join(prefix, key).select(*block, F.col(key).alias("name"), "day", F.explode("grams").alias("gram"), at.alias("at"))
+
+    number = F.floor(F.date_diff("day", F.lit(dt.date(1970, 1, 1))) / stretch)
+    stored = probed(sides[0], number)
+    # within `days` of a day lie at most two stretches
+    asking = probed(sides[1], number).withColumn("low", F.floor(F.date_diff(F.date_sub("day", days), F.lit(dt.date(1970, 1, 1))) / stretch))
+    asking = asking.withColumn("at", F.explode(F.array_distinct(F.array("low", F.floor(F.date_diff(F.date_add("day", days), F.lit(dt.date(1970, 1, 1))) / stretch))))).drop("low")
+    l, r = stored.alias("l"), asking.alias("r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*block, "gram", "at")]
+    apart = F.date_diff("l.day", "r.day")
+    close = (F.abs(apart) <= days) & (F.abs(F.length("l.name") - F.length("r.name")) <= edits) & (F.col("l.name") != F.col("r.name"))
+    met = l.join(r, [*same, close]).select(*[F.col(f"r.{c}").alias(c) for c in block], F.col("r.name").alias(key), F.col("r.day").alias("day"), F.col("l.name").alias("other"), F.abs(apart).alias("apart"))
+    steps = met.withColumn("steps", F.levenshtein("other", key, edits)).where("steps >= 0")
+    return steps.groupBy(*block, key, "day").agg(F.min(F.struct("steps", "apart", "other")).alias("best")).select(*block, key, "day", F.col("best.other").alias("similar"))
+
+
+EXACT, SIMILAR = "amount+date+merchant", "amount+date+similar merchant"
+
+
+def cross_source_duplicates(rows: DataFrame, priority: Sequence[str], days: int = 3, edits: int = 1) -> DataFrame:
     """Decision per row: canonical, or mirror of the same event in a better source.
 
     Input: `org_id, source, row_id, direction, amount_minor, day, descriptor`.
     Rows mirror each other when tenant, direction, amount and merchant key are equal, their sources
     differ and their dates are at most `days` apart; a row has at most one mirror in each other
-    source. Row ids are unique. Reading the decision again from undecided input gives the same answer.
+    source. Rows left over then take the nearest other merchant key of the better source's rows left over (see `similar_keys`;
+    keys under `LEAST_LETTERS` letters have no typos) and are matched once more by it. Row ids are unique.
+    Reading the decision again from undecided input gives the same answer.
     """
-    keys = ["org_id", "direction", "amount_minor", "merchant"]
+    block = ["org_id", "direction", "amount_minor"]
+    keys = [*block, "merchant"]
     keyed = rows.withColumn("merchant", F.coalesce(merchant_key(F.col("descriptor")), F.lit("")))
     narrow = written(keyed.select("source", *keys, "day", "row_id"), "feed")
-    mirrors = None
+    none = narrow.limit(0).select(F.col("row_id").alias("right_id"), F.col("row_id").alias("left_id"), F.lit("").alias("dedup_method"))
+    mirrors = none
+
+    def free(source: str, column: str, taken: DataFrame) -> DataFrame:
+        return narrow.where(F.col("source") == source).join(taken.select(F.col(column).alias("row_id")), "row_id", "left_anti")
+
     for i, better in enumerate(priority):
         for other in priority[i + 1 :]:
-            free = narrow
-            if mirrors is not None:
-                free = narrow.join(mirrors, F.col("row_id") == F.col("right_id"), "left_anti")
-            found = nearest_pairs(free.where(F.col("source") == better), free.where(F.col("source") == other), keys, days)
-            found = found.select("right_id", "left_id")
-            mirrors = found if mirrors is None else mirrors.unionByName(found)
-    if mirrors is None:
-        mirrors = narrow.limit(0).select(F.col("row_id").alias("right_id"), F.col("row_id").alias("left_id"))
+            # a row that mirrors a better one is out; one that is mirrored may have a mirror in each other source
+            left, right = free(better, "right_id", mirrors), free(other, "right_id", mirrors)
+            exact = written(nearest_pairs(left, right, keys, days).select("right_id", "left_id", F.lit(EXACT).alias("dedup_method")), "mirrors")
+            mirrors = mirrors.unionByName(exact)
+            if not edits:
+                continue
+            left = left.join(exact.select(F.col("left_id").alias("row_id")), "row_id", "left_anti")
+            right = right.join(exact.select(F.col("right_id").alias("row_id")), "row_id", "left_anti")
+            named = attach(right, similar_keys(left, right, block, "merchant", days, edits), [*keys, "day"])
+            found = nearest_pairs(left, named.withColumn("merchant", F.col("similar")), keys, days)
+            mirrors = mirrors.unionByName(written(found.select("right_id", "left_id", F.lit(SIMILAR).alias("dedup_method")), "mirrors"))
     decided = narrow.join(mirrors, F.col("row_id") == F.col("right_id"), "left")
-    mirror = F.col("left_id").isNotNull()
     return decided.select(
         "org_id",
         "source",
         "row_id",
-        (~mirror).alias("is_canonical"),
+        F.col("left_id").isNull().alias("is_canonical"),
         F.col("left_id").alias("mirrors_row_id"),
-        F.when(mirror, F.lit("amount+date+merchant")).alias("dedup_method"),
+        "dedup_method",
     )
 
 

@@ -6,6 +6,7 @@ aggregation per tenant; only the aggregates the set needs are computed.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from centavo.functions.money import half_up_mean, minor, percent, round_half_up, signed
-from centavo.functions.periods import Period, after_months_before, month_start
-from centavo.operators.predicates import analytical, settled
+from centavo.functions.periods import Period, after_months_before, month_start, shift_months
+from centavo.operators.predicates import analytical, in_period, occurred, settled
 
 ENGINE_VERSION = "1"
 BURN_MONTHS = 6
@@ -157,7 +158,7 @@ def statement_totals(
 ) -> DataFrame:
     """Sum and row count of each statement class per tenant over a period."""
     names = tuple(statements)
-    rows = analytical(ledger).where(period.contains(F.col("occurred_at")) & F.col("statement").isin(*names))
+    rows = in_period(analytical(ledger), period).where(F.col("statement").isin(*names))
     if direction is not None:
         rows = rows.where(F.col("direction") == direction)
     amount = minor("amount")
@@ -209,6 +210,8 @@ def measures(ledger: DataFrame, requests: Sequence[MetricRequest]) -> DataFrame:
     if len(burn_ends) > 1:
         raise ValueError("burn may be asked for one end date at a time")
     rows = analytical(ledger).where(reduce(lambda a, b: a | b, hits.values()))
+    if not any(n.endswith(("_cash", "_burn")) for n in hits):  # those go by the day of settlement
+        rows = occurred(rows, min(r.period.start for r in requests), max(r.period.end for r in requests))
 
     def value(name: str) -> Column:
         return flow if name.endswith(("_cash", "_burn")) else amount
@@ -314,15 +317,15 @@ def metric_comparison(
     """Statement totals of two periods side by side, from one scan."""
     names = tuple(statements)
     amount = minor("amount")
-    occurred = F.col("occurred_at")
-    rows = analytical(ledger).where(
-        (current.contains(occurred) | prior.contains(occurred)) & F.col("statement").isin(*names)
+    day = F.col("occurred_at")
+    rows = occurred(analytical(ledger), min(current.start, prior.start), max(current.end, prior.end)).where(
+        (current.contains(day) | prior.contains(day)) & F.col("statement").isin(*names)
     )
     zero = F.lit(0).cast("bigint")
     aggs = []
     for label, period in (("current", current), ("prior", prior)):
         for name in names:
-            hit = period.contains(occurred) & (F.col("statement") == name)
+            hit = period.contains(day) & (F.col("statement") == name)
             aggs.append(F.coalesce(F.sum(F.when(hit, amount)), zero).alias(f"{label}_{name}_minor"))
     return rows.groupBy("org_id").agg(*aggs)
 
@@ -352,7 +355,7 @@ def metric_series(ledger: DataFrame, period: Period, grain: str) -> DataFrame:
     from centavo.functions.periods import bucket_start
 
     bucket = bucket_start(F.col("occurred_at"), grain)
-    rows = analytical(ledger).where(period.contains(F.col("occurred_at")))
+    rows = in_period(analytical(ledger), period)
     return _series(rows, bucket.alias("bucket_start"), "bucket_start")
 
 
@@ -360,7 +363,7 @@ def monthly_series(ledger: DataFrame, end, months: int = 24) -> DataFrame:
     """Profit and loss per calendar month over the trailing months; empty months are absent."""
     from centavo.functions.periods import month_key
 
-    rows = analytical(ledger).where(after_months_before(F.col("occurred_at"), end, months))
+    rows = occurred(analytical(ledger), shift_months(end, -months) + dt.timedelta(days=1), end)
     return _series(rows, month_key(F.col("occurred_at")).alias("month"), "month")
 
 

@@ -38,7 +38,21 @@ def live(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("is_canonical") & ~F.col("is_voided"))
 
 
+#: The month of `occurred_at`, by which a stored ledger is partitioned.
+MONTH = "occurred_month"
+
+
+def occurred(ledger: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Rows that occurred from `start` to `end`. Of a ledger stored by month only those months are read."""
+    rows = ledger.where((F.col("occurred_at") >= F.lit(start)) & (F.col("occurred_at") <= F.lit(end)))
+    if MONTH in ledger.columns:
+        rows = rows.where((F.col(MONTH) >= F.lit(start.replace(day=1))) & (F.col(MONTH) <= F.lit(end)))
+    return rows
+
+
 def in_period(ledger: DataFrame, period: Period, column: str = "occurred_at") -> DataFrame:
+    if column == "occurred_at":
+        return occurred(ledger, period.start, period.end)
     return ledger.where(period.contains(F.col(column)))
 
 

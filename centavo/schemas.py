@@ -14,6 +14,7 @@ def _table(*fields: tuple) -> T.StructType:
 
 LEDGER = _table(
     ("org_id", T.IntegerType()),
+    ("source", T.StringType()),
     ("source_txn_id", T.StringType()),
     ("source_record_type", T.StringType()),
     ("direction", T.StringType()),

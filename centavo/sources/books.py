@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 
 from centavo.operators.documents import document_status
 from centavo.operators.versions import latest_by
+from centavo.session import fresh_path
+from centavo.sources.ledger import LedgerTable, buckets_for, fingerprint
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -28,7 +31,11 @@ PART_STATEMENT = {
 }
 
 
+# Tables that the ledger is made of.
+LEDGER_TABLES = ("lineitem", "part", "supplier", "orders", "customer")
+
 _SCHEMAS: dict[str, StructType] = {}
+_LEDGERS: dict[tuple, LedgerTable] = {}
 
 
 @dataclass(frozen=True)
@@ -38,6 +45,8 @@ class Books:
     spark: SparkSession
     path: str
     as_of: dt.date = AS_OF
+    #: read the ledger from its stored table, written when it is first asked for
+    stored: bool = False
 
     def table(self, name: str) -> DataFrame:
         """A given table. Its schema is read from the file footer once per process."""
@@ -128,6 +137,7 @@ class Books:
             .join(suppliers, "l_suppkey")
             .selectExpr(
                 "org_id",
+                "'accounting' AS source",
                 "concat_ws(':', l_orderkey, l_linenumber) AS source_txn_id",
                 "IF(l_linestatus = 'F', 'Purchase', 'Bill') AS source_record_type",
                 "'outflow' AS direction",
@@ -147,11 +157,30 @@ class Books:
     @property
     def ledger(self) -> DataFrame:
         """Bills and purchases, invoices as accrual revenue, payments as cash received."""
+        return self.ledger_table.read() if self.stored else self.computed_ledger
+
+    @cached_property
+    def ledger_table(self) -> LedgerTable:
+        """The stored ledger of these tables. It is written once, and anew when one of their files has changed."""
+        paths = [f"{self.path}/{name}.parquet" for name in LEDGER_TABLES]
+        mark, size = fingerprint(self.spark, paths)
+        key = (self.spark.sparkContext.applicationId, self.path, self.as_of, mark)
+        if key not in _LEDGERS:
+            rows = self.computed_ledger
+            table = LedgerTable(self.spark, fresh_path(self.spark, "ledger"), rows.schema, buckets_for(size))
+            table.load(rows)
+            _LEDGERS[key] = table
+        return _LEDGERS[key]
+
+    @property
+    def computed_ledger(self) -> DataFrame:
+        """The ledger from the given tables; every line key occurs once in it, and every invoice."""
         invoices = self.invoices
 
         def inflow(kind: str, statement: str, occurred: str, posted: str) -> list[str]:
             return [
                 "org_id",
+                "'accounting' AS source",
                 "CAST(invoice_id AS STRING) AS source_txn_id",
                 f"'{kind}' AS source_record_type",
                 "'inflow' AS direction",

@@ -71,9 +71,11 @@ def test_pairs_lie_in_the_window_and_one_missing_row_moves_no_other(spark):
     assert mirrors(books[:2] + books[3:] + bank) == {"b5": "a5", "b9": "a9"}
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_duplicates_match_brute_force(spark, seed):
-    rows = feed(random.Random(seed), 300)
+@pytest.mark.parametrize("few", [2000, 5])
+def test_duplicates_match_brute_force(spark, few, monkeypatch):
+    """Also when most keys have too many rows for one task."""
+    monkeypatch.setattr(matching, "FEW_ROWS", few)
+    rows = feed(random.Random(1), 300)
     priority = ["books", "bank", "card"]
     df = spark.createDataFrame(rows, ROWS)
     got = matching.cross_source_duplicates(df, priority).collect()
@@ -92,6 +94,59 @@ def test_deciding_again_changes_nothing(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_similar_keys_against_all_pairs(spark):
+    rng = random.Random(8)
+    names = ["coffee house", "cofee house", "coffe house", "coffee houses", "toffee house", "aaaaa", "aaaaaa", "abcd", "abce", "xyxyxyxy", "xyxyxy", "ünder", "under"]
+    sides = [[(rng.randrange(2), rng.choice([None, "x"]), rng.choice(names), D0 + dt.timedelta(days=rng.randrange(15))) for _ in range(120)] for _ in range(2)]
+    left, right = (spark.createDataFrame(rows, "org_id int, kind string, name string, day date") for rows in sides)
+    for most in (1, 2):
+        got = {(r.org_id, r.kind, r.name, r.day): r.similar for r in matching.similar_keys(left, right, ["org_id", "kind"], "name", 2, most).collect()}
+        want = {}
+        for o, k, n, d in set(sides[1]):
+            near = [
+                (edits(m, n), abs((e - d).days), m)
+                for p, j, m, e in sides[0]
+                if (p, j) == (o, k) and m != n and len(m) >= 5 and len(n) >= 5 and abs((e - d).days) <= 2 and edits(m, n) <= most
+            ]
+            if near:
+                want[o, k, n, d] = min(near)[2]
+        assert got == want
+
+
+def test_a_typo_is_mirrored_and_two_are_not(spark):
+    def at(source, key, name, day=0, amount=100):
+        return (1, source, key, "outflow", amount, D0 + dt.timedelta(days=day), name)
+
+    rows = [
+        at("books", "a1", "Blue Bottle"), at("bank", "b1", "BLUE BOTLE", 1),
+        at("books", "a2", "Green Grocer", amount=200), at("bank", "b2", "Gren Grcer", amount=200),
+        at("books", "a3", "Old Mill", amount=300), at("bank", "b3", "Old Mil", 5, 300),
+        at("books", "a4", "Red Lion", amount=400), at("bank", "b4", "Red Lion", amount=400), at("bank", "b5", "Red Lyon", amount=400),
+        at("books", "a6", "Shop", amount=500), at("bank", "b6", "Shap", amount=500),
+    ]
+    got = {r.row_id: (r.mirrors_row_id, r.dedup_method) for r in matching.cross_source_duplicates(spark.createDataFrame(rows, ROWS), ["books", "bank"]).collect()}
+    assert {k: v[0] for k, v in got.items() if v[0]} == {"b1": "a1", "b4": "a4"}
+    assert got["b1"][1] == matching.SIMILAR and got["b4"][1] == matching.EXACT
+
+
+def test_similar_keys_meet_only_in_their_block(spark):
+    left = spark.createDataFrame([(i, "coffee house", D0) for i in range(50)], "amount int, name string, day date")
+    right = spark.createDataFrame([(i, "cofee house", D0) for i in range(50)], "amount int, name string, day date")
+    found = matching.similar_keys(left, right, ["amount"], "name", 3)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert found.count() == 50
+
+
 def test_one_source_never_mirrors_itself(spark):
     rows = [(1, "bank", f"r{i}", "outflow", 500, D0, "cafe") for i in range(20)]
     got = matching.cross_source_duplicates(spark.createDataFrame(rows, ROWS), ["books", "bank"])
@@ -134,6 +189,15 @@ def test_transfers_pair_once_between_different_accounts(spark):
     assert sorted((r.outflow_id, r.inflow_id) for r in got) == [("o2", "i2"), ("o3", "i3")]
 
 
+def test_transfers_are_the_same_in_tasks_and_in_jobs(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(1, f"r{i}", rng.choice("abc"), rng.choice(["outflow", "inflow"]), rng.choice([1, 2]), D0 + dt.timedelta(days=rng.randrange(9))) for i in range(50)]
+    frame = spark.createDataFrame([*rows, (1, "n1", "a", "outflow", 1, None), (1, "n2", None, "inflow", 1, D0)], MOVES)
+    in_tasks = sorted(map(tuple, matching.transfer_pairs(frame).collect()))
+    monkeypatch.setattr(matching, "FEW_ROWS", 1)
+    assert sorted(map(tuple, matching.transfer_pairs(frame).collect())) == in_tasks != []
+
+
 def test_transfers_leave_nothing_that_could_still_pair(spark):
     rng = random.Random(4)
     rows = [(1, f"r{i}", rng.choice("abc"), rng.choice(["outflow", "inflow"]), 100, D0 + dt.timedelta(days=rng.randrange(12))) for i in range(60)]
