@@ -17,6 +17,7 @@ from centavo.operators import breakdowns, insights, metrics, quality
 from centavo.operators.predicates import analytical
 from centavo.plans import alerts, reports, scenarios
 from centavo.plans import forecast as fc
+from centavo.session import written
 from centavo.sources.books import AS_OF
 
 TAX_DUE = dt.date(2001, 9, 15)
@@ -133,41 +134,32 @@ def forecast_alerts(b):
     return risk_candidates(b)
 
 
-@query(
-    "alerts_for_week",
-    "O-9",
-    sql=RULES_SQL
-    + """SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY org_id ORDER BY CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, materiality_minor DESC, dedup_key) AS INT) AS rank FROM rules) x WHERE rank <= 2""",
+FIRED_SQL = (
+    RISKS
+    + RULES_SQL
+    + """, fired AS MATERIALIZED (SELECT * FROM rules UNION ALL SELECT org_id, kind, severity, date, kind || ':' || date, shortfall_minor FROM risks),
+week AS (SELECT *, 0 AS rank FROM fired WHERE severity = 'critical' UNION ALL
+SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY org_id ORDER BY CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, materiality_minor DESC, dedup_key) AS INT) AS rank FROM fired WHERE severity <> 'critical') x WHERE rank <= 2)
+"""
 )
-def alerts_for_week(b):
-    return alerts.select_for_week(rule_candidates(b))
 
 
-@query(
-    "unseen_alerts",
-    "O-10",
-    sql=RULES_SQL + "SELECT * FROM rules WHERE rule_key NOT IN ('vendor_creep', 'estimated_tax')",
-)
-def unseen_alerts(b):
-    known = alerts.candidates(
-        alerts.vendor_creep(insights.recurring_series(b.ledger, AS_OF)), alerts.tax_due(tax(b), TAX_DUE)
-    )
-    return alerts.unseen(rule_candidates(b), known)
+def fired(b):
+    """What all eleven rules give today, evaluated once."""
+    return written(all_candidates(b), "alerts")
 
 
-@query("alerts_for_week_all_rules", "O-9")
-def alerts_for_week_all_rules(b):
-    return alerts.select_for_week(all_candidates(b))
+@query("alerts_for_week", "O-9", sql=FIRED_SQL + "SELECT * FROM week")
+def alerts_for_week(b):
+    return alerts.select_for_week(fired(b))
 
 
-@query("unseen_alerts_all_rules", "O-10")
-def unseen_alerts_all_rules(b):
-    known = alerts.candidates(
-        alerts.vendor_creep(insights.recurring_series(b.ledger, AS_OF)),
-        alerts.tax_due(tax(b), TAX_DUE),
-        risk_candidates(b).where("rule_key = 'runway_threshold'"),
-    )
-    return alerts.unseen(all_candidates(b), known)
+@query("unseen_alerts", "O-10", sql=FIRED_SQL + "SELECT * FROM fired ANTI JOIN week USING (org_id, dedup_key)")
+def unseen_alerts(b):
+    """What the rules give beyond the alerts that an earlier run delivered and kept."""
+    now = fired(b)
+    delivered = written(alerts.select_for_week(now), "delivered")
+    return alerts.unseen(now, delivered)
 
 
 @query(
@@ -307,19 +299,19 @@ def scenario_slower_collections(b):
 @query(
     "firm_console",
     "A-49",
-    sql=HEALTH_SQL
+    sql=FIRED_SQL
+    + HEALTH_SQL.replace(", orgs AS (SELECT n_nationkey AS org_id FROM nation)", "")
     + """, gr AS (SELECT n_regionkey AS firm_id, n_nationkey AS org_id FROM nation),
 conn AS """
     + CONNECTIONS.split("conn AS ", 1)[1].strip()
     + f""", fr AS (SELECT org_id, MAX(synced) AS last_sync_at, bool_or(status <> 'active') AS degraded FROM conn WHERE NOT gone GROUP BY 1),
-bl AS (SELECT org_id, minor AS m FROM base WHERE source_record_type = 'Bill' AND occurred_at > DATE '2001-07-02' AND occurred_at <= DATE '2001-08-01'),
-al AS (SELECT org_id, COUNT(*) AS c FROM bl JOIN pnl USING (org_id) WHERE m * 100 > GREATEST(cash, 0) * 10 GROUP BY 1)
+al AS (SELECT org_id, COUNT(*) AS c FROM fired WHERE severity = 'critical' GROUP BY 1)
 SELECT gr.firm_id, gr.org_id, health.score, CASE WHEN burn > 0 THEN FLOOR({d('cash')} / {d('burn')} * {d(10)} + {d(0.5)}) / {d(10)} END AS runway_months, COALESCE(al.c, 0) AS critical_alerts, last_sync_at, degraded
 FROM gr LEFT JOIN health USING (org_id) LEFT JOIN everything e USING (org_id) LEFT JOIN al USING (org_id) LEFT JOIN fr USING (org_id)""",
 )
 def firm_console(b):
-    """Large expenses alone stand for the critical alerts here; `firm_console_all_rules` counts the critical ones."""
-    return _console(b, alerts.large_expense(bills_due(b), cash(b)).withColumn("severity", F.lit("critical")))
+    """The clients of a firm with the critical alerts of all rules."""
+    return _console(b, fired(b))
 
 
 def _console(b, fired):
@@ -338,11 +330,6 @@ def _console(b, fired):
     )
 
 
-@query("firm_console_all_rules", "A-49")
-def firm_console_all_rules(b):
-    return _console(b, all_candidates(b))
-
-
 @query(
     "nearest_chunks",
     "2.10",

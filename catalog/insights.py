@@ -246,15 +246,13 @@ def trace_rollup(b):
     return product.trace_rollup(traces)
 
 
-@query(
-    "access_anomalies",
-    "A-51",
-    sql=f"""WITH dl AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2),
+ACCESS_SQL = f"""WITH dl AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2),
 w AS (SELECT *, COUNT(*) OVER r AS seen, SUM(n) OVER r AS s1, SUM(n * n) OVER r AS s2 FROM dl WINDOW r AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 m AS (SELECT *, {d('s1')} / {d('seen')} AS mean, SQRT(GREATEST({d('seen')} * {d('s2')} - {d('s1')} * {d('s1')}, {d(0)})) / {d('seen')} AS sd FROM w)
-SELECT user_id, day, n, FLOOR(mean * {d(10000)} + {d(0.5)}) / {d(10000)} AS trailing_mean FROM m WHERE seen >= 3 AND {d('n')} > mean + {d(2)} * sd""",
-    views=False,
-)
+SELECT user_id, day, n, FLOOR(mean * {d(10000)} + {d(0.5)}) / {d(10000)} AS trailing_mean FROM m WHERE seen >= 3 AND {d('n')} > mean + {d(2)} * sd"""
+
+
+@query("access_anomalies", "A-51", sql=ACCESS_SQL, views=False)
 def access_anomalies(b):
     return insights.access_anomalies(product_events(b).select("user_id", F.to_date("ts").alias("day")))
 

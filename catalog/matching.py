@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -9,6 +11,7 @@ from centavo.functions.money import minor, signed
 from centavo.functions.text import merchant_key
 from centavo.operators import matching
 from centavo.operators.predicates import analytical, settled
+from centavo.operators.rates import to_base
 from centavo.sources.books import AS_OF
 
 
@@ -182,11 +185,7 @@ def two_directories(b):
     return first.unionByName(second)
 
 
-@query(
-    "entity_links",
-    "A-32",
-    "J-16",
-    sql="""WITH RECURSIVE c AS (SELECT c_nationkey AS org_id, c_custkey AS id, substr(md5(c_name), 1, 14) AS code, c_acctbal FROM customer),
+LINKS_SQL = """WITH RECURSIVE c AS (SELECT c_nationkey AS org_id, c_custkey AS id, substr(md5(c_name), 1, 14) AS code, c_acctbal FROM customer),
 e AS (SELECT org_id, 'accounting' AS source, id, 'firm' || code AS key FROM c UNION ALL
 SELECT org_id, 'payments', id, 'firm' || CASE WHEN c_acctbal < 0 THEN substr(code, 1, 6) || substr(code, 8, 7) ELSE code END FROM c),
 n AS (SELECT DISTINCT org_id, key FROM e),
@@ -194,7 +193,15 @@ v AS (SELECT DISTINCT org_id, key, variant FROM (SELECT org_id, key, key AS vari
 x AS (SELECT DISTINCT a.org_id, a.key AS a, b.key AS b FROM v a JOIN v b USING (org_id, variant) WHERE length(a.key) >= 6 AND length(b.key) >= 6),
 reach AS (SELECT org_id, key AS a, key AS b FROM n UNION SELECT reach.org_id, reach.a, x.b FROM reach JOIN x ON x.org_id = reach.org_id AND x.a = reach.b),
 l AS (SELECT org_id, a AS key, MIN(b) AS canonical FROM reach GROUP BY 1, 2)
-SELECT e.org_id, e.source, e.id AS source_entity_id, l.canonical AS canonical_key, CASE WHEN l.canonical = e.key THEN 'deterministic' ELSE 'fuzzy' END AS method,
+"""
+
+
+@query(
+    "entity_links",
+    "A-32",
+    "J-16",
+    sql=LINKS_SQL
+    + """SELECT e.org_id, e.source, e.id AS source_entity_id, l.canonical AS canonical_key, CASE WHEN l.canonical = e.key THEN 'deterministic' ELSE 'fuzzy' END AS method,
 CAST(CASE WHEN l.canonical = e.key THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence, l.canonical <> e.key AS needs_review, length(e.key) >= 6 AS compared FROM e JOIN l ON l.org_id = e.org_id AND l.key = e.key""",
     views=False,
 )
@@ -202,6 +209,21 @@ def entity_links(b):
     return matching.entity_links(two_directories(b))
 
 
+@query(
+    "entity_review_queue",
+    "A-32",
+    "J-16",
+    sql=LINKS_SQL
+    + """SELECT org_id, key, canonical AS canonical_key, COUNT(*) AS entities, COUNT(DISTINCT source) AS sources,
+FLOOR((GREATEST(length(key), length(canonical)) - levenshtein(key, canonical)) * 10000 / GREATEST(length(key), length(canonical))) / 10000 AS score
+FROM e JOIN l USING (org_id, key) WHERE canonical <> key GROUP BY 1, 2, 3""",
+    views=False,
+)
+def entity_review_queue(b):
+    entities = two_directories(b)
+    return matching.review_queue(entities, matching.entity_links(entities))
+
+
 @query(
     "merchant_names",
     "N-15",
@@ -252,3 +274,25 @@ def base_currency(b):
     rate = F.when(key == 0, F.lit("1")).when(key == 1, F.lit("1.2537")).otherwise(F.lit("0.7461")).cast("decimal(18,10)")
     converted = matching.to_base_currency(F.col("total"), rate)
     return b.invoices.select("invoice_id", (converted * 10000).cast("bigint").alias("base_e4"))
+
+
+@query(
+    "dated_currency",
+    "N-17",
+    sql=""", rates AS (SELECT currency, day, CAST(rate AS DECIMAL(18,10)) AS rate FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) o
+CROSS JOIN (VALUES ('EUR', 5, 1.1), ('GBP', 3, 1.4)) c(currency, gap, level), LATERAL (SELECT CAST(level + (day - DATE '1990-01-01') % 97 * 0.001 AS DECIMAL(18,4)) AS rate) r WHERE (day - DATE '1990-01-01') % gap = 0 AND day >= DATE '1996-01-01'),
+x AS (SELECT invoice_id, total, issued_on AS day, CASE customer_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' END AS currency FROM docs)
+SELECT x.invoice_id, x.currency, CASE WHEN x.currency = 'USD' THEN x.day ELSE r.day END AS rate_day, CAST(ROUND(x.total * CASE WHEN x.currency = 'USD' THEN 1 ELSE r.rate END, 4) * 10000 AS BIGINT) AS base_e4,
+COALESCE(x.currency, '') <> 'USD' AND r.rate IS NULL AS rate_missing FROM x ASOF LEFT JOIN rates r ON x.currency = r.currency AND x.day >= r.day""",
+)
+def dated_currency(b):
+    """Invoices in three currencies, some in none; rates are told on some days only, from 1996 on."""
+    days = b.table("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    number = F.date_diff("day", F.lit(dt.date(1990, 1, 1)))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("currency"), F.lit(g).alias("gap"), F.lit(v).cast("decimal(18,10)").alias("level")) for c, g, v in (("EUR", 5, "1.1"), ("GBP", 3, "1.4"))]))
+    told = days.where(F.col("day") >= F.lit(dt.date(1996, 1, 1))).select("day", each.alias("c")).where(number % F.col("c.gap") == 0)
+    rates = told.select("c.currency", "day", (F.col("c.level") + (number % 97).cast("decimal(18,10)") * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(18,10)").alias("rate"))
+    currency = F.element_at(F.create_map(*[F.lit(v) for pair in enumerate(("USD", "EUR", "GBP")) for v in pair]), (F.col("customer_id") % 4).cast("int"))
+    rows = b.invoices.select("invoice_id", "total", F.col("issued_on").alias("day"), currency.alias("currency"))
+    out = to_base(rows, rates, "USD", "total", "invoice_id")
+    return out.select("invoice_id", "currency", "rate_day", (F.col("base_amount") * 10000).cast("bigint").alias("base_e4"), "rate_missing")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from centavo.functions.money import minor, signed
 from centavo.functions.periods import (
+    Period,
     after_days_before,
     after_months_before,
     last_days,
@@ -314,6 +317,38 @@ for _grain in ("day", "week", "month", "quarter", "year"):
     )(lambda b, grain=_grain: metrics.metric_series(b.ledger, TTM, grain))
 
 
+GRAINS_SQL = """, orgs AS (SELECT n_nationkey AS org_id FROM nation),
+d AS (SELECT CAST(UNNEST(generate_series(DATE '2001-02-10', DATE '2001-08-01', INTERVAL 1 DAY)) AS DATE) AS day),
+g(grain) AS (VALUES ('day'), ('week'), ('month'), ('quarter'), ('year')),
+k AS (SELECT grain, CAST(date_trunc(grain, day) AS DATE) AS bs, MIN(day) AS lo, MAX(day) AS be FROM d CROSS JOIN g GROUP BY 1, 2),
+everything AS MATERIALIZED (SELECT o.org_id, k.grain, k.bs, k.be,
+""" + ",\n".join(
+    f"COALESCE(SUM(CASE WHEN occurred_at BETWEEN lo AND be AND statement IN ({s}) THEN minor END), 0) AS {n}, COUNT(CASE WHEN occurred_at BETWEEN lo AND be AND statement IN ({s}) THEN 1 END) AS {n}_n"
+    for n, s in (("rev", "'revenue'"), ("cogs", "'cogs'"), ("opex", "'opex', 'payroll'"))
+) + """,
+COALESCE(SUM(CASE WHEN posted_at <= be THEN flow END), 0) AS cash, COUNT(CASE WHEN posted_at <= be THEN 1 END) AS cash_n,
+COUNT(DISTINCT CASE WHEN posted_at > be - INTERVAL 6 MONTH AND posted_at <= be THEN date_trunc('month', posted_at) END) AS months,
+CASE WHEN COUNT(DISTINCT CASE WHEN posted_at > be - INTERVAL 6 MONTH AND posted_at <= be THEN date_trunc('month', posted_at) END) >= 2 THEN
+GREATEST(0, -FLOOR(CAST(SUM(CASE WHEN posted_at > be - INTERVAL 6 MONTH AND posted_at <= be THEN flow END) AS DECIMAL(38,0)) / COUNT(DISTINCT CASE WHEN posted_at > be - INTERVAL 6 MONTH AND posted_at <= be THEN date_trunc('month', posted_at) END) + 0.5)) END AS burn
+FROM orgs o CROSS JOIN k LEFT JOIN base b ON b.org_id = o.org_id GROUP BY ALL)
+"""
+
+
+@query(
+    "metric_grains",
+    "A-47",
+    sql=GRAINS_SQL
+    + "\nUNION ALL\n".join(
+        f"SELECT org_id, grain, bs AS bucket_start, be AS bucket_end, '{key}' AS metric_key, '{unit}' AS unit, CAST({money} AS BIGINT) AS value_minor, CAST({value} AS DOUBLE) AS value, "
+        f"{confidence} AS confidence, {reason} AS reason, CAST({count} AS BIGINT) AS source_count, {drill} AS drill_statement FROM everything"
+        for key, (unit, money, value, confidence, reason, count, drill) in METRIC_SQL.items()
+    ),
+)
+def metric_grains(b):
+    """All metrics by day, week, month, quarter and year over the last half year."""
+    return metrics.metric_grains(b.ledger, Period(dt.date(2001, 2, 10), AS_OF), b.organizations)
+
+
 AGING = """CASE WHEN due_date >= DATE '2001-08-01' THEN 'Current' WHEN due_date >= DATE '2001-07-02' THEN '1-30 days'
 WHEN due_date >= DATE '2001-06-02' THEN '31-60 days' WHEN due_date >= DATE '2001-05-03' THEN '61-90 days' ELSE '90+ days' END"""
 

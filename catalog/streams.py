@@ -6,13 +6,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from catalog.insights import ACCESS_SQL
 from catalog.metrics import SERIES, SERIES_OUT
 from catalog.registry import query
 from centavo.functions.money import minor
 from centavo.operators import normalize as nz
 from centavo.session import fresh_path
 from centavo.sources import landing, raw_books
-from centavo.streaming import events, ingest, invalidation
+from centavo.sources.ledger import LAYOUT
+from centavo.streaming import aggregates, events, ingest, invalidation, sessions
 
 
 @query(
@@ -114,12 +116,76 @@ def recomputed_months(b):
     return invalidation.recompute(b.ledger, invalidation.touched_months(changes))
 
 
+def landed(b, rows, base: str, schema, sink) -> None:
+    """Land rows in a folder and run its stream until it is read; progress is the checkpoint."""
+    rows.write.mode("append").parquet(f"{base}/landing")
+    stream = b.spark.readStream.schema(schema).parquet(f"{base}/landing")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    "incremental_profit",
+    "T-5",
+    "S-12",
+    sql=""", s AS (SELECT org_id, CAST(date_trunc('month', occurred_at) AS DATE) AS month, statement, minor + CASE WHEN occurred_at BETWEEN DATE '2001-05-01' AND DATE '2001-05-31' AND minor % 10 = 0 THEN 100 ELSE 0 END AS m FROM base)
+SELECT org_id, month, CAST(COALESCE(SUM(CASE WHEN statement = 'revenue' THEN m END), 0) AS BIGINT) AS revenue_minor, CAST(COALESCE(SUM(CASE WHEN statement = 'cogs' THEN m END), 0) AS BIGINT) AS cogs_minor,
+CAST(COALESCE(SUM(CASE WHEN statement IN ('opex', 'payroll') THEN m END), 0) AS BIGINT) AS opex_minor, COUNT(*) AS n,
+CAST(COALESCE(SUM(CASE WHEN statement = 'revenue' THEN m WHEN statement IN ('cogs', 'opex', 'payroll') THEN -m END), 0) AS BIGINT) AS profit_minor FROM s GROUP BY 1, 2""",
+)
+def incremental_profit(b):
+    """Two batches of changes: the books to June; then July on, with some amounts of May put right."""
+    base = fresh_path(b.spark, "incremental")
+    sink = aggregates.keep_class_totals(f"{base}/totals")
+    july = F.lit(dt.date(2001, 7, 1))
+    rows = b.ledger.drop(*LAYOUT).withColumn("sign", F.lit(1))
+    wrong = rows.where(F.col("occurred_at").between(F.lit(dt.date(2001, 5, 1)), F.lit(dt.date(2001, 5, 31))) & (minor("amount") % 10 == 0))
+    right = wrong.withColumn("amount", (F.col("amount") + 1).cast("decimal(20,4)"))
+    second = rows.where(F.col("occurred_at") >= july).unionByName(wrong.withColumn("sign", F.lit(-1))).unionByName(right)
+    for changes in (rows.where(F.col("occurred_at") < july), second):
+        landed(b, changes, base, rows.schema, sink)
+    return aggregates.monthly_profit(aggregates.class_totals(b.spark, f"{base}/totals").read())
+
+
+SESSIONS_SQL = """WITH g AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id, MIN(ts) AS started_at, MAX(ts) + INTERVAL 30 MINUTE AS ended_at, COUNT(*) AS n, COUNT(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM s GROUP BY user_id, sid"""
+
+
+def session_store(b):
+    """The events land in four parts by time; each fiftieth comes one part later than it should."""
+    base = fresh_path(b.spark, "sessions")
+    store = sessions.SessionStore(b.spark, f"{base}/out")
+    rows = b.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select(sessions.STORED_EVENT.names)
+    low, high = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    part = F.floor((F.unix_seconds("ts") - low) * 4 / (high - low + 1)) + (F.col("event_id") % 50 == 0).cast("int")
+    for k in range(4):
+        landed(b, rows.where(F.least(part, F.lit(3)) == k), base, sessions.STORED_EVENT, sessions.session_sink(store))
+    return store
+
+
+@query("stream_sessions", "T-6", sql=SESSIONS_SQL, views=False)
+def stream_sessions(b):
+    """Sessions of the stream together with the events that came too late for it."""
+    return session_store(b).with_late()
+
+
+@query(
+    "late_events",
+    "T-6",
+    sql="""WITH b AS (SELECT MIN(epoch(date_trunc('second', ts))) AS low, MAX(epoch(date_trunc('second', ts))) AS high FROM events),
+p AS (SELECT event_id, user_id, ts, CAST(LEAST(3, FLOOR((epoch(date_trunc('second', ts)) - low) * 4 / (high - low + 1)) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS part FROM events, b),
+m AS (SELECT part, MAX(MAX(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p GROUP BY part)
+SELECT event_id, user_id, ts, part AS batch_id FROM p JOIN m USING (part) WHERE ts < newest - INTERVAL 1 HOUR""",
+    views=False,
+)
+def late_events(b):
+    return session_store(b).late().select("event_id", "user_id", "ts", "batch_id")
+
+
 @query(
     "event_sessions",
     "T-6",
-    sql="""WITH g AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
-SELECT user_id, MIN(ts) AS started_at, MAX(ts) + INTERVAL 30 MINUTE AS ended_at, COUNT(*) AS n, COUNT(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM s GROUP BY user_id, sid""",
+    sql=SESSIONS_SQL,
     views=False,
 )
 def event_sessions(b):
@@ -156,6 +222,18 @@ def stream_event_rates(b):
     return latest_by(rows, ["window_start", "event_type"], [F.col("batch_id").desc()]).drop("batch_id")
 
 
+@query("stream_access_anomalies", "A-51", sql=ACCESS_SQL, views=False)
+def stream_access_anomalies(b):
+    """Reads arrive in two parts, some of the first with the second; days are judged again as reads for them come."""
+    base = fresh_path(b.spark, "access")
+    rows = b.table("events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    middle = rows.agg(F.percentile_approx(F.unix_date("day"), 0.5)).first()[0]
+    second = (F.unix_date("day") > middle) | (F.col("event_id") % 50 == 0)
+    for part in (rows.where(~second), rows.where(second)):
+        landed(b, part, base, rows.schema, aggregates.keep_access_anomalies(f"{base}/out"))
+    return aggregates.access_anomalies(b.spark, f"{base}/out")
+
+
 @query(
     "event_field_coverage",
     "A-21",

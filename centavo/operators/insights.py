@@ -370,7 +370,11 @@ def access_anomalies(log: DataFrame, days: int = 7, sigmas: float = 2.0) -> Data
 
     `log`: `user_id, day`. Counts per user and day come first; the window runs over days.
     """
-    daily = log.groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    return unusual_days(log.groupBy("user_id", "day").agg(F.count("*").alias("n")), days, sigmas)
+
+
+def unusual_days(daily: DataFrame, days: int = 7, sigmas: float = 2.0) -> DataFrame:
+    """The same from counts per user and day (`user_id, day, n`)."""
     index = F.datediff(F.col("day"), F.lit(dt.date(1970, 1, 1)))
     trailing = Window.partitionBy("user_id").orderBy("_i").rangeBetween(-days, -1)
     rows = daily.withColumn("_i", index).withColumns(

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from centavo.functions.text import merchant_key, name_key
+from centavo.operators.components import components
 from centavo.operators.versions import attach, latest_by, lookup
 from centavo.session import written
 
@@ -307,8 +308,8 @@ def entity_links(entities: DataFrame) -> DataFrame:
 
     Input: `org_id, source, source_entity_id, name`. Equal keys are the same
     entity. Keys that share a one-letter deletion (one letter more, fewer or different) are linked, for
-    review, and so are keys joined by a chain of such links: the canonical key is the smallest of all. Each
-    distinct key adds as many rows as it has letters; no two names are compared. `compared` is
+    review, and so are keys joined by a chain of such links: the canonical key is the smallest of all. A chain is
+    followed in rounds that grow with the logarithm of its length (see `components`). Each distinct key adds as many rows as it has letters; no two names are compared. `compared` is
     false for keys too short to be compared by letters.
     """
     keyed = entities.withColumn("key", entity_key(F.col("name")))
@@ -317,19 +318,13 @@ def entity_links(entities: DataFrame) -> DataFrame:
     variants = names.select(
         "org_id", "key", F.explode(F.when(long, one_letter_variants(F.col("key"))).otherwise(F.array("key"))).alias("variant")
     )
-    variants = written(variants, "entity-variants")
-    labels = written(names.withColumn("canonical", F.col("key")), "entity-labels")
-    while True:  # as often as the longest chain of links has steps
-        smallest = variants.join(labels, ["org_id", "key"]).groupBy("org_id", "variant").agg(F.min("canonical").alias("canonical"))
-        lower = variants.join(smallest, ["org_id", "variant"]).groupBy("org_id", "key").agg(F.min("canonical").alias("canonical"))
-        lower = written(lower, "entity-labels")
-        changed = lower.join(labels.withColumnRenamed("canonical", "old"), ["org_id", "key"]).where("canonical <> old")
-        stable = changed.isEmpty()
-        labels = lower
-        if stable:
-            break
+    # the keys of a variant hang on the smallest of them
+    hubs = variants.groupBy("org_id", "variant").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    links = variants.join(hubs, ["org_id", "variant"]).select("org_id", F.col("key").alias("a"), "b")
+    labels = components(links, ["org_id"])
+    joined = keyed.join(labels, ["org_id", "key"], "left").withColumn("canonical", F.coalesce("canonical", "key"))
     exact = F.col("key") == F.col("canonical")
-    return keyed.join(labels, ["org_id", "key"]).select(
+    return joined.select(
         "org_id",
         "source",
         "source_entity_id",
@@ -341,6 +336,19 @@ def entity_links(entities: DataFrame) -> DataFrame:
     )
 
 
+def review_queue(entities: DataFrame, links: DataFrame) -> DataFrame:
+    """Keys linked by likeness, scored, those that bear on most entities first; one row per key and its canonical key.
+
+    The score is the share of letters that agree. A key linked through a chain of others may have a low score.
+    """
+    keyed = entities.select("org_id", "source", "source_entity_id", entity_key(F.col("name")).alias("key"))
+    named = links.where("needs_review").join(keyed, ["org_id", "source", "source_entity_id"])
+    pairs = named.groupBy("org_id", "key", "canonical_key").agg(F.count("*").alias("entities"), F.count_distinct("source").alias("sources"))
+    length = F.greatest(F.length("key"), F.length("canonical_key"))
+    score = F.floor((length - F.levenshtein("key", "canonical_key")) * 10_000 / length) / 10_000
+    return pairs.withColumn("score", score).orderBy(F.col("entities").desc(), "score", "org_id", "key")
+
+
 def categorise(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Layered category: a locked choice, then the tenant's rule, then the account mapping.
 

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from centavo.functions.money import half_up_mean, minor, percent, round_half_up, signed
-from centavo.functions.periods import Period, after_months_before, month_start, shift_months
+from centavo.functions.periods import GRAINS, Period, after_months_before, bucket_start, month_start, shift_months
 from centavo.operators.predicates import analytical, in_period, occurred, settled
+from centavo.session import written
 
 ENGINE_VERSION = "1"
 BURN_MONTHS = 6
@@ -389,3 +390,76 @@ def _series(rows: DataFrame, bucket: Column, name: str) -> DataFrame:
         (revenue - cost - F.col("opex_minor")).alias("profit_minor"),
         F.when(revenue > 0, percent(revenue - cost, revenue)).alias("gross_margin_pct"),
     )
+
+
+def metric_grains(ledger: DataFrame, period: Period, organizations: DataFrame, grains: Sequence[str] = GRAINS, keys: Iterable[str] | None = None) -> DataFrame:
+    """Any metrics in every bucket of every grain over a period: one row per tenant, grain, bucket and metric.
+
+    One scan brings the ledger to one row per tenant and day; all grains roll up from there. Flows add up over a bucket's days
+    inside the period. Cash, burn and runway do not add up: a bucket has the value of its last day, cash as a running total
+    and burn over the trailing months to that day. Windows run over calendar days of a tenant, never over its rows.
+    """
+    wanted = [METRICS[k] for k in (METRICS if keys is None else keys)]
+    daily = written(_daily(ledger), "metric-days")
+    first, last = F.lit(period.start), F.lit(period.end)
+    day = F.explode(F.sequence(first, last)).alias("day")
+    spine = organizations.select("org_id").distinct().withColumn("grain", F.explode(F.array(*[F.lit(g) for g in grains]))).select("org_id", "grain", day)
+    start = F.when(F.lit(False), F.col("day"))
+    for grain in grains:
+        start = F.when(F.col("grain") == grain, bucket_start(F.col("day"), grain)).otherwise(start)
+    days = spine.withColumn("bucket_start", start)
+    flows = [f"{m}_{s}" for m in CLASS_MEASURES for s in ("minor", "n")]
+    inside = daily.where(F.col("day").between(first, last)).select("org_id", "day", *flows)
+    zero = F.lit(0).cast("bigint")
+    buckets = days.join(inside, ["org_id", "day"], "left").groupBy("org_id", "grain", "bucket_start").agg(
+        F.max("day").alias("bucket_end"), *[F.coalesce(F.sum(c), zero).alias(c) for c in flows]
+    )
+    ends = buckets.select("org_id", F.col("bucket_end").alias("end")).distinct()
+    held = buckets.join(_to_day(daily, ends).withColumnRenamed("end", "bucket_end"), ["org_id", "bucket_end"])
+    return held.select("org_id", "grain", "bucket_start", "bucket_end", F.explode(F.array(*[_metric_struct(d) for d in wanted])).alias("m")).select(
+        "org_id", "grain", "bucket_start", "bucket_end", "m.*"
+    )
+
+
+def _daily(ledger: DataFrame) -> DataFrame:
+    """Per tenant and day: sum and count of each class by the day a row occurred, cash by the day it was settled."""
+    amount = minor("amount")
+    by_day = F.array(
+        F.struct(F.col("occurred_at").alias("day"), F.col("statement").alias("kind"), amount.alias("x")),
+        F.struct(F.col("posted_at").alias("day"), F.lit("cash").alias("kind"), signed("direction", amount).alias("x")),
+    )
+    rows = analytical(ledger).select("org_id", F.explode(by_day).alias("e")).select("org_id", "e.*").where("day IS NOT NULL")
+    rows = rows.where(F.col("kind").isin("cash", *CLASS_MEASURES))
+    zero = F.lit(0).cast("bigint")
+    aggs = []
+    for name in (*CLASS_MEASURES, "cash"):
+        hit = F.col("kind") == name
+        aggs += [F.coalesce(F.sum(F.when(hit, F.col("x"))), zero).alias(f"{name}_minor"), F.count_if(hit).alias(f"{name}_n")]
+    return rows.groupBy("org_id", "day").agg(*aggs)
+
+
+def _to_day(daily: DataFrame, ends: DataFrame) -> DataFrame:
+    """Cash settled up to each (tenant, end), and its burn: net and number of months seen in the trailing months."""
+    cash = daily.where("cash_n > 0").select("org_id", "day", "cash_minor", "cash_n")
+    before = F.add_months("end", -BURN_MONTHS).alias("day")
+    marks = ends.select("org_id", F.col("end").alias("day")).unionByName(ends.select("org_id", before)).distinct()
+    laid = cash.join(marks.withColumn("asked", F.lit(True)), ["org_id", "day"], "full_outer")
+    upto = Window.partitionBy("org_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast("bigint")
+    running = laid.select("org_id", "day", "asked", *[F.coalesce(F.sum(c).over(upto), zero).alias(c) for c in ("cash_minor", "cash_n")]).where("asked").drop("asked")
+    now = running.select("org_id", F.col("day").alias("end"), "cash_minor", "cash_n")
+    then = running.select("org_id", F.col("day").alias("low"), F.col("cash_minor").alias("low_minor"))
+    # a month is seen if it has a settled day in the window: its last lies after the window's begin, its first not after its end
+    months = cash.groupBy("org_id", month_start(F.col("day")).alias("month")).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    low = F.add_months("end", -BURN_MONTHS)
+    asked = ends.withColumn("low", low).withColumn("month", F.explode(F.sequence(month_start(F.col("low")), month_start(F.col("end")), F.make_ym_interval(months=F.lit(1)))))
+    seen = (
+        asked.join(months, ["org_id", "month"])
+        .where((F.col("last_day") > F.col("low")) & (F.col("first_day") <= F.col("end")))
+        .groupBy("org_id", "end")
+        .agg(F.count("*").alias("burn_n"))
+    )
+    out = now.withColumn("low", low).join(ends, ["org_id", "end"], "left_semi").join(then, ["org_id", "low"])
+    return out.join(seen, ["org_id", "end"], "left").select(
+        "org_id", "end", "cash_minor", "cash_n", (F.col("cash_minor") - F.col("low_minor")).alias("burn_minor"), F.coalesce("burn_n", zero).alias("burn_n")
+    )

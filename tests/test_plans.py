@@ -64,4 +64,4 @@ def test_critical_alerts_reach_ranking(spark, small):
 
     critical = entry.queries()["forecast_alerts"](spark, small).where("severity = 'critical'").count()
     assert critical > 0
-    assert entry.queries()["alerts_for_week_all_rules"](spark, small).where("rank = 0").count() == critical
+    assert entry.queries()["alerts_for_week"](spark, small).where("rank = 0").count() == critical
