@@ -89,7 +89,9 @@ class Encoder:
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece, and this tells so at once
         self.maybe[key >> np.uint64(44)] = True
-        self.known = re.compile("[" + "".join(re.escape(t) for t in self.pieces if len(t) == 1) + "]+|.", re.S)
+        # characters that some longer piece has; the others, digits among them, stand alone in every word
+        joined = sorted(set("".join(t for t in self.pieces if len(t) > 1)))
+        self.known = re.compile("[" + "".join(map(re.escape, joined)) + "]+|.", re.S)
         self.left = np.arange(len(order))
         self.right = np.arange(len(order))
         self.alone = np.ones(len(order), bool)
@@ -272,23 +274,23 @@ class Encoder:
         return np.array(self.runs[-1] * whole + self.runs[rest], np.int32)
 
     @staticmethod
-    def _parts(text: str) -> Iterator[str]:
-        """A text with a space in front of every word, in parts of about `PART` characters."""
+    def _parts(text: str) -> Iterator[list[str]]:
+        """The words of a text, each with a space in front, in parts of about `PART` characters; an empty word is one more space."""
         text = " " + text.replace(MARK, " ")
         begin = 0
         while begin < len(text):
             bound = BOUND.search(text, begin + PART) if len(text) - begin > PART else None
             end = bound.start() if bound else len(text)
-            yield text[begin:end]
+            yield text[begin:end].split(" ")[1:]
             begin = end
 
-    def _groups(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    def _groups(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
         """Parts and the texts they belong to, so many that their new words are learned together."""
         group, held = [], 0
         for k, text in enumerate(texts):
             for part in self._parts(text) if text else ():
                 group.append((k, part))
-                held += len(part)
+                held += min(len(text), PART)
                 if held >= LEARNED:
                     yield group
                     group, held = [], 0
@@ -302,19 +304,19 @@ class Encoder:
             if self.kept > KEPT_BYTES:
                 self.start()
             new: set[str] = set()
-            for _, part in group:
-                new |= set(part.split(" ")) - self.number.keys()
+            for _, words in group:
+                new.update(w for w in words if w not in self.number)
                 if len(new) > NEW_WORDS:
                     self._learn_all(new)
             self._learn_all(new)
-            for k, part in group:
-                ids = self._ids(part.split(" ")[1:])
+            for k, words in group:
+                ids = self._ids(words)
                 out.append(ids)
                 sizes[k] += len(ids)
         return np.concatenate(out) if out else self.flat[:0], np.append(0, np.cumsum(sizes))
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        """Ids of known words with a space in front of each; an empty word is one more space."""
+        """Ids of known words."""
         base, number, starts, sizes = self.flat, self.number, self.starts, self.sizes
         if "" not in words:
             w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
