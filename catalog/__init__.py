@@ -13,4 +13,4 @@ def load() -> None:
         importlib.import_module(f"catalog.{name}")
 
 
-MODULES = ("metrics", "forecast", "ingest", "books", "streams", "scalars", "matching", "insights", "decisions")
+MODULES = ("metrics", "forecast", "ingest", "books", "streams", "scalars", "matching", "insights", "decisions", "bundles")

@@ -97,18 +97,21 @@ b AS (SELECT c_mktsegment AS naics, CASE WHEN m < 100000000 THEN 'small' WHEN m
 )
 def peer_benchmark(b):
     """Each customer as a business: share of its orders finished, by segment and size."""
+    return insights.peer_benchmark(businesses(b), ["naics", "revenue_band"], "pct")
+
+
+def businesses(b):
     totals = b.table("orders").groupBy("o_custkey").agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f"),
         F.sum(minor(F.col("o_totalprice").cast("decimal(20,4)"))).alias("m"),
     )
     band = F.when(F.col("m") < 100_000_000, "small").when(F.col("m") < 400_000_000, "medium").otherwise("large")
-    rows = totals.join(b.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+    return totals.join(b.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("naics"),
         band.alias("revenue_band"),
         F.floor(F.col("f") * 100 / F.col("n")).cast("int").alias("pct"),
     )
-    return insights.peer_benchmark(rows, ["naics", "revenue_band"], "pct")
 
 
 def _score(x: str) -> str:

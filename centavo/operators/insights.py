@@ -12,6 +12,7 @@ from centavo.functions.money import half_up_mean, minor, round_half_up, share, s
 from centavo.functions.periods import Period, after_days_before, after_months_before, month_start, previous, prior_year
 from centavo.operators import metrics
 from centavo.operators.predicates import EXPENSE_STATEMENTS, analytical, open_documents, settled
+from centavo.operators.versions import latest_by
 
 # Upper end in days of each cadence class; longer gaps are not a series.
 CADENCES = (("weekly", 9), ("biweekly", 14), ("semimonthly", 20), ("monthly", 45), ("quarterly", 135), ("annual", 400))
@@ -172,6 +173,18 @@ def peer_benchmark(rows: DataFrame, cell: Sequence[str], value: str, min_peers:
     )
 
 
+SKETCH_ACCURACY = 1000  # a sketched quantile is off by at most one part in so many of the ranks
+
+
+def peer_sketch(rows: DataFrame, cell: Sequence[str], value: str, quantiles: Sequence[float], min_peers: int = 30) -> DataFrame:
+    """Quantiles `p` per peer cell from sketches: cells of any size, since tasks send sketches and not their values.
+
+    A sketch merges with others of its cell; the rank of its answer is off by one part in `SKETCH_ACCURACY` at most.
+    """
+    sketched = F.percentile_approx(value, list(quantiles), SKETCH_ACCURACY)
+    return rows.groupBy(*cell).agg(F.count("*").alias("peers"), sketched.alias("p")).where(F.col("peers") >= min_peers)
+
+
 # Weight of each part of the health score.
 HEALTH_WEIGHTS = {
     "liquidity": 25,
@@ -455,3 +468,35 @@ def outgrowing_categories(ledger: DataFrame, period: Period) -> DataFrame:
             round_half_up(base * 100 - 100, 2).alias("revenue_growth_pct"),
         )
     )
+
+
+def price_changes(rows: DataFrame, least_months: int = 3, rise: float = 1.1) -> DataFrame:
+    """The month in which the price per unit of a vendor's item rose for good, if it did by `rise` or more.
+
+    `rows`: `org_id, vendor_id, item, day, cost_minor, units`. Of all months that part an item's history in two, with at least
+    `least_months` of purchases on either side, the one taken explains most of the variation of the price, units
+    as weights; of equals the earliest. Purchases come down to months first; the windows run over months.
+    """
+    keys = ["org_id", "vendor_id", "item"]
+    monthly = rows.groupBy(*keys, month_start(F.col("day")).alias("month")).agg(F.sum("cost_minor").alias("cost"), F.sum("units").alias("units"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    split = monthly.select(
+        *keys, "month",
+        F.sum("cost").over(before).alias("cost0"), F.sum("units").over(before).alias("units0"), F.count("*").over(before).alias("months0"),
+        F.sum("cost").over(whole).alias("cost"), F.sum("units").over(whole).alias("units"), F.count("*").over(whole).alias("months"),
+    ).where((F.col("months0") >= least_months) & (F.col("months") - F.col("months0") >= least_months))
+    old = F.col("cost0").cast("double") / F.col("units0").cast("double")
+    later = (F.col("units") - F.col("units0")).cast("double")
+    new = (F.col("cost") - F.col("cost0")).cast("double") / later
+    weight = F.col("units0").cast("double") * later / F.col("units").cast("double")
+    priced = split.select(*keys, "month", old.alias("old"), new.alias("new"), later.alias("later"), weight.alias("weight"))
+    gained = priced.withColumn("gain", (F.col("new") - F.col("old")) * (F.col("new") - F.col("old")) * F.col("weight"))
+    best = latest_by(gained, keys, [F.col("gain").desc(), F.col("month")]).where(F.col("new") >= F.col("old") * rise)
+    return best.select(
+        *keys,
+        F.col("month").alias("changed_in"),
+        F.floor(F.col("old") + 0.5).cast("double").alias("before_minor"),
+        F.floor(F.col("new") + 0.5).cast("double").alias("after_minor"),
+        F.floor((F.col("new") - F.col("old")) * F.col("later") + 0.5).cast("bigint").alias("extra_minor"),
+    )

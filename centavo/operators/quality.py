@@ -113,3 +113,17 @@ def quality_rate(ledger: DataFrame) -> DataFrame:
             "uncategorized_amount_share": share(F.col("uncategorized_minor"), F.col("total_minor")),
         }
     )
+
+
+def unreconciled(decisions: DataFrame) -> DataFrame:
+    """Rows per tenant and source that have no counterpart in another source, and their share.
+
+    `decisions`: what `cross_source_duplicates` decided. A row is reconciled when it mirrors another or is mirrored.
+    """
+    from centavo.functions.money import round_half_up
+
+    mirrored = decisions.where("mirrors_row_id IS NOT NULL").select(F.col("mirrors_row_id").alias("row_id"), F.lit(True).alias("_met")).distinct()
+    rows = decisions.join(mirrored, "row_id", "left")
+    alone = F.col("mirrors_row_id").isNull() & F.col("_met").isNull()
+    counted = rows.groupBy("org_id", "source").agg(F.count("*").alias("n"), F.count_if(alone).alias("unreconciled_n"))
+    return counted.withColumn("unreconciled_share", round_half_up(F.col("unreconciled_n").cast("double") / F.col("n").cast("double"), 4))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centavo.functions.money import minor
+from centavo.operators.versions import top_per
 
 
 def search(
@@ -56,3 +57,21 @@ def page_after(rows: DataFrame, cursor: tuple[dt.date, str, str] | None, n: int)
         d, k, i = (F.lit(v) for v in cursor)
         rows = rows.where((day < d) | ((day == d) & ((kind > k) | ((kind == k) & (key > i)))))
     return rows.orderBy(day.desc(), kind, key).limit(n)
+
+
+def pages(rows: DataFrame, cursors: DataFrame, n: int) -> DataFrame:
+    """The next page of each tenant: at most n rows, newest first, with `place`, `has_more` and `next_cursor`.
+
+    `cursors`: `org_id, cursor`, one row for each tenant that asks; a null cursor asks for the first page. A cursor is
+    `day|record type|id` of the last row seen. Tenants that do not ask get nothing. Each tenant's rows are limited before the shuffle.
+    """
+    day, kind, key = F.col("occurred_at"), F.col("source_record_type"), F.col("source_txn_id")
+    part = F.split("cursor", r"\|", 3)
+    asked = cursors.select("org_id", part[0].cast("date").alias("_day"), part[1].alias("_kind"), part[2].alias("_key"))
+    after = F.col("_day").isNull() | (day < F.col("_day")) | ((day == F.col("_day")) & ((kind > F.col("_kind")) | ((kind == F.col("_kind")) & (key > F.col("_key")))))
+    found = rows.join(asked, "org_id").where(after).drop("_day", "_kind", "_key")
+    top = top_per(found, ["org_id"], [day.desc(), kind, key], n + 1)
+    cursor = F.concat_ws("|", F.date_format(day, "yyyy-MM-dd"), kind, key)
+    ends = top.groupBy("org_id").agg((F.max("rank") > n).alias("has_more"), F.max(F.when(F.col("rank") == n, cursor)).alias("_last"))
+    paged = top.where(F.col("rank") <= n).join(ends, "org_id")
+    return paged.withColumn("next_cursor", F.when(F.col("has_more"), F.col("_last"))).drop("_last").withColumnRenamed("rank", "place")

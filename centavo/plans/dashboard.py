@@ -57,12 +57,28 @@ def dashboard(
     }
 
 
+# The figure of each part that a refresh is checked by.
+TOTALS = {
+    "cards": "value_minor",
+    "series": "profit_minor",
+    "by_category": "total_minor",
+    "by_customer": "total_minor",
+    "aging": "balance_minor",
+    "concentration": "total_minor",
+    "drivers": "delta_minor",
+    "forecast_points": "p50",
+    "forecast_risks": "shortfall_minor",
+}
+
+
 def bundle(parts: dict[str, DataFrame]) -> DataFrame:
-    """Row counts per tenant and part, one frame: what a refresh wrote."""
-    counted = [
-        df.groupBy("org_id").agg(F.count("*").alias("n")).select("org_id", F.lit(name).alias("part"), "n")
-        for name, df in parts.items()
-    ]
+    """Rows and the sum of the main figure per tenant and part, one frame: what a refresh wrote."""
+
+    def told(name: str, df: DataFrame) -> DataFrame:
+        total = F.sum(TOTALS[name]) if name in TOTALS else F.lit(None)
+        return df.groupBy("org_id").agg(F.count("*").alias("n"), total.cast("bigint").alias("total_minor")).select("org_id", F.lit(name).alias("part"), "n", "total_minor")
+
+    counted = [told(name, df) for name, df in parts.items()]
     out = counted[0]
     for frame in counted[1:]:
         out = out.unionByName(frame)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from centavo.functions.periods import month_start
 from centavo.operators.predicates import EARLIEST, LATEST, MONTH, occurred
 from centavo.operators.versions import insert_absent
+from centavo.session import written
 
 KEYS = ("org_id", "source", "source_record_type", "source_txn_id")
 BUCKET, BATCH = "org_bucket", "batch_id"
@@ -100,6 +101,20 @@ class LedgerTable:
             .parquet(self.path)
         )
 
+    def purge_before(self, day: dt.date, as_of: dt.date) -> DataFrame:
+        """Drop the months that end before `day`. Returns an audit row per dropped partition; the others keep their files.
+
+        Partitions and their counts come from the layout and the file footers. The list of partitions passes the
+        driver: months times buckets times batches, never rows.
+        """
+        old = self.read().where(F.col(MONTH) < F.lit(day.replace(day=1)))
+        audit = written(old.groupBy(*LAYOUT).agg(F.count("*").alias("n")).withColumn("dropped_on", F.lit(as_of)), "purge-audit")
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for r in audit.select(*LAYOUT).collect():
+            part = "/".join(f"{name}={value}" for name, value in zip(LAYOUT, r, strict=True))
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}"), True)
+        return audit
+
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> tuple[int, int]:
     """A number that changes when a file of the paths does, and the bytes of all."""
