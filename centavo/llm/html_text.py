@@ -5,11 +5,13 @@ mark links. Text between block tags is a block, a paragraph of the element it st
 pass points for their length and commas to the elements above them: all to the nearest container,
 half to the next, less further up. An element's score is discounted by the share of its text that is
 in links; the best one and siblings of like worth are the main text. Elements that are not article
-text by their name (menus, footers, forms, scripts ...) or by a word of their class, id or role
+text by their name (menus, footers, scripts ...) or because a class, id or role is such a word
 (adverts, notices, comments ...) are left out with all they hold; a header is left out unless it stands
-in the article.
+in the article. Where such a word is only part of a class (`has-sidebar`), stands beside a word for content, or the
+element is a form, the element is left out unless it holds an article or, on a page without one, most of the text.
 
-White space inside a block becomes one space; a line break counts as white space. Null, empty and
+A tag whose quotes never close ends at the next `>`, and from there on quotes are not minded; every page is read
+in time linear in its length. White space inside a block becomes one space; a line break counts as white space. Null, empty and
 tagless pages have a defined result: no text, no text, and the page's own text. A page is
 judged alone, so repeated rows give repeated results. Columns other than page_id, url and html
 are not looked at.
@@ -26,18 +28,22 @@ from pyspark.sql import functions as F
 from centavo.llm.arrow import map_batches
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+#: From where on quotes no longer count.
+PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp "
                    "small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("head nav footer aside form noscript template svg canvas button select object dialog menu header".split())
+LEFT_OUT = frozenset("head nav footer aside noscript template svg canvas button select object dialog menu header".split())
 LEFT_OUT_LABELS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus share sharing "
     "social related subscribe newsletter popup modal login signup search toolbar pagination pager widget contentinfo complementary".split()
 )
+CONTENT_LABELS = frozenset("content article main post entry story body page text wrapper container layout".split())
+SHOWN, DOUBTFUL, HIDDEN = range(3)
 ARTICLE = frozenset(("article", "main"))
 PARAGRAPH = frozenset("p pre blockquote li td th dd dt figcaption h1 h2 h3 h4 h5 h6 summary caption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,6 +63,7 @@ class _Page:
         self.count: dict[str, int] = {}
         self.text: list[str] = []
         self.linked = self.links = 0
+        self.state = [SHOWN]  # of each element, by its own name and labels
         self.hidden = 0  # open elements that are left out
         self.articles = 0
 
@@ -74,9 +81,13 @@ class _Page:
             self.text, self.linked = [], 0
 
     def push(self, tag: str, labels: str) -> None:
-        hide = self.hidden or (tag in LEFT_OUT and not (tag == "header" and self.articles)) or (
-            tag not in ARTICLE and tag not in ("html", "body") and not LEFT_OUT_LABELS.isdisjoint(re.split(r"[\s_-]+", labels.lower())))
-        if hide:
+        if tag in LEFT_OUT and not (tag == "header" and self.articles):
+            state = HIDDEN
+        elif tag in ARTICLE or tag in ("html", "body"):
+            state = SHOWN
+        else:
+            state = max(DOUBTFUL if tag == "form" else SHOWN, judged(labels))
+        if self.hidden or state == HIDDEN:
             self.hidden += 1
             node = -1
         else:
@@ -84,6 +95,7 @@ class _Page:
             self.tags.append(tag)
             self.up.append(self.open[-1][1])
             self.span.append([len(self.blocks), 0])
+            self.state.append(state)
             self.articles += tag in ARTICLE
         self.open.append((tag, node))
         self.count[tag] = self.count.get(tag, 0) + 1
@@ -107,7 +119,7 @@ class _Page:
                 self.add(" ")
             elif tag == "a":
                 self.links = 1
-            if tag in VOID or not labels or LEFT_OUT_LABELS.isdisjoint(re.split(r"[\s_-]+", labels.lower())):
+            if tag in VOID or not judged(labels):
                 return
         self.flush()
         if tag in VOID:
@@ -141,11 +153,33 @@ class _Page:
         while self.pop() != tag:
             pass
 
-    def best(self) -> str:
+    def settle(self) -> None:
+        """Drop the text of doubtful elements, but for those that hold an article or, where there is none, most of the text."""
         n = len(self.tags)
         self.span[0][1] = len(self.blocks)
+        if DOUBTFUL not in self.state:
+            return
+        size, article = [0] * n, [False] * n
+        for node, text, _ in self.blocks:
+            size[node] += len(text)
+        for node in range(n - 1, 0, -1):
+            article[node] |= self.tags[node] in ARTICLE and size[node] > 0
+            size[self.up[node]] += size[node]
+            article[self.up[node]] |= article[node]
+        gone = [False] * n
+        for node in range(1, n):  # an element comes after the one it stands in
+            mine = self.state[node] == DOUBTFUL and not article[node] and (article[0] or 2 * size[node] <= size[0])
+            gone[node] = mine or gone[self.up[node]]
+        self.kept = [not gone[node] for node, _, _ in self.blocks]
+
+    def best(self) -> str:
+        n = len(self.tags)
+        self.kept = [True] * len(self.blocks)
+        self.settle()
         points, size, linked = [0.0] * n, [0] * n, [0] * n
-        for node, text, links in self.blocks:
+        for (node, text, links), kept in zip(self.blocks, self.kept, strict=True):
+            if not kept:
+                continue
             size[node] += len(text)
             linked[node] += links
             if self.tags[node] in HEADING:
@@ -163,7 +197,7 @@ class _Page:
         score = [(p + 10 * (t in ARTICLE and p > 0)) * (1 - k / s if s else 0) for p, t, s, k in zip(points, self.tags, size, linked, strict=True)]
         top = max(range(n), key=lambda i: score[i])
         if score[top] <= 0:
-            return "\n".join(text for _, text, _ in self.blocks)
+            return "\n".join(text for (_, text, _), kept in zip(self.blocks, self.kept, strict=True) if kept)
         spans = [self.span[top]]
         least = max(10.0, 0.2 * score[top])
         if self.up[top] >= 0:
@@ -172,29 +206,51 @@ class _Page:
                     plain = self.tags[node] == "p" and size[node] > 80 and linked[node] < 0.25 * size[node]
                     if plain or score[node] >= least:
                         spans.append(self.span[node])
-        return "\n".join(text for b, e in sorted(spans) for _, text, _ in self.blocks[b:e])
+        return "\n".join(self.blocks[k][1] for b, e in sorted(spans) for k in range(b, e) if self.kept[k])
+
+
+def judged(labels: str) -> int:
+    """Whether an element of these class, id and role words is article text."""
+    tokens = labels.lower().split()
+    if not tokens:
+        return SHOWN
+    parts = [set(re.split(r"[_-]+", t)) for t in tokens]
+    if all(LEFT_OUT_LABELS.isdisjoint(p) for p in parts):
+        return SHOWN
+    content = any(not CONTENT_LABELS.isdisjoint(p) for p in parts)
+    whole = any(t in LEFT_OUT_LABELS or p <= LEFT_OUT_LABELS for t, p in zip(tokens, parts, strict=True))
+    return HIDDEN if whole and not content else DOUBTFUL
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree, at, size = _Page(), 0, len(page)
-    while at < size:
-        m = TAG.search(page, at)
-        if m is None:
-            tree.add(page[at:])
+    last, tag_of, begin = page.rfind(">"), TAG, 0  # text begins at `begin`, a tag is looked for from `at`
+    while True:
+        start = page.find("<", at)
+        comment = start >= 0 and page.startswith("<!--", start)
+        if start < 0 or (start > last and not comment):
+            tree.add(page[begin:])
             break
-        if m.start() > at:
-            tree.add(page[at : m.start()])
-        at = m.end()
+        m = tag_of.match(page, start)
+        if m is None and page[start + 1 : start + 2].isascii() and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] == "/"):
+            tag_of = PLAIN_TAG
+            m = tag_of.match(page, start)
+        if m is None:
+            at = start + 1
+            continue
+        if start > begin:
+            tree.add(page[begin:start])
+        begin = at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             tree.end(tag)
         elif tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last + 1)
+            begin = at = close.end() if close else size
             if tag != "textarea":
                 tree.flush()
         else:

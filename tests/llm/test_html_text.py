@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from centavo.llm import html_text
 from centavo.llm.html_text import main_text
@@ -48,6 +49,34 @@ def test_markup_faults():
     assert main_text("<script>never closed <p>x</p>") == ""
 
 
+def test_article_in_an_element_with_a_doubtful_name():
+    for page in (
+        f'<div class="content has-sidebar">{BODY * 3}</div><div class="sidebar"><p>Side, bar</p></div>',
+        f'<form id="aspnetForm"><div class="header-bar">x</div><div>{BODY * 3}</div><input name=q></form>',
+        f'<div class="article-social"><article>{BODY * 3}</article></div><div class="social-share"><p>Tell, your, friends</p></div>',
+        f'<div class="post with-comments">{BODY * 3}<div class="comments"><p>I, for one, agree, yes.</p></div></div>',
+        f'<body class="sidebar"><div id="main">{BODY * 3}<div class="related-posts"><p>More, of, the same</p></div></div></body>',
+    ):
+        assert main_text(page) == "\n".join([PLAIN] * 3), page
+
+
+def test_long_comments_do_not_stand_for_the_article():
+    page = f"<article>{BODY}</article><div class='comments'>{BODY * 9}</div><div class='comment-list'>{BODY * 2}</div>"
+    assert main_text(page) == PLAIN
+
+
+def test_bad_markup_in_linear_time():
+    for unit in ('<a "', "<a b ", '<a ">" ', "<a '\">", "<!", "<script", "</script", '<div class="x', "< ", "<b>'\"", "</a '", "<p><", "<!-"):
+        for tail in ("", ">", '">', "<p>end, of it</p>"):
+            started = time.perf_counter()
+            main_text(unit * 60_000 + tail)
+            assert time.perf_counter() - started < 4, (unit, tail)
+
+
+def test_unclosed_quotes():
+    assert main_text('<p>one</p><p title="x>two</p><p>three</p>') == "one\ntwo\nthree"
+
+
 def test_rows(spark):
     given = [(1, "u", None, "a"), (2, None, "", "b"), (3, "u", "<p>x</p>", "c"), (3, "u", "<p>x</p>", "c"), (None, "u", "<p>y é</p>", "d")]
     out = html_text.extract(spark.createDataFrame(given, "page_id bigint, url string, html string, text string"))
