@@ -6,13 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from catalog import raw_books
 from catalog.ingest import unique
 from catalog.metrics import METRIC_SQL, PNL, TTM, metric_select
 from catalog.registry import query
 from centavo.functions.money import minor
 from centavo.operators import metrics, predicates, quality, search, tenancy, versions
 from centavo.session import fresh_path, written
-from centavo.sources import files, landing, raw_books, snapshots
+from centavo.sources import files, landing, snapshots
 from centavo.sources.books import AS_OF
 from centavo.sources.ledger import KEYS, LedgerTable
 

@@ -7,12 +7,13 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from catalog import raw_books
 from catalog.registry import query
 from centavo.functions.money import minor
 from centavo.operators import accounts as acc
 from centavo.operators import normalize as nz
 from centavo.operators.versions import latest_by
-from centavo.sources import landing, raw_books
+from centavo.sources import landing
 from centavo.sources.books import AS_OF
 
 

@@ -262,7 +262,11 @@ SOURCES = {
 
 
 def pages(b: Books, record_type: str) -> DataFrame:
-    """All fetched pages of one type, retries and later versions included."""
+    """All fetched pages of one type, retries and later versions included, as they were landed."""
+    return b.landed(f"pages-{record_type}", lambda: _pages(b, record_type))
+
+
+def _pages(b: Books, record_type: str) -> DataFrame:
     first = to_pages(SOURCES[record_type](b), FIRST_FETCH)
     again = refetched(first, SECOND_FETCH)
     out = first.unionByName(again)

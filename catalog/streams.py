@@ -6,13 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from catalog import raw_books
 from catalog.insights import ACCESS_SQL
 from catalog.metrics import SERIES, SERIES_OUT
 from catalog.registry import query
 from centavo.functions.money import minor
 from centavo.operators import normalize as nz
 from centavo.session import fresh_path
-from centavo.sources import landing, raw_books
+from centavo.sources import landing
 from centavo.sources.ledger import LAYOUT
 from centavo.streaming import aggregates, events, ingest, invalidation, sessions
 

@@ -7,6 +7,7 @@ line items become bills and purchases.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from centavo.operators.documents import document_status
 from centavo.operators.versions import latest_by
-from centavo.session import fresh_path
+from centavo.session import fresh_path, written
 from centavo.sources.ledger import LedgerTable, buckets_for, fingerprint
 
 AS_OF = dt.date(2001, 8, 1)
@@ -36,6 +37,7 @@ LEDGER_TABLES = ("lineitem", "part", "supplier", "orders", "customer")
 
 _SCHEMAS: dict[str, StructType] = {}
 _LEDGERS: dict[tuple, LedgerTable] = {}
+_LANDED: dict[tuple, DataFrame] = {}
 
 
 @dataclass(frozen=True)
@@ -162,16 +164,27 @@ class Books:
     @cached_property
     def ledger_table(self) -> LedgerTable:
         """The stored ledger of these tables. It is written once, and anew when one of their files has changed."""
-        paths = [f"{self.path}/{name}.parquet" for name in LEDGER_TABLES]
-        mark, size = fingerprint(self.spark, paths)
-        key = (self.spark.sparkContext.applicationId, self.path, self.as_of, mark)
+        key = (*self._given, self.as_of)
         if key not in _LEDGERS:
             rows = self.computed_ledger
-            table = LedgerTable(self.spark, fresh_path(self.spark, "ledger"), rows.schema, buckets_for(size))
+            table = LedgerTable(self.spark, fresh_path(self.spark, "ledger"), rows.schema, buckets_for(self._given[-1]))
             table.load(rows)
             _LEDGERS[key] = table
         return _LEDGERS[key]
 
+    @cached_property
+    def _given(self) -> tuple:
+        """The application, the tables, a mark of their present files, and their bytes."""
+        mark, size = fingerprint(self.spark, [f"{self.path}/{name}.parquet" for name in LEDGER_TABLES])
+        return self.spark.sparkContext.applicationId, self.path, mark, size
+
+    def landed(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame made from these tables, written once as if it had been landed; anew when one of their files has changed."""
+        key = (*self._given, name)
+        if key not in _LANDED:
+            _LANDED[key] = written(make(), f"landed-{name}")
+        return _LANDED[key]
+
     @property
     def computed_ledger(self) -> DataFrame:
         """The ledger from the given tables; every line key occurs once in it, and every invoice."""
