@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,15 +34,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for part in slices(batch, chunk_bytes):
                 for columns in fn(part):
                     arrays = [_array(columns[f.name], f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker that has run other tasks holds on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _array(values, kind) -> pa.Array:
     if isinstance(values, pa.Array):
         return values.cast(kind) if values.type != kind else values

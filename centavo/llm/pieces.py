@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from centavo.llm.arrow import id_and_text, map_batches, ragged
+from centavo.llm.arrow import give_back, id_and_text, map_batches, ragged, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -37,7 +37,8 @@ PAIRS = 1 << 20  # remembered verdicts on neighbouring pieces
 LEARNED = 4 << 20  # characters whose new words are learned together: they are few, and a pass over them costs the same
 NEW_WORDS = 100_000  # most words learned together, about
 PART = 1 << 18  # characters of a text, or ids, that are handled at a time
-CHUNK = 2 * LEARNED  # bytes of text in a batch; a longer text comes alone and is encoded in parts
+CHUNK = LEARNED  # bytes of text whose new words are learned together; a longer text comes alone and is encoded in parts
+SHOWN = 1 << 20  # bytes of text that are encoded and decoded together once their words are known
 BATCH = 1 << 18  # characters of words that advance together, about
 
 
@@ -297,11 +298,27 @@ class Encoder:
         if group:
             yield group
 
+    def slices(self, batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+        """Parts of a batch that may be encoded one by one, the words of all of it learned at once unless a text is long."""
+        if sum(map(len, batch.column(column).to_pylist())) <= 2 * LEARNED:
+            if self.kept > KEPT_BYTES:
+                self.start()
+            new: set[str] = set()
+            for text in batch.column(column):
+                for words in self._parts(text.as_py()) if text.as_py() else ():
+                    new.update(w for w in words if w not in self.number)
+                    if len(new) > NEW_WORDS:
+                        self._learn_all(new)
+            self._learn_all(new)
+            del new
+            give_back()
+        yield from slices(batch, SHOWN)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the bounds of each text."""
         out, sizes = [], np.zeros(len(texts), np.int64)
         for group in self._groups(texts):
-            if self.kept > KEPT_BYTES:
+            if self.kept > KEPT_BYTES + LEARNED * 8:  # a batch may have learned beyond the bound
                 self.start()
             new: set[str] = set()
             for _, words in group:
@@ -357,8 +374,9 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
     encoder = Encoder(Model.load(path, kind))
 
     def fn(batch):
-        ids, bounds = encoder.encode(batch.column(1).to_pylist())
-        yield {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))}
+        for part in encoder.slices(batch):
+            ids, bounds = encoder.encode(part.column(1).to_pylist())
+            yield {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))}
 
     return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>", CHUNK)
 
@@ -384,16 +402,17 @@ def encoded_and_checked(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -
     is_byte[model.byte_ids] = True
 
     def fn(batch):
-        texts = batch.column(1).to_pylist()
-        ids, bounds = encoder.encode(texts)
-        back = decoder.decode(ids, bounds)
-        single = np.append(0, np.cumsum(is_byte[ids]))
-        yield {
-            "doc_id": batch.column(0),
-            "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
-            "n_tokens": np.diff(bounds),
-            "n_byte_tokens": np.diff(single[bounds]),
-            "round_trip": [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)],
-        }
+        for part in encoder.slices(batch):
+            texts = part.column(1).to_pylist()
+            ids, bounds = encoder.encode(texts)
+            back = decoder.decode(ids, bounds)
+            single = np.append(0, np.cumsum(is_byte[ids]))
+            yield {
+                "doc_id": part.column(0),
+                "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                "n_tokens": np.diff(bounds),
+                "n_byte_tokens": np.diff(single[bounds]),
+                "round_trip": [b == t.replace(MARK, " ") for b, t in zip(back, texts, strict=True)],
+            }
 
     return map_batches(id_and_text(docs), fn, "doc_id bigint, ids array<int>, n_tokens bigint, n_byte_tokens bigint, round_trip boolean", CHUNK)
