@@ -1,9 +1,15 @@
-"""Rows are sorted once on the way to their rank, and slim until they are written."""
+"""Rows are sorted once on the way to their rank, slim until they are written, and pages are parsed once."""
 
 import datetime as dt
+import json
 
 import pytest
+from pyspark.sql import functions as F
+
+from centavo.operators import normalize as nz
+from centavo.sources import landing
 from centavo.sources.books import Books
+from tests.test_normalize import PAGE
 
 
 def plan(df) -> str:
@@ -44,3 +50,17 @@ def test_ledger_is_shuffled_without_what_follows_from_a_kind(spark, path):
     ids = {(r.source_record_type, r.source_txn_id, r.direction, r.posted_at is None) for r in books.ledger.collect()}
     assert ("Purchase", "1", "outflow", False) in ids and ("Invoice", "1", "inflow", True) in ids and ("Payment", "1", "inflow", False) in ids
 
+
+def test_records_are_sorted_once_and_pages_parsed_once(spark):
+    def page(at, index, rows, time):
+        return (1, "c", "Vendor", index, dt.datetime(2001, 1, at), json.dumps({"QueryResponse": {"Vendor": rows}, "time": time}))
+
+    first = [{"Id": "1", "n": 1}, {"Id": "1", "n": 2}, {"n": 3}]
+    pages = spark.createDataFrame([page(1, 0, first, "a"), page(2, 0, first, "b"), page(3, 1, [{"Id": "1", "n": 4}], "c")], PAGE)
+    rows = landing.unique_records(pages)
+    assert plan(rows).count("from_json") + plan(rows).count("jsontostructs") == 1
+    kept = nz.latest_records(rows)
+    assert plan(kept).count("Sort [") == 2  # pages, records
+    assert sorted(r.n for r in kept.select(F.try_variant_get("record", "$.n", "int").alias("n")).collect()) == [3, 4]
+    whole = landing.records(landing.unique_pages(pages))
+    assert sorted(map(str, rows.select(F.to_json("record"), "position", "page_index").collect())) == sorted(map(str, whole.select(F.to_json("record"), "position", "page_index").collect()))
