@@ -6,10 +6,9 @@ one key, side and day are alike, so which of them meet does not matter; every pa
 within the window, and a row that is missing on one day moves no pair of another day. The rounds depend on the
 window alone and each row takes part in each once, so the work is linear in rows.
 
-How the rounds are run goes by the rows of a key. One row on each side: the counts say it all. Up to
-`FEW_ROWS`: the rows of the key meet in one task and go through the rounds there. More: every round is a job
-over all such keys, with rows numbered in parts (see `numbered`), so a key that holds a third of all rows is
-still spread over many tasks. All three give the same pairs.
+How the rounds are run goes by the rows of a key. Up to `FEW_ROWS`: the rows of the key meet in one task and go
+through the rounds there. More: every round is a job over all such keys, with rows numbered in parts (see
+`numbered`), so a key that holds a third of all rows is still spread over many tasks. Both give the same pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +17,9 @@ import datetime as dt
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,42 +66,47 @@ def nearest_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], days:
     """One-to-one pairs `left_id, right_id, gap` of rows with equal keys at most `days` apart, nearest first.
 
     Input: the keys, `day`, `row_id` and, if rows of one account must not meet, the account's column; rows
-    without a day or account are in no pair. With accounts a round is repeated until no pair is left to make, at most once per account of a key and day.
+    without a day or account are in no pair. Both frames are read twice. With accounts a round is repeated until no pair is left to make, at most once per account of a key and day.
     """
 
     def side(rows: DataFrame, number: int) -> DataFrame:
         own = F.col(account).cast("string") if account else F.lit(str(number))
         return rows.select(F.lit(number).alias("side"), *keys, "day", F.col("row_id").cast("string").alias("row_id"), own.alias("account"))
 
-    rows = written(side(left, 0).unionByName(side(right, 1)).where("day IS NOT NULL AND account IS NOT NULL"), "pairs")
-
-    def ends(number: int) -> list[Column]:
-        here = F.col("side") == number
-        return [F.count_if(here).alias(f"n{number}"), F.min(F.when(here, F.struct("day", "row_id", "account"))).alias(f"one{number}")]
-
-    counted = written(rows.groupBy(*keys).agg(*ends(0), *ends(1)).where("n0 > 0 AND n1 > 0"), "pair-keys")
-    single, total = (F.col("n0") == 1) & (F.col("n1") == 1), F.col("n0") + F.col("n1")
-    gap = F.date_diff("one1.day", "one0.day")
-    alone = counted.where(single & (F.abs(gap) <= days) & (F.col("one0.account") != F.col("one1.account")))
-    pairs = alone.select(*keys, F.col("one0.row_id").alias("left_id"), F.col("one1.row_id").alias("right_id"), gap.alias("gap"))
-
-    few = attach(rows, counted.where(~single & (total <= FEW_ROWS)).select(*keys, F.lit(True).alias("_few")), keys).drop("_few")
-    pairs = pairs.unionByName(_pairs_in_tasks(few, keys, days))
-    crowded = counted.where(total > FEW_ROWS).select(*keys, F.lit(True).alias("_many"))
-    if not crowded.isEmpty():
-        pairs = pairs.unionByName(_pairs_in_jobs(attach(rows, crowded, keys).drop("_many"), keys, days, account))
-    return pairs
+    rows = side(left, 0).unionByName(side(right, 1)).where("day IS NOT NULL AND account IS NOT NULL")
+    n0, n1 = (F.count_if(F.col("side") == n) for n in (0, 1))
+    large = written(rows.groupBy(*keys).agg(n0.alias("n0"), n1.alias("n1")).where(F.col("n0") + F.col("n1") > FEW_ROWS), "pair-keys")
+    if large.isEmpty():
+        return _pairs_in_tasks(rows, keys, days)
+    few = attach(rows, large.select(*keys, F.lit(True).alias("_large")), keys, "left").where("_large IS NULL").drop("_large")
+    pairs = _pairs_in_tasks(few, keys, days)
+    crowded = large.where("n0 > 0 AND n1 > 0").select(*keys)
+    return pairs if crowded.isEmpty() else pairs.unionByName(_pairs_in_jobs(attach(rows, crowded, keys), keys, days, account))
 
 
 def _pairs_in_tasks(rows: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
-    """The rounds of keys with few rows: the rows of a key are neighbours in one task, in the order of their numbers."""
+    """The rounds of keys with few rows: the rows of a key are neighbours in one task, by side, day, account and their numbers.
+
+    Rows alike in all of these are a run. A round takes the first free rows of a run, so pairs are made of stretches of two
+    runs: keys with one run on each side are settled together, others run by run. Only runs of several accounts are taken
+    row by row.
+    """
     kinds = {f.name: f.dataType for f in rows.schema}
     out = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), *(T.StructField(n, T.StringType()) for n in ("left_id", "right_id")), T.StructField("gap", T.IntegerType())])
     target = to_arrow_schema(out)
-    gaps = _gaps(days)
+    gaps, width = _gaps(days), len(keys)
 
-    def met(key: tuple, sides: tuple[dict, dict]) -> Iterator[tuple]:
-        """sides: account -> ids in order, by day."""
+    def stretches(sides: tuple[dict, dict]) -> Iterator[tuple[int, int, int, int]]:
+        """sides: (first row, rows) by day; yields first rows of both sides, rows and gap."""
+        for gap in gaps:
+            for day, (l, n) in sides[0].items():
+                r, m = sides[1].get(day + gap, (0, 0))
+                if took := min(n, m):
+                    yield l, r, took, gap
+                    sides[0][day], sides[1][day + gap] = (l + took, n - took), (r + took, m - took)
+
+    def met(sides: tuple[dict, dict]) -> Iterator[tuple[int, int, int, int]]:
+        """sides: account -> rows in order, by day; yields like `stretches`, row by row."""
         for gap in gaps:
             for day, free in sorted(sides[0].items()):
                 other = sides[1].get(day + gap)
@@ -115,31 +121,77 @@ def _pairs_in_tasks(rows: DataFrame, keys: Sequence[str], days: int) -> DataFram
                     for (a, x), (b, y) in made:
                         free[a].remove(x)
                         other[b].remove(y)
-                        yield (*key, x, y, gap)
+                        yield x, y, 1, gap
                     for s in (free, other):
                         for a in [a for a, ids in s.items() if not ids]:
                             del s[a]
                     made = made and free and other
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed() -> pa.RecordBatch:
-            found = list(met(held, sides))
-            columns = zip(*found, strict=True) if found else [()] * len(target)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+    def codes(column: pa.Array) -> np.ndarray:
+        return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+    def changes(columns: list[np.ndarray], size: int) -> np.ndarray:
+        new = np.zeros(size, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    def paired(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The pairs of whole keys."""
+        side, day = (batch.column(n).to_numpy() for n in ("side", "day"))
+        of_key = changes([codes(c) for c in batch.columns[:width]], len(batch))
+        runs = np.flatnonzero(changes([side, day, codes(batch.column("account"))], len(batch)) | of_key)
+        size = np.diff(runs, append=len(batch))
+        first = np.flatnonzero(of_key[runs])  # run of each key
+        count = np.diff(first, append=len(runs))
+        side, day = side[runs], day[runs].astype(np.int64)
+        both = (side[first] == 0) & (side[first + count - 1] == 1)
+        account = batch.column("account").take(pa.array(runs))
+        two = first[both & (count == 2)]
+        alike = pc.equal(account.take(pa.array(two)), account.take(pa.array(two + 1))).to_numpy(zero_copy_only=False).astype(bool)
+        two = two[(np.abs(day[two + 1] - day[two]) <= days) & ~alike]
+        plain = [runs[two], runs[two + 1], np.minimum(size[two], size[two + 1]), day[two + 1] - day[two]]
+        made = []
+        many = both & (count > 2)
+        if many.any():
+            named, at, n, s, d = account.to_pylist(), runs.tolist(), size.tolist(), side.tolist(), day.tolist()
+            for low, runs_of in zip(first[many].tolist(), count[many].tolist(), strict=True):
+                here = range(low, low + runs_of)
+                ours, theirs = ({named[i] for i in here if s[i] == number} for number in (0, 1))
+                sides = ({}, {})
+                if len(ours) == len(theirs) == 1 and ours != theirs:
+                    for i in here:
+                        sides[s[i]][d[i]] = at[i], n[i]
+                    made += stretches(sides)
+                else:
+                    for i in here:
+                        sides[s[i]].setdefault(d[i], {})[named[i]] = list(range(at[i], at[i] + n[i]))
+                    made += met(sides)
+        rest = np.array(made, np.int64).reshape(-1, 4).T
+        l, r, took, gap = (np.concatenate([x, y]) for x, y in zip(plain, rest, strict=True))
+        nth = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
+        l, r = (pa.array(np.repeat(x, took) + nth) for x in (l, r))
+        row_id = batch.column("row_id")
+        columns = [*(c.take(l) for c in batch.columns[:width]), row_id.take(l), row_id.take(r), pa.array(np.repeat(gap, took))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-        held, sides = None, ({}, {})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last key, which may go on
         for batch in batches:
-            for *key, number, day, account, row_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held != tuple(key):
-                    if held is not None:
-                        yield closed()
-                    held, sides = tuple(key), ({}, {})
-                sides[number].setdefault(day, {}).setdefault(account, []).append(row_id)
+            if not len(batch):
+                continue
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            last = int(np.flatnonzero(changes([codes(c) for c in whole.columns[:width]], len(whole)))[-1])
+            if last:
+                yield paired(whole.slice(0, last))
+            held = whole.slice(last)
         if held is not None:
-            yield closed()
+            yield paired(held)
 
     day = F.date_diff("day", F.lit(dt.date(1970, 1, 1))).alias("day")
-    ordered = rows.withColumn("_part", _part("row_id")).repartition(*keys).sortWithinPartitions(*keys, "_part", "row_id")
+    order = ["_key", *keys, "side", "day", "account", "_part", "row_id"]
+    ordered = rows.withColumns({"_key": F.xxhash64(*keys), "_part": _part("row_id")}).repartition("_key").sortWithinPartitions(*order)
     return ordered.select(*keys, "side", day, "account", "row_id").mapInArrow(run, out)
 
 
@@ -241,8 +293,11 @@ def cross_source_duplicates(rows: DataFrame, priority: Sequence[str], days: int
     none = narrow.limit(0).select(F.col("row_id").alias("right_id"), F.col("row_id").alias("left_id"), F.lit("").alias("dedup_method"))
     mirrors = none
 
+    def without(rows: DataFrame, taken: DataFrame, column: str) -> DataFrame:
+        return rows.join(taken.select(F.col(column).alias("row_id")), "row_id", "left_anti")
+
     def free(source: str, column: str, taken: DataFrame) -> DataFrame:
-        return narrow.where(F.col("source") == source).join(taken.select(F.col(column).alias("row_id")), "row_id", "left_anti")
+        return without(narrow.where(F.col("source") == source), taken, column)
 
     for i, better in enumerate(priority):
         for other in priority[i + 1 :]:
@@ -252,9 +307,9 @@ def cross_source_duplicates(rows: DataFrame, priority: Sequence[str], days: int
             mirrors = mirrors.unionByName(exact)
             if not edits:
                 continue
-            left = left.join(exact.select(F.col("left_id").alias("row_id")), "row_id", "left_anti")
-            right = right.join(exact.select(F.col("right_id").alias("row_id")), "row_id", "left_anti")
-            named = attach(right, similar_keys(left, right, block, "merchant", days, edits), [*keys, "day"])
+            left = written(without(left, exact, "left_id"), "left-over")
+            right = written(without(right, exact, "right_id"), "left-over")
+            named = written(attach(right, similar_keys(left, right, block, "merchant", days, edits), [*keys, "day"]), "similar")
             found = nearest_pairs(left, named.withColumn("merchant", F.col("similar")), keys, days)
             mirrors = mirrors.unionByName(written(found.select("right_id", "left_id", F.lit(SIMILAR).alias("dedup_method")), "mirrors"))
     decided = narrow.join(mirrors, F.col("row_id") == F.col("right_id"), "left")
@@ -275,6 +330,7 @@ def transfer_pairs(rows: DataFrame, days: int = 3) -> DataFrame:
     no outflow and inflow that could still pair are left over.
     """
     keys = ["org_id", "amount_minor"]
+    rows = written(rows.select(*keys, "row_id", "account_id", "direction", "day"), "transfers")
     sides = [rows.where(F.col("direction") == d) for d in ("outflow", "inflow")]
     pairs = nearest_pairs(*sides, keys, days, "account_id")
     return pairs.select(*keys, F.col("left_id").alias("outflow_id"), F.col("right_id").alias("inflow_id"), F.col("gap").alias("days_between"))

@@ -83,6 +83,37 @@ def test_duplicates_match_brute_force(spark, few, monkeypatch):
     assert all(r.is_canonical == (r.mirrors_row_id is None) for r in got)
 
 
+def test_keys_with_few_rows_are_paired_by_runs_across_batches(spark, monkeypatch):
+    """Rows are not copied to the shared folder first, and a key may lie in several batches or on one side alone."""
+    rng = random.Random(4)
+    kinds = "org_id int, name string, account string, day date, row_id string"
+
+    def rows(mark, n):
+        return [(rng.choice([None, 1, 2]), rng.choice(["x", "y", None]), rng.choice("ab"), D0 + dt.timedelta(days=rng.randrange(6)), f"{mark}{i}") for i in range(n)]
+
+    only = [(7, "one side", "a", D0, f"o{i}") for i in range(100)]
+    copies = [(8, "copies", "a", D0, f"c{i}") for i in range(30)]
+    left = spark.createDataFrame([*rows("l", 200), *only, *copies], kinds)
+    right = spark.createDataFrame([*rows("r", 150), *((8, "copies", "b", D0 + dt.timedelta(days=2), f"d{i}") for i in range(20))], kinds)
+
+    def pairs(account):
+        found = matching.nearest_pairs(left, right, ["org_id", "name"], 2, account)
+        return sorted(map(str, found.collect()))
+
+    names, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: names.append(name) or write(df, name))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        few = [pairs(None), pairs("account")]
+        assert names == ["pair-keys"] * 2
+        monkeypatch.setattr(matching, "FEW_ROWS", 1)
+        assert few == [pairs(None), pairs("account")]
+        assert sum("copies" in p for p in few[0]) == sum("copies" in p for p in few[1]) == 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_deciding_again_changes_nothing(spark):
     rows = feed(random.Random(3), 200)
     df = spark.createDataFrame(rows, ROWS)
