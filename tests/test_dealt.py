@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import raw_books
 from centavo.operators import normalize as nz
 from centavo.sources import landing
 from centavo.sources.books import Books
@@ -64,3 +65,20 @@ def test_records_are_sorted_once_and_pages_parsed_once(spark):
     assert sorted(r.n for r in kept.select(F.try_variant_get("record", "$.n", "int").alias("n")).collect()) == [3, 4]
     whole = landing.records(landing.unique_pages(pages))
     assert sorted(map(str, rows.select(F.to_json("record"), "position", "page_index").collect())) == sorted(map(str, whole.select(F.to_json("record"), "position", "page_index").collect()))
+
+
+def test_pages_are_made_once_from_rows_dealt_before_their_text(spark, tmp_path):
+    orders = [(k, k % 7, "FOP"[k % 3], dt.datetime(2001, 1, 1 + k % 28), 10.5 * k) for k in range(0, 4000, 3)]
+    odd = [(1, 1, "F", dt.datetime(2001, 1, 1), 3.0), (1, 1, "F", dt.datetime(2001, 1, 1), 2.0), (None, 1, "F", None, None), (5, None, None, None, 1.0), (1700, 1, "F", None, None)]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_totalprice double"
+    spark.createDataFrame(orders + odd, names).write.parquet(f"{tmp_path}/orders.parquet")
+    books = Books(spark, str(tmp_path))
+    made = raw_books._pages(books, "Invoice")
+    assert plan(made).count("Exchange hashpartitioning") == 1 and plan(made).count("FileScan") == 1
+    assert "structstojson" not in plan(made).split("Exchange hashpartitioning")[1].lower() and "to_json" not in plan(made).split("Exchange hashpartitioning")[1]
+    first = raw_books.to_pages(raw_books.invoice_records(books), raw_books.FIRST_FETCH)
+    again = raw_books.refetched(first, raw_books.SECOND_FETCH)
+    edits = raw_books.to_pages(raw_books.invoice_edits(books), raw_books.SECOND_FETCH, first_page=raw_books.EDITED_PAGES)
+    assert again.count() > 0 and sorted(map(str, made.collect())) == sorted(map(str, first.unionByName(again).unionByName(edits).collect()))
+    body = {r.page_index: json.loads(r.payload)["QueryResponse"]["Invoice"] for r in made.where("org_id = 1 AND fetched_at < '2001-07-30'").collect()}
+    assert [(r["Id"], r["TotalAmt"], r["Balance"]) for r in body[0][:2]] == [("1", 2.0, 2.0), ("1", 3.0, 3.0)] and body[None][0]["CustomerRef"]["value"] == "1"
